@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scanloom.llm.common import table
 from scanloom.llm.exact_dedup import exact_groups
 from scanloom.llm.line_dedup import line_dedup
+from scanloom.llm.near_dedup import near_groups
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +18,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_line_dedup, op10_exact_dedup)
+    found = (op3_line_dedup, op4_minhash_near_dedup, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 
