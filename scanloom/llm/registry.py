@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import table
+from scanloom.llm.decontaminate import leaks
 from scanloom.llm.exact_dedup import exact_groups
 from scanloom.llm.line_dedup import line_dedup
 from scanloom.llm.near_dedup import near_groups
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -27,7 +32,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_line_dedup, op4_minhash_near_dedup, op10_exact_dedup)
+    found = (op2_template_decontamination, op3_line_dedup, op4_minhash_near_dedup, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 

@@ -64,16 +64,17 @@ _TABLE = _PowerTable()
 class Words:
     """The words of a batch of texts.
 
-    ``starts``/``ends`` are byte offsets into ``buf``; the words of text ``i``
+    ``between`` tells for each byte value whether it separates words (line feed
+    must).  ``starts``/``ends`` are byte offsets into ``buf``; the words of text ``i``
     are ``first[i]:first[i + 1]``.  ``hashes`` holds a 64-bit hash of each.
     """
 
     __slots__ = ("buf", "starts", "ends", "first", "hashes")
 
-    def __init__(self, texts: Sequence[bytes], hashes: bool = True) -> None:
+    def __init__(self, texts: Sequence[bytes], hashes: bool = True, between: np.ndarray = _SPACE) -> None:
         joined = b"\n".join(texts) + b"\n"
         self.buf = np.frombuffer(joined, dtype=np.uint8)
-        space = _SPACE[self.buf]
+        space = between[self.buf]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if not space[0]:
             edge = np.concatenate([[0], edge])
