@@ -47,7 +47,7 @@ def dropped_positions(docs: DataFrame, id_col: str, text_col: str, min_chars: in
     lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("drop_id"), F.xxhash64(text_col).alias("drop_text"), F.posexplode(F.split(text_col, "\n", -1)).alias("at", "line"))
     stripped = lines.withColumn("line", F.btrim("line", F.lit(SPACE_CHARS))).where(F.char_length("line") >= min_chars)
     keyed = stripped.select("drop_id", "drop_text", "at", ascii_lower(F.col("line")).alias("key"))
-    hashed = staged(keyed.select("drop_id", "drop_text", "at", F.xxhash64("key").alias("a"), F.xxhash64(F.lit("second"), "key").alias("b")))
+    hashed = keyed.select("drop_id", "drop_text", "at", F.xxhash64("key").alias("a"), F.xxhash64(F.lit("second"), "key").alias("b"))
     # The first aggregate makes each document count once, the second combines
     # before its shuffle, so that a line found everywhere costs a row a task.
     counted = hashed.select("a", "b", "drop_id").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("drop_id").alias("keep_id"))
