@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import table
+from scanloom.llm.common import crc_mod, table
 from scanloom.llm.decontaminate import leaks
 from scanloom.llm.exact_dedup import exact_groups
 from scanloom.llm.line_dedup import line_dedup
 from scanloom.llm.near_dedup import near_groups
+from scanloom.llm.quality import fit_quality, score_quality
+from scanloom.llm.toxicity import fit_toxicity, score_toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "toxic")
 
 
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +36,18 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_template_decontamination, op3_line_dedup, op4_minhash_near_dedup, op10_exact_dedup)
+    found = (op1_toxicity, op2_template_decontamination, op3_line_dedup, op4_minhash_near_dedup, op8_quality, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 
