@@ -166,7 +166,7 @@ def fit(x: np.ndarray, y: np.ndarray, totals: list[int]) -> Discriminant | Const
 def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", rows: int = MAX_ROWS) -> Discriminant | Constant:
     """A model from the labelled rows that are not held out."""
     sample, totals = sample_ids(labels, label, id_col, modulus, held_out, rows)
-    chosen = sample_rows(docs, sample, id_col, text_col, [])
+    chosen = sample_rows(docs, sample, id_col, text_col, []).select("id", "y", "text")
 
     def vectors(batches):
         import pyarrow as pa
