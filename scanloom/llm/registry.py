@@ -13,6 +13,7 @@ from scanloom.llm.exact_dedup import exact_groups
 from scanloom.llm.line_dedup import line_dedup
 from scanloom.llm.near_dedup import near_groups
 from scanloom.llm.quality import fit_quality, score_quality
+from scanloom.llm.substring_dedup import substring_dedup
 from scanloom.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -42,12 +43,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_template_decontamination, op3_line_dedup, op4_minhash_near_dedup, op8_quality, op10_exact_dedup)
+    found = (op1_toxicity, op2_template_decontamination, op3_line_dedup, op4_minhash_near_dedup, op8_quality, op9_substring_dedup, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 
