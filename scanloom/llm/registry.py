@@ -12,7 +12,9 @@ from scanloom.llm.decontaminate import leaks
 from scanloom.llm.exact_dedup import exact_groups
 from scanloom.llm.line_dedup import line_dedup
 from scanloom.llm.near_dedup import near_groups
+from scanloom.llm.packing import pack
 from scanloom.llm.quality import fit_quality, score_quality
+from scanloom.llm.sharding import shards
 from scanloom.llm.substring_dedup import substring_dedup
 from scanloom.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -37,6 +39,14 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -53,7 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_template_decontamination, op3_line_dedup, op4_minhash_near_dedup, op8_quality, op9_substring_dedup, op10_exact_dedup)
+    found = (op1_toxicity, op2_template_decontamination, op3_line_dedup, op4_minhash_near_dedup, op6_length_buckets, op7_extendible_sharding, op8_quality, op9_substring_dedup, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 
@@ -73,6 +83,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
             FROM marked GROUP BY doc_id""",
+        "op7_extendible_sharding": """
+            WITH r AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+                              ('0x' || substr(md5(concat_ws('/', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 15))::BIGINT AS bits
+                       FROM documents),
+            t AS (SELECT r.*, depth, bits >> (60 - depth) AS p FROM r, range(0, 61) AS d(depth)),
+            s AS (SELECT depth, p, sum(n_bytes)::BIGINT AS shard_bytes FROM t GROUP BY depth, p),
+            f AS (SELECT t.*, shard_bytes, row_number() OVER (PARTITION BY doc_id, bits ORDER BY t.depth) AS n
+                  FROM t JOIN s USING (depth, p) WHERE shard_bytes <= 33554432 OR depth = 60)
+            SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(format('{:b}', p), depth::INTEGER, '0') END AS shard,
+                   shard_bytes, shard_bytes <= 33554432 AS fits FROM f WHERE n = 1""",
         "op10_exact_dedup": r"""
             WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS c, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents),
             w AS (SELECT doc_id, k, first_value(doc_id) OVER (PARTITION BY k ORDER BY c DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size FROM n)
