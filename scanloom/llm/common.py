@@ -34,14 +34,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, small: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
 
     It cuts the lineage as ``checkpoint()`` does, but runs the plan once, stores
     columns compressed and lets later reads prune them.  A lost executor costs
-    only its running tasks.
+    only its running tasks.  ``small`` says that the rows are few beside the
+    input's: they are dealt to a sixteenth of the shuffle partitions first, which
+    saves as many small files.
     """
     spark = df.sparkSession
+    if small:
+        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     path = f"{shared_folder(spark)}/scanloom/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

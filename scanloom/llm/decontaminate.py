@@ -201,7 +201,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     source = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     rows = source.mapInArrow(_item_windows, "item_id long, literal array<long>, template array<long>, kind array<long>, value array<long>")
-    items = staged(rows.where("size(literal) > 0 or size(template) > 0"))
+    items = staged(rows.where("size(literal) > 0 or size(template) > 0"), small=True)
     windows = items.select("item_id", F.explode(F.array_union("literal", "template")).alias("h")).distinct()
     bitmap = spark.sparkContext.broadcast(_bitmap(windows))
 
@@ -211,14 +211,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     # Rarest windows of each item, for each of its two window sets
     often = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     sets = [items.select("item_id", F.lit(kind).alias("set"), F.explode(F.array_distinct(kind)).alias("h")) for kind in ("literal", "template")]
-    ranked = staged(sets[0].union(sets[1]).join(often, "h").groupBy("item_id", "set").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("all")))
+    ranked = staged(sets[0].union(sets[1]).join(often, "h").groupBy("item_id", "set").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("all")), small=True)
     enough = F.ceil(F.size("all") * F.lit(least) - 1e-9)
-    rare = staged(ranked.select("item_id", F.explode(F.slice("all", F.lit(1), (F.size("all") - enough + 1).cast("int"))).alias("x")).select("item_id", F.col("x.h").alias("h")).distinct())
+    rare = staged(ranked.select("item_id", F.explode(F.slice("all", F.lit(1), (F.size("all") - enough + 1).cast("int"))).alias("x")).select("item_id", F.col("x.h").alias("h")).distinct(), small=True)
 
     # One row for each document and window; a window that a large part of the
     # documents has is an exchange of scans on both sides, which AQE can split.
     found = held.select("doc_id", F.explode(F.array_union("literal", "template")).alias("h"))
-    pairs = staged(found.join(rare, "h").select("doc_id", "item_id").distinct())
+    pairs = staged(found.join(rare, "h").select("doc_id", "item_id").distinct(), small=True)
     sides = items.select("item_id", F.col("literal").alias("item_literal"), F.col("template").alias("item_template"), F.col("kind").alias("item_kind"), F.col("value").alias("item_value"))
     judged = pairs.join(held, "doc_id").join(sides, "item_id").mapInArrow(_judge, "doc_id long, item_id long, literal double, template double")
     shares = judged.groupBy("doc_id", "item_id").agg(F.max("literal").alias("literal"), F.max("template").alias("template")).where((F.col("literal") >= least) | (F.col("template") >= least))

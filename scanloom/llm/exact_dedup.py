@@ -58,7 +58,7 @@ def recipes(docs: DataFrame, id_col: str, text_col: str, bits: int = 128, least:
     # One row for each distinct content (combined before the shuffle), then the
     # hashes under which more than one content lies.
     contents = pieces.groupBy("h").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low != high").select("h")
-    clashes = staged(contents)
+    clashes = staged(contents, small=True)
     if clashes.isEmpty():  # each hash has one content: it is the identifier
         return base.select("doc_id", "n_chars", "text_sha256", F.transform("chunk", lambda c: _hashed(c, bits)).alias("recipe"))
     ranked = (
@@ -84,7 +84,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     listed = staged(recipes(docs, id_col, text_col, bits))
     rank = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("null"), "doc_id")
     groups = listed.groupBy("recipe").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    groups = staged(groups)
+    groups = staged(groups, small=True)
     found = listed.join(groups.withColumnRenamed("recipe", "theirs"), F.col("recipe") == F.col("theirs"), "left")
     kept = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_chars") == -F.col("best.n")))
     return found.select("doc_id", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")

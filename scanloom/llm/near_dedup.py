@@ -162,7 +162,7 @@ def _confirm(shingle: int, percent: int):
 
 def confirmed(proposed: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The proposed (task, x, y) whose full sets confirm them; texts: id, text."""
-    proposed = staged(proposed)
+    proposed = staged(proposed, small=True)
     members = proposed.select(F.col("task").alias("of"), F.explode(F.array("x", "y")).alias("id")).distinct()
     held = members.join(texts, "id").select("of", "id", "text")
     return proposed.groupBy("task").cogroup(held.groupBy("of")).applyInArrow(_confirm(shingle, percent), "x long, y long")
@@ -205,17 +205,17 @@ def components(edges: DataFrame) -> DataFrame:
     the shuffle and AQE can split a hub's edges in the joins.
     """
     big, small = F.greatest("x", "y"), F.least("x", "y")
-    edges = staged(edges.where("x != y").select(big.alias("x"), small.alias("y")).distinct())
+    edges = staged(edges.where("x != y").select(big.alias("x"), small.alias("y")).distinct(), small=True)
     before = None
     while not edges.isEmpty():
         # large-star: every neighbour above u goes to the least of u and its neighbours
         both = edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        low = staged(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("u"), F.least("x", "m").alias("m")))
-        large = staged(edges.join(low, F.col("y") == F.col("u")).select("x", F.col("m").alias("y")).where("x != y").distinct())
+        low = staged(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("u"), F.least("x", "m").alias("m")), small=True)
+        large = staged(edges.join(low, F.col("y") == F.col("u")).select("x", F.col("m").alias("y")).where("x != y").distinct(), small=True)
         # small-star: u and its lower neighbours go to the least of those
-        least = staged(large.groupBy("x").agg(F.min("y").alias("m")).withColumnRenamed("x", "u"))
+        least = large.groupBy("x").agg(F.min("y").alias("m")).withColumnRenamed("x", "u")
         lower = large.join(least, F.col("x") == F.col("u")).select(F.col("y").alias("x"), F.col("m").alias("y"))
-        edges = staged(lower.union(least.select(F.col("u").alias("x"), F.col("m").alias("y"))).where("x != y").distinct())
+        edges = staged(lower.union(least.select(F.col("u").alias("x"), F.col("m").alias("y"))).where("x != y").distinct(), small=True)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if now == before:  # the edges no longer change: stars
             break
@@ -242,28 +242,28 @@ def near_groups(
 
     # 2. buckets, centres, confirmed links with centres
     placed = reps.select("id", F.explode("keys").alias("key"))
-    buckets = staged(placed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre != last").drop("last"))
-    filed = staged(placed.join(buckets, "key"))
+    buckets = staged(placed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre != last").drop("last"), small=True)
+    filed = staged(placed.join(buckets, "key"), small=True)
     sided = filed.where("id != centre").select(F.col("centre").alias("x"), F.col("id").alias("y")).distinct()
     for side in ("x", "y"):
         sided = sided.join(reps.select(F.col("id").alias(side), F.col("signature").alias(f"of_{side}")), side)
-    supported = staged(sided.select("x", "y", "of_x", "of_y").mapInArrow(_supported(least), "x long, y long"))
-    parts = staged(supported.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).withColumnRenamed("x", "centre"))
+    supported = staged(sided.select("x", "y", "of_x", "of_y").mapInArrow(_supported(least), "x long, y long"), small=True)
+    parts = staged(supported.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).withColumnRenamed("x", "centre"), small=True)
     first = supported.join(parts, F.col("x") == F.col("centre"))
     first = first.select(F.concat_ws(":", F.col("x").cast("string"), F.pmod(F.xxhash64("y"), "parts").cast("string")).alias("task"), "x", "y")
     texts = staged(source.join(filed.select("id").distinct(), "id", "left_semi"))
-    links = staged(confirmed(first, texts, shingle, percent).union(_repeats(known, classes)))
+    links = staged(confirmed(first, texts, shingle, percent).union(_repeats(known, classes)), small=True)
     labels = components(links)
 
     # 3. links that buckets with several components may still hide
-    judged = staged(filed.where("id != centre").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")))
-    ajar = staged(judged.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).where("one != two").select("key", "parts"))
+    judged = staged(filed.where("id != centre").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), small=True)
+    ajar = staged(judged.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).where("one != two").select("key", "parts"), small=True)
     held = judged.join(ajar, "key").join(reps.select("id", "signature"), "id").withColumn("block", F.pmod(F.xxhash64("id"), "parts"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     held = held.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "label", "block", "signature")
     hidden = held.groupBy("key", "one", "two").applyInArrow(_across(least), "task string, x long, y long")
     hidden = hidden.groupBy("x", "y").agg(F.min("task").alias("task")).join(supported, ["x", "y"], "left_anti")
-    more = staged(confirmed(hidden, texts, shingle, percent))
+    more = staged(confirmed(hidden, texts, shingle, percent), small=True)
     if not more.isEmpty():
         labels = components(links.union(more))
 
@@ -289,8 +289,8 @@ def _repeats(known: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (x, y) between the classes of a doc_id that has several texts."""
     key = F.struct("a", "b")
     several = known.groupBy("id").agg(F.min(key).alias("one"), F.max(key).alias("two")).where("one != two").select("id")
-    of = staged(known.join(several, "id", "left_semi").select("id", "a", "b").distinct().join(classes.select("a", "b", "rep"), ["a", "b"]).select("id", "rep"))
-    low = staged(of.groupBy("id").agg(F.min("rep").alias("x")))
+    of = staged(known.join(several, "id", "left_semi").select("id", "a", "b").distinct().join(classes.select("a", "b", "rep"), ["a", "b"]).select("id", "rep"), small=True)
+    low = staged(of.groupBy("id").agg(F.min("rep").alias("x")), small=True)
     return of.join(low, "id").where("x != rep").select("x", F.col("rep").alias("y"))
 
 

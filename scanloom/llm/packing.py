@@ -87,6 +87,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     counts = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select(F.col("bucket").alias("of_bucket"), F.col("part").alias("of_part"), (F.sum("n").over(Window.partitionBy("bucket").orderBy("part")) - F.col("n")).alias("before"))
     ranked = placed.withColumn("nth", F.row_number().over(Window.partitionBy("bucket", "part").orderBy("order", "doc_id", "n_tokens")))
-    rank = ranked.join(staged(before), (F.col("bucket") == F.col("of_bucket")) & (F.col("part") == F.col("of_part"))).withColumn("at", F.col("before") + F.col("nth") - 1)
+    rank = ranked.join(staged(before, small=True), (F.col("bucket") == F.col("of_bucket")) & (F.col("part") == F.col("of_part"))).withColumn("at", F.col("before") + F.col("nth") - 1)
     each = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("bucket", F.lit(1))))
     return rank.select("doc_id", "n_tokens", "bucket", F.floor(F.col("at") / each).alias("batch"), (F.col("at") % each).alias("slot"))

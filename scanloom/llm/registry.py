@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanloom.llm.chat_format import format_chats
 from scanloom.llm.common import crc_mod, table
 from scanloom.llm.decontaminate import leaks
 from scanloom.llm.exact_dedup import exact_groups
@@ -39,6 +40,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = format_chats(table(spark, sf_dir, "conversations"))
+    return out.withColumns({"errors": F.array_join("errors", ";"), "call_id": F.coalesce("call_id", F.lit("")), "linked_turn": F.coalesce("linked_turn", F.lit(-1))})
+
+
 def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -63,7 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_template_decontamination, op3_line_dedup, op4_minhash_near_dedup, op6_length_buckets, op7_extendible_sharding, op8_quality, op9_substring_dedup, op10_exact_dedup)
+    found = (op1_toxicity, op2_template_decontamination, op3_line_dedup, op4_minhash_near_dedup, op5_chat_formatting, op6_length_buckets, op7_extendible_sharding, op8_quality, op9_substring_dedup, op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 
@@ -83,6 +89,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
             FROM marked GROUP BY doc_id""",
+        # The table holds no calls: every message is a plain one.
+        "op5_chat_formatting": """
+            SELECT conv_id, turn, coalesce(role, 'unknown') AS role, 'message' AS kind, turn AS anchor_turn, 0 AS level, -1 AS call_index,
+                   0 AS kind_rank, '' AS call_id, -1::BIGINT AS linked_turn, 'ok' AS status, '' AS errors,
+                   json_object('content', coalesce(text, ''), 'role', coalesce(role, 'unknown'), 'type', 'message')::VARCHAR AS json
+            FROM conversations""",
         "op7_extendible_sharding": """
             WITH r AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
                               ('0x' || substr(md5(concat_ws('/', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 15))::BIGINT AS bits
