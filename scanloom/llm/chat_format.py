@@ -129,7 +129,7 @@ def format_chats(messages: DataFrame, tools: DataFrame | None = None, conv_col:
     levels = staged(_levels(named).select("conv", "id", "level"), small=True)
 
     own = read.where(F.size("declared.tools") > 0).select("conv", F.explode("declared.tools").alias("t")).groupBy("conv", F.col("t.name").alias("name")).agg(F.min(F.to_json("t.parameters")).alias("own_schema"))
-    wide = tools.groupBy("name").agg(F.min("parameters").alias("wide_schema")) if tools is not None else messages.sparkSession.createDataFrame([], "name string, wide_schema string")
+    wide = tools.groupBy("name").agg(F.min("parameters").alias("wide_schema")) if tools is not None else messages.sparkSession.range(0).select(F.lit("").alias("name"), F.lit("").alias("wide_schema"))
     full = named.join(levels, ["conv", "id"], "left").join(answers, ["conv", "id"], "left").join(own, ["conv", "name"], "left").join(wide, "name", "left")
     schema = F.from_json(F.coalesce("own_schema", "wide_schema"), _SCHEMA)
     as_map = F.from_json("json_arguments", "map<string,variant>")

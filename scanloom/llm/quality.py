@@ -178,7 +178,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out:
 
     rows_ = chosen.mapInArrow(vectors, "id long, y int, x array<double>").toArrow().sort_by("id")
     y = np.array(rows_.column("y").to_pylist(), dtype=int)
-    x = np.array(rows_.column("x").to_pylist(), dtype=float).reshape(len(y), -1)
+    x = np.array(rows_.column("x").to_pylist(), dtype=float).reshape(len(y), -1 if len(y) else 1)
     return fit(x, y, totals)
 
 
