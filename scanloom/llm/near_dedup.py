@@ -10,11 +10,14 @@
    shingle sets.  Confirmed links give components by alternating large-star and
    small-star.
 3. Buckets whose other members still lie in several components may hide links
-   between them.  Those buckets are cut into blocks; tasks hold two blocks,
-   compare signatures of members of different components as matrices, and pass
-   on only what the signatures support; the full sets decide again.  As only
-   components are wanted, pairs inside one component need no comparison.  So no
-   bucket is capped and no link that shares a band key is lost.
+   between them.  In such a bucket the members outside its largest component ask
+   all others: tasks hold a block of members and a block of askers, compare
+   signatures as matrices, and pass on, for each asker, the list of members in
+   other components that the signatures support; a pair is passed on from the
+   first band that it shares only.  The full sets decide again, task by task,
+   until a link has joined the components in question.  As only components are
+   wanted, pairs inside one component need no comparison.  So no bucket is
+   capped, pairs are never rows, and no link that shares a band key is lost.
 
 With 32 bands of 5 minima a link at similarity 0.85 is missed with probability
 (1 - 0.85^5)^32 < 1e-8; one at 0.8 with (1 - 0.8^5)^32 < 3e-6.  The signature
@@ -40,8 +43,8 @@ from scanloom.llm.common import own_name, staged
 from scanloom.llm.text_kernels import Words, byte_runs, gram_hashes, mix64, sequence_hash, text_bytes
 
 BANDS, ROWS, SHINGLE = 32, 5, 5
-#: Members of a block in step 3, and of a task that confirms links with a centre.
-BLOCK = 256
+#: Members of a block in step 3 and of a task that confirms links with a centre; askers of a block.
+BLOCK, ASKERS = 256, 4096
 _RUN = 1 << 20
 
 
@@ -131,17 +134,17 @@ def _linked(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
 
 
 def _confirm(shingle: int, percent: int):
-    """Of one task's proposed pairs, those that join its members by confirmed links.
+    """Of one task's proposals, the links that join components.
 
-    A pair whose members are already joined inside the task is passed over.
+    A proposal is a member x with its component and a list of others with theirs.
+    A pair whose components are already joined inside the task is passed over.
     """
 
-    def run(pairs: pa.Table, members: pa.Table) -> pa.Table:
-        texts: dict[int, list[np.ndarray]] = {}
+    def run(proposals: pa.Table, members: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
         ids = members.column("id").to_pylist()
-        # One text a time: the sets of a task's members are what it holds.
         for i, found in zip(ids, shingle_sets(text_bytes(members.column("text").combine_chunks()), shingle), strict=True):
-            texts.setdefault(i, []).append(found)
+            sets.setdefault(i, []).append(found)
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -151,19 +154,22 @@ def _confirm(shingle: int, percent: int):
             return x
 
         out = []
-        for x, y in zip(pairs.column("x").to_pylist(), pairs.column("y").to_pylist(), strict=True):
-            if (p := top(x)) != (q := top(y)) and any(_linked(s, t, percent) for s in texts.get(x, ()) for t in texts.get(y, ())):
-                root[max(p, q)] = min(p, q)
-                out.append((x, y))
+        for row in proposals.to_pylist():
+            x = row["x"]
+            for y, label in zip(row["others"], row["other_labels"], strict=True):
+                if (p := top(row["label"])) != (q := top(label)) and any(_linked(s, t, percent) for s in sets.get(x, ()) for t in sets.get(y, ())):
+                    root[max(p, q)] = min(p, q)
+                    out.append((x, y))
         return pa.table({"x": pa.array([x for x, _ in out], pa.int64()), "y": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
 
-def confirmed(proposed: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The proposed (task, x, y) whose full sets confirm them; texts: id, text."""
-    proposed = staged(proposed, small=True)
-    members = proposed.select(F.col("task").alias("of"), F.explode(F.array("x", "y")).alias("id")).distinct()
+PROPOSAL = "task string, x long, label long, others array<long>, other_labels array<long>"
+
+
+def confirmed(proposed: DataFrame, members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The proposed links (x, y) that full sets confirm.  members: of, id (whose texts each task needs); texts: id, text."""
     held = members.join(texts, "id").select("of", "id", "text")
     return proposed.groupBy("task").cogroup(held.groupBy("of")).applyInArrow(_confirm(shingle, percent), "x long, y long")
 
@@ -174,25 +180,36 @@ def _agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _across(least: int):
-    """Step 3 in one task: pairs of different components that the signatures support."""
+    """Step 3 in one task: what each asker's signature supports among the members of other components.
+
+    A last row without x lists all ids that the task's proposals name.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        one, two = key[1].as_py(), key[2].as_py()
-        id_, label, block = (table.column(c).to_numpy() for c in ("id", "label", "block"))
-        raw = table.column("signature").combine_chunks()
-        signature = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint8).reshape(len(id_), -1)
-        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
-        out: list[np.ndarray] = []
-        for begin in range(0, len(left), 32):  # a few rows at a time bound the matrix
-            rows = left[begin : begin + 32]
-            good = (_agreement(signature[rows], signature[right]) >= least) & (label[rows][:, None] != label[right][None, :])
-            i, j = np.nonzero(good)
-            x, y = id_[rows[i]], id_[right[j]]
-            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
-        x, y = np.concatenate([np.empty((2, 0), dtype=np.int64), *out], axis=1)
-        x, y = np.unique(np.stack([x, y]), axis=1)
-        task = f"{key[0].as_py()}:{one}:{two}"
-        return pa.table({"task": pa.array([task] * len(x), pa.string()), "x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+        task = ":".join(str(k.as_py()) for k in key)
+        id_, label, asks, outside = (np.asarray(table.column(c)) for c in ("id", "label", "asks", "outside"))
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(len(id_), -1)
+        keys = np.asarray(table.column("keys").combine_chunks().flatten()).reshape(len(id_), -1)
+        band = int((keys[0] == key[0].as_py()).argmax())
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        rows, named = [], set()
+        for begin in range(0, len(left), 16):  # a few askers at a time bound the matrices
+            own = left[begin : begin + 16]
+            count = _agreement(signature[own], signature[right])
+            good = (count >= least) & (label[own][:, None] != label[right][None, :])
+            good &= ~outside[right][None, :] | (id_[own][:, None] < id_[right][None, :])
+            for i in np.flatnonzero(good.any(axis=1)):
+                at = np.flatnonzero(good[i])
+                at = at[(keys[own[i]][:band] != keys[right[at]][:, :band]).all(axis=1)]
+                if len(at):
+                    at = right[at[np.argsort(-count[i][at], kind="stable")]]
+                    rows.append((task, int(id_[own[i]]), int(label[own[i]]), id_[at].tolist(), label[at].tolist()))
+                    named.update([rows[-1][1], *rows[-1][3]])
+        if named:
+            rows.append((task, None, None, sorted(named), []))
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("task", "x", "label", "others", "other_labels"), columns, types, strict=True)})
 
     return run
 
@@ -249,21 +266,27 @@ def near_groups(
         sided = sided.join(reps.select(F.col("id").alias(side), F.col("signature").alias(f"of_{side}")), side)
     supported = staged(sided.select("x", "y", "of_x", "of_y").mapInArrow(_supported(least), "x long, y long"), small=True)
     parts = staged(supported.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).withColumnRenamed("x", "centre"), small=True)
-    first = supported.join(parts, F.col("x") == F.col("centre"))
-    first = first.select(F.concat_ws(":", F.col("x").cast("string"), F.pmod(F.xxhash64("y"), "parts").cast("string")).alias("task"), "x", "y")
+    task = F.concat_ws(":", F.col("x").cast("string"), F.pmod(F.xxhash64("y"), "parts").cast("string"))
+    first = supported.join(parts, F.col("x") == F.col("centre")).groupBy(task.alias("task"), "x").agg(F.collect_list("y").alias("others"))
+    first = staged(first.select("task", "x", F.col("x").alias("label"), "others", F.col("others").alias("other_labels")), small=True)
+    needed = first.select(F.col("task").alias("of"), F.explode(F.array_append("others", F.col("x"))).alias("id"))
     texts = staged(source.join(filed.select("id").distinct(), "id", "left_semi"))
-    links = staged(confirmed(first, texts, shingle, percent).union(_repeats(known, classes)), small=True)
+    links = staged(confirmed(first, needed, texts, shingle, percent).union(_repeats(known, classes)), small=True)
     labels = components(links)
 
     # 3. links that buckets with several components may still hide
-    judged = staged(filed.where("id != centre").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), small=True)
-    ajar = staged(judged.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).where("one != two").select("key", "parts"), small=True)
-    held = judged.join(ajar, "key").join(reps.select("id", "signature"), "id").withColumn("block", F.pmod(F.xxhash64("id"), "parts"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    held = held.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "label", "block", "signature")
-    hidden = held.groupBy("key", "one", "two").applyInArrow(_across(least), "task string, x long, y long")
-    hidden = hidden.groupBy("x", "y").agg(F.min("task").alias("task")).join(supported, ["x", "y"], "left_anti")
-    more = staged(confirmed(hidden, texts, shingle, percent), small=True)
+    judged = filed.where("id != centre").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    judged = staged(judged.select("key", "id", F.coalesce("label", "id").alias("label")), small=True)
+    shares = judged.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    ajar = shares.where("n > most").select("key", "main", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / ASKERS).alias("rounds"))
+    held = judged.join(staged(ajar, small=True), "key").join(reps, "id").withColumn("outside", F.col("label") != F.col("main"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    rest = ["id", "label", "outside", "signature", "keys"]
+    members = held.select("key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), upto("rounds").alias("round"), F.lit(False).alias("asks"), *rest)
+    askers = held.where("outside").select("key", upto("blocks").alias("block"), F.pmod(F.xxhash64(F.lit(1), "id"), "rounds").alias("round"), F.lit(True).alias("asks"), *rest)
+    hidden = staged(members.union(askers).groupBy("key", "block", "round").applyInArrow(_across(least), PROPOSAL), small=True)
+    needed = hidden.where("x is null").select(F.col("task").alias("of"), F.explode("others").alias("id"))
+    more = staged(confirmed(hidden.where("x is not null"), needed, texts, shingle, percent), small=True)
     if not more.isEmpty():
         labels = components(links.union(more))
 
