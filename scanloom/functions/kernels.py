@@ -84,29 +84,39 @@ def pair_derivatives(
     if not len(points):
         return 0.0, np.zeros(6), np.zeros((6, 6)), 0
     delta = transform(points, pose) - means
-    jacobian, curve = point_derivatives(points, pose)
+    turned = np.stack([points @ rotation_derivative(pose, o).T for o in _ORDERS], axis=2)  # d(R p) by the angles
     if normals is None:
-        along = np.einsum("nij,nj->ni", inverse, delta)  # S d
-        q = np.einsum("ni,ni->n", delta, along)
+        along = np.matmul(inverse, delta[:, :, None])[:, :, 0]  # S d
+        q = (delta * along).sum(axis=1)
     else:
-        off = np.einsum("ni,ni->n", delta, normals)
-        q = off * off
+        off = (delta * normals).sum(axis=1)
+        along, q = off[:, None] * normals, off * off
     weight = np.exp(-0.5 * d2 * q)
     good = np.isfinite(weight) & (d2 * weight >= 0) & (d2 * weight <= 1)
     weight = np.where(good, weight, 0.0)
     w = d1 * d2 * weight
+    pull = along * w[:, None]
+    # every sum over pairs is a product of tall matrices; second derivatives of the
+    # rotation act on one 3x3 sum of all pairs
+    arms = pull.T @ points
+    gradient = np.concatenate([pull.sum(axis=0), [(arms * rotation_derivative(pose, o)).sum() for o in _ORDERS]])
     if normals is None:
-        first = np.einsum("ni,nij->nj", along, jacobian)
-        spread = np.einsum("nki,nkl,nlj->nij", jacobian, inverse, jacobian)
-        bend = np.einsum("ni,niab->nab", along, curve)
-        core = -d2 * first[:, :, None] * first[:, None, :] + spread
+        first = np.concatenate([along, np.matmul(along[:, None, :], turned)[:, 0, :]], axis=1)
+        bent = np.matmul(inverse, turned) * w[:, None, None]
+        hessian = -d2 * (first * w[:, None]).T @ first
+        hessian[:3, :3] += (w @ inverse.reshape(-1, 9)).reshape(3, 3)
+        cross = bent.sum(axis=0)
+        hessian[:3, 3:] += cross
+        hessian[3:, :3] += cross.T
+        hessian[3:, 3:] += turned.reshape(-1, 3).T @ bent.reshape(-1, 3)
     else:
-        direction = np.einsum("ni,nij->nj", normals, jacobian)
-        first = off[:, None] * direction
-        bend = off[:, None, None] * np.einsum("ni,niab->nab", normals, curve)
-        core = (1 - d2 * q)[:, None, None] * direction[:, :, None] * direction[:, None, :]
-    core[:, 3:, 3:] += bend
-    return float(-d1 * weight.sum()), np.einsum("n,ni->i", w, first), np.einsum("n,nij->ij", w, core), len(points)
+        direction = np.concatenate([normals, np.matmul(normals[:, None, :], turned)[:, 0, :]], axis=1)
+        hessian = (direction * (w * (1 - d2 * q))[:, None]).T @ direction
+    for i in range(3):
+        for j in range(3):
+            order = tuple(x + y for x, y in zip(_ORDERS[i], _ORDERS[j], strict=True))
+            hessian[3 + i, 3 + j] += (arms * rotation_derivative(pose, order)).sum()
+    return float(-d1 * weight.sum()), gradient, hessian, len(points)
 
 
 def clamp_covariance(cov: np.ndarray, ratio: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -314,6 +324,10 @@ def count_oscillation(positions: np.ndarray, cosine: float = -0.9) -> int:
     return longest
 
 
+#: Cells of a bounding box that are kept as a table (4 bytes each).
+DENSE_CELLS = 1 << 24
+
+
 class VoxelIndex:
     """Voxels held in one task, found by packed cell key."""
 
@@ -323,6 +337,17 @@ class VoxelIndex:
         self.keys, self.means, self.inverse, self.axes = keys[order], means[order], inverse[order], axes[order]
         self.resolution = resolution
         self.around = np.array([(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
+        # a table of the bounding box (with a margin of two cells) where it is small
+        self.low = cells.min(axis=0).astype(np.int64) - 2
+        self.size = cells.max(axis=0).astype(np.int64) + 3 - self.low
+        self.table = None
+        if int(np.prod(self.size.astype(object))) <= DENSE_CELLS:
+            self.table = np.full(int(np.prod(self.size)), -1, dtype=np.int32)
+            self.table[self._place(cells[order].astype(np.int64) - self.low)] = np.arange(len(keys))
+            self.steps = self._place(self.around.astype(np.int64))
+
+    def _place(self, at: np.ndarray) -> np.ndarray:
+        return (at[..., 2] * self.size[1] + at[..., 1]) * self.size[0] + at[..., 0]
 
     @staticmethod
     def key(cells: np.ndarray) -> np.ndarray:
@@ -334,13 +359,20 @@ class VoxelIndex:
         if not len(points) or not len(self.keys):
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         cells = np.floor(points.astype(np.float32).astype(np.float64) / self.resolution).astype(np.int64)
-        keys = self.key(cells[:, None, :] + self.around[None])
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        point, slot = np.nonzero(self.keys[at] == keys)
-        voxel = at[point, slot]
+        if self.table is not None:
+            own = cells - self.low
+            inside = np.flatnonzero(((own >= 1) & (own < self.size - 1)).all(axis=1))
+            at = self.table[self._place(own[inside])[:, None] + self.steps[None]]
+            row, slot = np.nonzero(at >= 0)
+            point, voxel = inside[row], at[row, slot]
+        else:
+            keys = self.key(cells[:, None, :] + self.around[None])
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            point, slot = np.nonzero(self.keys[at] == keys)
+            voxel = at[point, slot]
         if within:
             d = points[point] - self.means[voxel]
-            near = np.einsum("ni,ni->n", d, d) <= self.resolution**2
+            near = (d * d).sum(axis=1) <= self.resolution**2
             point, voxel = point[near], voxel[near]
         return point, voxel
 
@@ -355,7 +387,7 @@ def scores(points: np.ndarray, index: VoxelIndex, pose: np.ndarray, d1: float, d
     moved = transform(points, pose)
     point, voxel = index.pairs(moved)
     d = moved[point] - index.means[voxel]
-    pair = -d1 * np.exp(-0.5 * d2 * np.einsum("ni,nij,nj->n", d, index.inverse[voxel], d))
+    pair = -d1 * np.exp(-0.5 * d2 * (np.matmul(index.inverse[voxel], d[:, :, None])[:, :, 0] * d).sum(axis=1))
     best = np.full(len(points), -np.inf)
     np.maximum.at(best, point, pair)
     met = np.isfinite(best)

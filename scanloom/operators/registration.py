@@ -48,12 +48,13 @@ def _points_of(table: pa.Table) -> np.ndarray:
     return np.stack([np.asarray(table.column(c), dtype=float) for c in "xyz"], axis=1)
 
 
-def align_batch(points: DataFrame, poses: DataFrame, voxels: DataFrame, scan: str, config: MatchConfig = MatchConfig(), line_search: LineSearchConfig = LineSearchConfig(), debug: bool = False) -> DataFrame:
+def align_batch(points: DataFrame, poses: DataFrame, voxels: DataFrame, scan: str, config: MatchConfig = MatchConfig(), line_search: LineSearchConfig = LineSearchConfig(), debug: bool = False, poses_per_task: int = 8) -> DataFrame:
     """One row for every pose of every scan.
 
     ``points``: scan, x, y, z.  ``poses``: scan, pose_id, tx .. yaw and optionally
-    gnss_x, gnss_y.  A scan's points go to one task (a scan is one sensor sweep);
-    its poses go with it.  Poses of scans without points have status ``empty``.
+    gnss_x, gnss_y.  A scan (one sensor sweep) goes whole to each task that aligns
+    some of its poses, so a search with many poses of one scan is spread too.
+    Poses of scans without points have status ``empty``.
     """
     index = points.sparkSession.sparkContext.broadcast(local_voxels(voxels, config.resolution))
     kind = points.schema[scan].dataType.simpleString()
@@ -81,8 +82,12 @@ def align_batch(points: DataFrame, poses: DataFrame, voxels: DataFrame, scan: st
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(points.sparkSession.createDataFrame([], text).schema)
-    wanted = poses.select(F.col(scan).alias(scan), F.col("pose_id").cast("long").alias("pose_id"), *(F.col(c).cast("double").alias(c) for c in POSE), *(["gnss_x", "gnss_y"] if has_gnss else []))
-    return points.select(scan, "x", "y", "z").groupBy(scan).cogroup(wanted.groupBy(scan)).applyInArrow(run, text)
+    parts = poses.groupBy(F.col(scan).alias("_scan")).agg(F.ceil(F.count(F.lit(1)) / poses_per_task).alias("_parts"))
+    wanted = poses.join(parts, F.col(scan) == F.col("_scan")).withColumn("_part", F.pmod(F.xxhash64("pose_id"), "_parts"))
+    wanted = wanted.select(F.col(scan).alias(scan), "_part", F.col("pose_id").cast("long").alias("pose_id"), *(F.col(c).cast("double").alias(c) for c in POSE), *(["gnss_x", "gnss_y"] if has_gnss else []))
+    cloud = points.select(scan, "x", "y", "z").join(parts, F.col(scan) == F.col("_scan")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    cloud = cloud.select(F.col(scan).alias("_of"), F.col("_part").alias("_at"), "x", "y", "z")
+    return cloud.groupBy("_of", "_at").cogroup(wanted.groupBy(scan, "_part")).applyInArrow(run, text)
 
 
 def align_cloud(points: DataFrame, voxels: DataFrame, initial: tuple[float, ...], config: MatchConfig = MatchConfig(), gnss: tuple[float, float] | None = None) -> dict:
