@@ -36,8 +36,8 @@ from scanloom.llm.common import staged
 from scanloom.llm.text_kernels import Words, byte_runs, gram_hashes, mix64, span_hashes, text_bytes
 
 WINDOW, MINIMISER = 13, 3
-#: Words of a cell, share of a frequent run, windows of a bucket, windows of a super-k-mer.
-CELL, SHARE, BUCKET, LONGEST = 1 << 20, 2e-5, 1 << 19, 200
+#: Share of a frequent run, windows of a bucket, windows of a super-k-mer; bytes of a cell.
+SHARE, BUCKET, LONGEST = 2e-5, 1 << 18, 200
 _CELL_BYTES = 6 << 20
 _FIELDS = (("length", "<u4"), ("doc", "<i8"), ("row", "<i8"), ("start", "<u4"), ("windows", "<u2"))
 
@@ -158,8 +158,9 @@ def _cell_blocks(rows: np.ndarray, docs: np.ndarray, texts: list[bytes], often:
     ask = ask[np.argsort(bucket, kind="stable")]
     bucket = np.sort(bucket)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    bounds = np.append(cuts, len(ask))
     blocks = []
-    for low, high in zip(cuts, np.append(cuts[1:], len(ask)), strict=True):
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
         own = ask[low:high]
         owner = text_of[at[own]]
         fields = {

@@ -52,7 +52,7 @@ class _PowerTable:
         if n > len(self.up):
             size = max(n, 1 << 16)
             up, down = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
-            if size > 1 << 23:  # one enormous text: don't keep its tables
+            if size > 1 << 21:  # one enormous word: don't keep its tables
                 return up, down
             self.up, self.down = up, down
         return self.up[:n], self.down[:n]
@@ -86,16 +86,26 @@ class Words:
         self.hashes = span_hashes(self.buf, self.starts, self.ends) if hashes else None
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span ``buf[start:end]``; any spans, also overlapping."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    up, down = _TABLE.get(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.multiply(buf + np.uint64(1), up[: len(buf)], out=total[1:])
-    np.cumsum(total, out=total)
-    out = (total[ends] - total[starts]) * down[starts]
-    return mix64(out + (ends - starts).astype(np.uint64))
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of each byte span ``buf[start:end]``; starts rise, spans may overlap.
+
+    A span's hash doesn't depend on its place, so the prefix sums are made for a
+    chunk of the buffer at a time, which bounds memory and stays in the cache.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        low = starts[i]
+        j = max(i + 1, int(np.searchsorted(starts, low + chunk)))
+        s, e = starts[i:j] - low, ends[i:j] - low
+        part = buf[low : low + int(e.max())]
+        up, down = _TABLE.get(len(part) + 1)
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.multiply(part + np.uint64(1), up[: len(part)], out=total[1:])
+        np.cumsum(total, out=total)
+        out[i:j] = mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
