@@ -114,3 +114,19 @@ def derivative_sums(points: DataFrame, voxels: DataFrame, pose: tuple[float, ...
     return partial.agg(*(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names))
 
 
+
+
+def plain_voxels(points: DataFrame, resolution: float, min_points: int = 6, ridge: float = 0.01) -> DataFrame:
+    """The simpler voxel of legacy scores: covariance over n, a ridge on its diagonal, no eigenvalue clamp.
+
+    The inverse is the adjugate over the determinant, as expressions.
+    """
+    from scanloom.operators.voxels import CELL, means_and_covariances, moments
+
+    stats = means_and_covariances(moments(points, resolution), resolution, min_points)
+    n = F.col("n")
+    a, b, c, d, e, f = ((F.col(x) * (n - 1) / n + (ridge if x in ("cxx", "cyy", "czz") else 0.0)) for x in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz"))
+    minors = {"aa": d * f - e * e, "ab": c * e - b * f, "ac": b * e - c * d, "bb": a * f - c * c, "bc": b * c - a * e, "cc": a * d - b * b}
+    det = a * minors["aa"] + b * minors["ab"] + c * minors["ac"]
+    inverse = F.array(*(minors[k] / det for k in ("aa", "ab", "ac", "ab", "bb", "bc", "ac", "bc", "cc")))
+    return stats.select(*CELL, "n", F.array("mx", "my", "mz").alias("mean"), inverse.alias("inv_cov"))

@@ -174,3 +174,27 @@ def test_tiles(spark):
     diff = tiles.tile_difference(fresh, points)
     assert {(r[0], r[1]) for r in diff.collect()} == {("c", "add"), ("b", "remove")}
     assert {r["tile_id"] for r in tiles.apply_difference(points, diff, fresh).collect()} == {"a", "c"}
+
+
+def test_transform_buffer_and_switch(spark):
+    from scanloom.streaming.transforms import EDGE, Switch, TransformBuffer, serve_map_request
+
+    buffer = TransformBuffer(most=3)
+    edge = lambda t, fixed, x: ("/map", "base_link", t, fixed, float(x), 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)
+    buffer.push(spark.createDataFrame([edge(i, False, i) for i in range(5)], EDGE))
+    assert [e[0] for e in buffer.edges[("map", "base_link")]] == [2, 3, 4]
+    ask = spark.createDataFrame([(1, "base_link", "map", 3), (2, "map", "base_link", None)], "query_id long, source string, target string, stamp_ns long")
+    got = {r["query_id"]: (r["route"], r["transform"]["tx"]) for r in buffer.lookup(ask).collect()}
+    assert got == {1: ("direct", 3.0), 2: ("inverse", -4.0)}  # without a stamp the latest
+    buffer.push(spark.createDataFrame([edge(9, True, 50)], EDGE))
+    assert {r["transform"]["tx"] for r in buffer.lookup(ask.where("query_id = 1")).collect()} == {50.0}
+
+    calls, resets = [], []
+    switch = Switch(False, [lambda: resets.append(1)])
+    process = switch.guard(lambda df, n: calls.append(n))
+    process(None, 1)
+    switch.set(True)
+    process(None, 2)
+    assert calls == [2] and resets == [1]
+    tiles_ = spark.createDataFrame([("a", 0.0, 0.0), ("b", 50.0, 0.0)], "tile_id string, cx double, cy double")
+    assert {(r[0], r[1]) for r in serve_map_request(tiles_, 0, 0, 10, ["b"]).collect()} == {("a", "add"), ("b", "remove")}
