@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,11 +31,24 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + os.path.join(tempfile.gettempdir(), f"scanloom-{os.getpid()}")
+        own = os.path.join(tempfile.gettempdir(), f"scanloom-{os.getpid()}")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = "file://" + own
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def staging_folder(spark: SparkSession) -> str:
+    """Where this application keeps its staged tables."""
+    return f"{shared_folder(spark)}/scanloom/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all staged tables of this application; results that still read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, small: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
 
@@ -46,7 +61,7 @@ def staged(df: DataFrame, small: bool = False) -> DataFrame:
     spark = df.sparkSession
     if small:
         df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
-    path = f"{shared_folder(spark)}/scanloom/{uuid.uuid4().hex}"
+    path = f"{staging_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from scanloom.llm.common import crc_mod
 from scanloom.llm.text_kernels import byte_runs, text_bytes
 
-#: Bound of a sample: rows of each class, and bytes of a row's text.  Rows beyond
+#: Bound of a sample: rows of each class, and bytes of a row's text; together they
+#: bound what the driver gets (some 260 MB, far less in practice).  Rows beyond
 #: these are not learnt from; every row is scored.
-MAX_ROWS, MAX_BYTES = 4000, 1 << 18
+MAX_ROWS, MAX_BYTES = 4000, 1 << 15
 
 
 def sample_ids(labels: DataFrame, label: str, id_col: str, modulus: int, held_out: int, rows: int = MAX_ROWS) -> tuple[DataFrame, list[int]]:
-    """(id, y, lang-free) rows of at most ``rows`` for each class, and the true class counts.
+    """(id, y) rows of at most ``rows`` for each class, and the true class counts.
 
     Rows with a null id or label, labels other than 0 and 1, ids with
     contradicting labels and held-out rows are left out.  The sample is the rows

@@ -178,3 +178,15 @@ def test_substring_dedup_repeated_and_null_ids(spark):
     got = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring_dedup(frame(spark, rows)).collect())
     assert got == [(-1, 20, 0), (2, 0, 0), (5, 20, 0), (5, 21, 0), (6, 21, 20)]
     assert substring_dedup(frame(spark, [])).count() == 0
+
+
+def test_staged_tables_can_be_released(spark):
+    from scanloom.llm.common import release, staged
+
+    table = staged(spark.range(10))
+    assert table.count() == 10
+    release(spark)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|not exist"):
+        spark.catalog.clearCache()
+        staged_again = spark.read.parquet(table.inputFiles()[0])
+        staged_again.count()
