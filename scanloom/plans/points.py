@@ -205,9 +205,8 @@ def q_relative_pose(spark, d):
     w = Window.partitionBy("track_id").orderBy("stamp_ns", "event_id")
     before = {f"p{c}": F.lag(c).over(w) for c in ("x", "y", "z", *Q)}
     rows = rows.withColumns(before).where("px is not null")
-    shift, turn = G.relative_pose((("x", "y", "z"), Q), (("px", "py", "pz"), tuple(f"p{q}" for q in Q)))
+    shift, _ = G.relative_pose((("x", "y", "z"), Q), (("px", "py", "pz"), tuple(f"p{q}" for q in Q)))
     angle = G.quaternion_angle(Q, tuple(f"p{q}" for q in Q))
-    del turn
     return rows.select("event_id", *(F.round(s, 5).alias(f"d{c}") for s, c in zip(shift, "xyz", strict=True)), F.round(angle, 5).alias("angle"))
 
 
