@@ -89,7 +89,7 @@ class CovarianceConfig:
     temperature: float = 0.05
     scale: float = 1.0
     diagonal: tuple[float, ...] = (0.0225, 0.0225, 0.0225, 0.000625, 0.000625, 0.000625)
-    offsets: tuple[tuple[float, float], ...] = ((0.0, 0.0), (0.5, 0.0), (-0.5, 0.0), (0.0, 0.5), (0.0, -0.5), (1.0, 0.0), (-1.0, 0.0))[1:]
+    offsets: tuple[tuple[float, float], ...] = ((0.0, 0.5), (0.0, -0.5), (0.5, 0.0), (-0.5, 0.0), (1.0, 0.0), (-1.0, 0.0))
     correction: str = "shrunk"  # (n-1)/n after equal weights, or "unbiased"
 
 

@@ -50,7 +50,8 @@ def bracket(targets: DataFrame, poses: DataFrame, keys: list[str], stamp: str =
 def interpolate_poses(targets: DataFrame, poses: DataFrame, keys: list[str], config: PoseBufferConfig = PoseBufferConfig(), bucket_ns: int | None = None) -> DataFrame:
     """Targets (keys, stamp_ns) with the pose at their time, or nulls.
 
-    Null if the track has under two poses, the target lies before its first, a side
+    Further columns of ``poses`` (such as frame and covariance) come from the pose
+    at or before.  Null if the track has under two poses, the target lies before its first, a side
     is as old as the timeout or older, or the two sides are as far apart as the
     tolerance.  Past the last pose that pose itself, within the timeout.
     """
@@ -67,7 +68,8 @@ def interpolate_poses(targets: DataFrame, poses: DataFrame, keys: list[str], con
     position = {c: F.when(good, prev[c] + (next_[c] - prev[c]) * ratio) for c in "xyz"}
     turn = G.slerp([prev[c] for c in ("qx", "qy", "qz", "qw")], [next_[c] for c in ("qx", "qy", "qz", "qw")], ratio)
     turned = {c: F.when(good, v) for c, v in zip(("qx", "qy", "qz", "qw"), turn, strict=True)}
-    return found.withColumns({**position, **turned, "valid": good}).drop("prev", "next", "_size")
+    rest = [c for c in poses.columns if c not in {*keys, "stamp_ns", *position, *turned, *targets.columns}]
+    return found.withColumns({**position, **turned, **{c: F.when(good, prev[c]) for c in rest}, "valid": good}).drop("prev", "next", "_size")
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], tolerance_ns: int, strict: bool = False) -> DataFrame:

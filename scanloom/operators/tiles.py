@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scanloom.config import MapConfig
 
@@ -39,12 +40,32 @@ def tile_stats(points: DataFrame, x: float, y: float, radius: float, tile: str =
 
 
 def update_decisions(positions: DataFrame, keys: list[str], order: str, config: MapConfig = MapConfig()) -> DataFrame:
-    """Adds ``moved`` since the row before, ``should_update`` and ``out_of_range``, for a track whose every row was an update request."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
-    moved = F.sqrt(dx * dx + dy * dy)
-    out = positions.withColumn("moved", moved)
-    return out.withColumns({"should_update": F.col("moved").isNull() | (F.col("moved") > config.update_distance), "out_of_range": F.coalesce(F.col("moved") + config.lidar_radius > config.map_radius, F.lit(False))})
+    """Adds ``moved`` (from the last update; null before the first), ``should_update`` and ``out_of_range``.
+
+    An update is due on the first position and after more than the update distance
+    from the position of the last update, so each row depends on the ones before:
+    a track is scanned in its order, by one task, with three numbers of state.
+    """
+    names = [f.name for f in positions.schema.fields]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        x, y = (np.asarray(table.column(c), dtype=float) for c in ("x", "y"))
+        moved, due, out = np.full(len(x), np.nan), np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
+        last = None
+        for i in range(len(x)):
+            if last is None:
+                due[i] = out[i] = True
+            else:
+                moved[i] = np.hypot(x[i] - last[0], y[i] - last[1])
+                due[i], out[i] = moved[i] > config.update_distance, moved[i] + config.lidar_radius > config.map_radius
+            if due[i]:
+                last = (x[i], y[i])
+        columns = [*table.columns, pa.array(moved, from_pandas=True), pa.array(due), pa.array(out)]
+        return pa.table(columns, names=[*names, "moved", "should_update", "out_of_range"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in positions.schema.fields) + ", moved double, should_update boolean, out_of_range boolean"
+    return positions.groupBy(*keys).applyInArrow(run, schema)
 
 
 def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -37,15 +37,18 @@ def q_plain_voxels(spark, d):
     return out.select(*voxels.CELL, "n", F.round(F.col("inv_cov")[0], 4).alias("i00"), F.round(F.col("inv_cov")[8], 4).alias("i22"))
 
 
-@query(f"""WITH {TRK}, p AS (SELECT event_id AS particle_id, x AS score, iterations FROM track WHERE event_type = 'view'), b AS (SELECT arg_max(particle_id, (score, -particle_id)) AS best, min(score) AS ls, max(score) AS hs FROM p)
-    SELECT namespace, count(*) AS markers, round(avg(r), 6) AS mean_red FROM (SELECT n.namespace, CASE WHEN n.namespace LIKE '%probability' THEN 1 - greatest(0, least((5 + h / 60) % 6, 4 - (5 + h / 60) % 6, 1)) END AS r
-      FROM (SELECT p.*, best, (1 - (score - ls) / (hs - ls)) * 240 AS h FROM p, b) q,
-      (VALUES ('initial_pose_transform_probability'), ('initial_pose_iteration_num'), ('initial_pose_index'), ('result_pose_transform_probability'), ('result_pose_iteration_num'), ('result_pose_index'), ('result_pose_best')) n(namespace)
-      WHERE n.namespace <> 'result_pose_best' OR particle_id = best) GROUP BY namespace""")
+@query(f"""WITH {TRK}, p AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS particle_id, x AS score, iterations FROM track WHERE event_type = 'view'),
+    s AS (SELECT min(score) AS low, max(score) AS high, max(iterations) AS most, count(*) AS total FROM p), u AS (SELECT *, least(greatest((score - low) / greatest(high - low, 0.001), 0), 1) AS by_score, iterations / most AS by_iteration, particle_id / total * 300 / 60 AS hue FROM p, s)
+    SELECT namespace, count(*) AS markers, round(avg(red), 6) AS mean_red, count(*) FILTER (best) AS best FROM (SELECT n.namespace, abs(score - high) < 1e-10 AND n.k < 3 AS best,
+      CASE n.k WHEN 0 THEN 1 - by_score WHEN 1 THEN by_iteration WHEN 2 THEN 1 - greatest(0, least((5 + hue) % 6, 4 - (5 + hue) % 6, 1)) ELSE 0.3 END AS red
+      FROM u, (VALUES ('initial_pose_transform_probability_color_marker', 0), ('initial_pose_iteration_color_marker', 1), ('initial_pose_index_color_marker', 2), ('result_pose_transform_probability_color_marker', 0),
+        ('result_pose_iteration_color_marker', 1), ('result_pose_index_color_marker', 2), ('monte_carlo_initial', 3)) n(namespace, k)) GROUP BY namespace""")
 def q_particle_markers(spark, d):
-    rows = track(spark, d).where("event_type = 'view'").select(F.col("event_id").alias("particle_id"), *(F.col(c).alias(f"i{c}") for c in "xyz"), *(F.col(c).alias(f"r{c}") for c in "xyz"), F.col("x").alias("score"), "iterations")
-    red = F.when(F.col("namespace").like("%probability"), F.col("r"))
-    return visual.particle_markers(rows).groupBy("namespace").agg(F.count(F.lit(1)).alias("markers"), F.round(F.avg(red), 6).alias("mean_red"))
+    from scanloom.operators.sorting import sorted_positions
+
+    rows = track(spark, d).where("event_type = 'view'").select("event_id", *(F.col(c).alias(f"i{c}") for c in "xyz"), *(F.col(c).alias(f"r{c}") for c in "xyz"), F.col("x").alias("score"), "iterations")
+    rows = sorted_positions(rows, "event_id", "score").withColumnRenamed("position", "particle_id")
+    return visual.particle_markers(rows).groupBy("namespace").agg(F.count(F.lit(1)).alias("markers"), F.round(F.avg("r"), 6).alias("mean_red"), F.count_if("best").alias("best"))
 
 
 @query()

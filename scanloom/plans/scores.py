@@ -291,13 +291,17 @@ def q_gate(spark, d):
     return filters.publish_gate(rows, GateConfig()).select("event_id", "published")
 
 
-@query("""WITH a AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'no_correspondences' WHEN event_type = 'view' THEN 'max_iterations' ELSE 'converged' END AS status, value / 50 AS nvtl, CAST(json_extract(props, '$.k') AS INTEGER) % 20 AS oscillation FROM events)
-    SELECT event_id AS scan_id, CASE WHEN status = 'no_correspondences' THEN 'error' WHEN status <> 'converged' OR oscillation > 10 OR nvtl < 2.3 THEN 'warn' ELSE 'ok' END AS level,
-    CASE WHEN status = 'no_correspondences' THEN 'no correspondences' WHEN status <> 'converged' THEN 'not converged' WHEN oscillation > 10 THEN 'oscillating' WHEN nvtl < 2.3 THEN 'score below threshold' ELSE '' END AS message, CAST(oscillation AS VARCHAR) AS oscillation FROM a""")
+@query("""WITH a AS (SELECT event_id, event_type <> 'error' AS posed, event_type <> 'view' AS moved, value / 50 AS nvtl, CAST(json_extract(props, '$.k') AS INTEGER) % 20 AS oscillation FROM events)
+    SELECT event_id AS scan_id, CASE WHEN NOT posed THEN 'warn' WHEN NOT moved THEN 'error' WHEN oscillation > 10 THEN 'warn' ELSE 'ok' END AS level,
+    CASE WHEN NOT posed THEN 'Failed to interpolate initial pose' WHEN NOT moved THEN 'Failed to transform sensor points' WHEN oscillation > 10 THEN 'Oscillation detected: ' || oscillation || ' reversals' ELSE 'OK' END AS message,
+    CAST(oscillation AS VARCHAR) AS oscillation, format('{:.6f}', nvtl) AS nvtl FROM a""")
 def q_diagnostics(spark, d):
     from scanloom.config import EngineConfig
     from scanloom.streaming.matcher import diagnostics
 
-    kind = F.when(F.col("event_type") == "error", "no_correspondences").when(F.col("event_type") == "view", "max_iterations").otherwise("converged")
-    rows = track(spark, d).select(F.col("event_id").alias("scan_id"), kind.alias("status"), (F.col("x") / 50).alias("nvtl"), F.lit(0.0).alias("tp_pairs"), F.lit(0.0).alias("tp_points"), "iterations", (F.col("iterations") % 20).alias("oscillation"))
-    return diagnostics(rows, EngineConfig()).withColumn("oscillation", F.col("values")["oscillation"]).drop("values")
+    rows = track(spark, d).select(
+        F.col("event_id").alias("scan_id"), F.lit("converged").alias("status"), (F.col("x") / 50).alias("nvtl"), F.lit(0.0).alias("tp_pairs"), "iterations", (F.col("iterations") % 20).alias("oscillation"),
+        (F.col("event_type") != "error").alias("is_succeed_interpolate_initial_pose"), (F.col("event_type") != "view").alias("is_succeed_transform_sensor_points"),
+    )
+    out = diagnostics(rows, EngineConfig())
+    return out.select("scan_id", "level", "message", F.col("values")["local_optimal_solution_oscillation_num"].alias("oscillation"), F.col("values")["nearest_voxel_transformation_likelihood"].alias("nvtl"))

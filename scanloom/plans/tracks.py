@@ -189,8 +189,11 @@ def q_tile_centres(spark, d):
     return tiles.tile_centres(_tile_points(spark, d)).select("tile_id", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "points")
 
 
-@query(f"""WITH {TRK}, m AS (SELECT event_id, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS moved FROM track WINDOW w AS (PARTITION BY track_id ORDER BY stamp_ns))
-    SELECT event_id, moved IS NULL OR moved > 20 AS should_update, coalesce(moved + 100 > 150, false) AS out_of_range FROM m""")
+@query(f"""WITH RECURSIVE {TRK}, seq AS (SELECT event_id, track_id, x, y, row_number() OVER (PARTITION BY track_id ORDER BY stamp_ns) AS rn FROM track),
+    walk AS (SELECT event_id, track_id, rn, x AS lx, y AS ly, true AS should_update, true AS out_of_range FROM seq WHERE rn = 1
+      UNION ALL SELECT s.event_id, s.track_id, s.rn, CASE WHEN sqrt((s.x-w.lx)*(s.x-w.lx)+(s.y-w.ly)*(s.y-w.ly)) > 20 THEN s.x ELSE w.lx END, CASE WHEN sqrt((s.x-w.lx)*(s.x-w.lx)+(s.y-w.ly)*(s.y-w.ly)) > 20 THEN s.y ELSE w.ly END,
+        sqrt((s.x-w.lx)*(s.x-w.lx)+(s.y-w.ly)*(s.y-w.ly)) > 20, sqrt((s.x-w.lx)*(s.x-w.lx)+(s.y-w.ly)*(s.y-w.ly)) + 100 > 150 FROM walk w JOIN seq s ON s.track_id = w.track_id AND s.rn = w.rn + 1)
+    SELECT event_id, should_update, out_of_range FROM walk""")
 def q_should_update(spark, d):
     return tiles.update_decisions(track(spark, d), ["track_id"], "stamp_ns", MapConfig()).select("event_id", "should_update", "out_of_range")
 

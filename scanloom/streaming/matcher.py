@@ -58,23 +58,36 @@ def match_batch(points: DataFrame, poses: DataFrame, voxels: DataFrame, config:
     return found.withColumn("covariance", fixed_covariance(config.covariance)), reach.where("not accepted")
 
 
-LEVELS = ("ok", "warn", "error", "stale")
+#: Conditions of a scan in the order in which they are looked at, with level and message.
+CONDITIONS = (
+    ("is_activated", "warn", "NDT is not activated"),
+    ("is_set_map_points", "warn", "Map points not set"),
+    ("is_succeed_interpolate_initial_pose", "warn", "Failed to interpolate initial pose"),
+    ("is_succeed_transform_sensor_points", "error", "Failed to transform sensor points"),
+)
+#: Names of the values in a diagnostics map, and the columns they come from.
+VALUES = {
+    "iteration_num": "iterations", "local_optimal_solution_oscillation_num": "oscillation",
+    "transform_probability": "tp_pairs", "nearest_voxel_transformation_likelihood": "nvtl",
+}
 
 
 def diagnostics(alignments: DataFrame, config: EngineConfig) -> DataFrame:
-    """scan_id, level, message and a map of named values; the worst finding sets level and message."""
-    low = F.col("nvtl") < config.gate.nvtl_threshold
-    findings: list[tuple[Column, str, str]] = [
-        (F.col("status") == "no_correspondences", "error", "no correspondences"),
-        (F.col("status") != "converged", "warn", "not converged"),
-        (F.col("oscillation") > config.gate.max_oscillation, "warn", "oscillating"),
-        (low, "warn", "score below threshold"),
-    ]
-    level, message = F.lit("ok"), F.lit("")
-    for when, name, text in reversed(findings):
-        level, message = F.when(when, name).otherwise(level), F.when(when, text).otherwise(message)
-    values = F.create_map(*(x for c in ("status", "iterations", "oscillation", "nvtl", "tp_pairs", "tp_points") for x in (F.lit(c), F.col(c).cast("string"))))
-    return alignments.select("scan_id", level.alias("level"), message.alias("message"), values.alias("values"))
+    """scan_id, level, message and a map of named values, numbers to six digits.
+
+    Conditions that are columns of ``alignments`` are judged; absent ones hold.
+    """
+    level, message = F.lit("ok"), F.lit("OK")
+    wild = F.col("oscillation") > config.gate.max_oscillation
+    level = F.when(wild, "warn").otherwise(level)
+    message = F.when(wild, F.concat(F.lit("Oscillation detected: "), F.col("oscillation").cast("string"), F.lit(" reversals"))).otherwise(message)
+    present = [c for c in CONDITIONS if c[0] in alignments.columns]
+    for name, worse, text in reversed(present):
+        level, message = F.when(~F.col(name), worse).otherwise(level), F.when(~F.col(name), text).otherwise(message)
+    shown = {n: F.format_string("%.6f", c) if alignments.schema[c].dataType.simpleString() == "double" else F.col(c).cast("string") for n, c in VALUES.items()}
+    shown |= {"status": F.col("status"), **{c[0]: F.col(c[0]).cast("string") for c in present}}
+    values: list[Column] = [x for n, v in shown.items() for x in (F.lit(n), v)]
+    return alignments.select("scan_id", level.alias("level"), message.alias("message"), F.create_map(*values).alias("values"))
 
 
 def run_matcher(scans: DataFrame, map_: VersionedMap, pose_of: Callable[[DataFrame], DataFrame], publish: Callable[[str, DataFrame, int], None], checkpoint: str, config: EngineConfig = EngineConfig(), **trigger) -> StreamingQuery:

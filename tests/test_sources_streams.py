@@ -165,7 +165,7 @@ def test_matcher_stream(spark, tmp_path):
     run.awaitTermination()
     assert [r["scan_id"] for r in published["alignments"]] == [1] and [r["scan_id"] for r in published["refused"]] == [2]
     assert published["alignments"][0]["map_version"] == 1 and len(published["alignments"][0]["covariance"]) == 36
-    assert published["diagnostics"][0]["values"]["status"] == published["alignments"][0]["status"]
+    assert published["diagnostics"][0]["level"] == "ok" and published["diagnostics"][0]["values"]["status"] == published["alignments"][0]["status"]
 
 
 def test_tiles(spark):
@@ -198,3 +198,12 @@ def test_transform_buffer_and_switch(spark):
     assert calls == [2] and resets == [1]
     tiles_ = spark.createDataFrame([("a", 0.0, 0.0), ("b", 50.0, 0.0)], "tile_id string, cx double, cy double")
     assert {(r[0], r[1]) for r in serve_map_request(tiles_, 0, 0, 10, ["b"]).collect()} == {("a", "add"), ("b", "remove")}
+
+
+def test_interpolation_carries_the_older_covariance(spark):
+    second = 1_000_000_000
+    rows = [("a", 10 * second, 0.0, [1.0]), ("a", 10 * second + second // 2, 4.0, [2.0])]
+    poses = spark.createDataFrame([(v, t, x, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, c) for v, t, x, c in rows], "vehicle string, stamp_ns long, x double, y double, z double, qx double, qy double, qz double, qw double, cov array<double>")
+    asks = spark.createDataFrame([("a", 1, 10 * second + second // 4), ("a", 2, 0), ("b", 3, 10 * second)], "vehicle string, scan_id long, stamp_ns long")
+    got = {r["scan_id"]: (r["valid"], r["x"], r["cov"]) for r in temporal.interpolate_poses(asks, poses, ["vehicle"]).collect()}
+    assert got == {1: (True, 2.0, [1.0]), 2: (False, None, None), 3: (False, None, None)}
