@@ -295,6 +295,9 @@ def q_stream_score_windows(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("vehicle"), F.col("value").alias("nvtl"))
     name = f"score_windows_{uuid.uuid4().hex}"
-    run = score_windows(stream, "1 day", "6 hours").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    writer = score_windows(stream, "1 day", "6 hours").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
+    if shared := spark.conf.get("spark.checkpoint.dir", None):  # state must be where all executors see it
+        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/scanloom/{spark.sparkContext.applicationId}/{name}")
+    run = writer.start()
     run.awaitTermination()
     return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "vehicle", "n", F.round("mean_nvtl", 6).alias("mean_nvtl"), "min_nvtl")
