@@ -39,7 +39,7 @@ WINDOW, MINIMISER = 13, 3
 #: Share of a frequent run, windows of a bucket, windows of a super-k-mer; bytes of a cell.
 SHARE, BUCKET, LONGEST = 2e-5, 1 << 18, 200
 _CELL_BYTES = 6 << 20
-_FIELDS = (("length", "<u4"), ("doc", "<i8"), ("row", "<i8"), ("start", "<u4"), ("windows", "<u2"))
+_FIELDS = (("doc", "<i8"), ("row", "<i8"), ("start", "<u4"), ("windows", "<u2"))
 
 
 def _cells(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[list[list], list[bytes]]]:
@@ -126,7 +126,7 @@ def _cut(frequent, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.frombuffer(frequent.value, dtype=np.uint64)
-        codec = pa.Codec("zstd", compression_level=3)
+        codec = pa.Codec("zstd", compression_level=6)
         for (rows, docs), texts in _cells(batches, 2):
             yield _cell_blocks(np.array(rows, dtype=np.int64), np.array(docs, dtype=np.int64), texts, often, buckets, codec)
 
@@ -164,8 +164,7 @@ def _cell_blocks(rows: np.ndarray, docs: np.ndarray, texts: list[bytes], often:
         own = ask[low:high]
         owner = text_of[at[own]]
         fields = {
-            "length": end[own] - begin[own], "doc": np.diff(docs[owner], prepend=0), "row": rows[owner] - docs[owner],
-            "start": start[own], "windows": count[own],
+            "doc": np.diff(docs[owner], prepend=0), "row": rows[owner] - docs[owner], "start": start[own], "windows": count[own],
         }
         body = b" ".join([raw[x:y] for x, y in zip(begin[own].tolist(), end[own].tolist(), strict=True)])
         plain = b"".join([len(own).to_bytes(8, "little"), *(fields[k].astype(t).tobytes() for k, t in _FIELDS), body])
