@@ -32,17 +32,20 @@ def bracket(targets: DataFrame, poses: DataFrame, keys: list[str], stamp: str =
         both = both.withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_ns)))
         part = [*part, F.col("_b")]
     # poses stand before targets of the same stamp, for "at or before"; after them for "after"
-    order = [F.col("_t"), F.col("_p").isNull().cast("int")]
-    w = Window.partitionBy(*part).orderBy(*order)
+    target = F.col("_p").isNull().cast("int")
+    w = Window.partitionBy(*part).orderBy(F.col("_t"), target)
+    # "after" as a running value of the reverse order: a frame that reaches to the
+    # end would be computed anew for every row
+    back = Window.partitionBy(*part).orderBy(F.col("_t").desc(), target.desc())
     out = both.withColumns({
         "prev": F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "next": F.first("_p", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+        "next": F.last("_p", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)),
     }).where(F.col("_row").isNotNull())
     if bucket_ns:
         edges = both.where("_p is not null").groupBy(*keys, "_b").agg(F.max(F.struct(F.col(f"_p.{stamp}"), "_p")).alias("_hi"), F.min(F.struct(F.col(f"_p.{stamp}"), "_p")).alias("_lo"))
         grid = out.select(*keys, "_b").distinct().join(edges, [*keys, "_b"], "full")
-        by = Window.partitionBy(*keys).orderBy("_b")
-        carried = grid.select(*keys, "_b", F.last("_hi._p", True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_lo._p", True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+        by, down = Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys).orderBy(F.col("_b").desc())
+        carried = grid.select(*keys, "_b", F.last("_hi._p", True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.last("_lo._p", True).over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
         out = out.join(carried, [*keys, "_b"]).withColumns({"prev": F.coalesce("prev", "_before"), "next": F.coalesce("next", "_after")})
     return out.select("_row.*", "prev", "next")
 
