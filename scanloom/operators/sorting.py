@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def sorted_positions(df: DataFrame, code: str, tie: str, buckets: int = 4096) -> DataFrame:
-    """Adds ``position`` (from 0) in the order of a BIGINT code and a tie breaker.
+def _digit(value: str, buckets: int) -> Column:
+    """The leading digit of a number: which of ``buckets`` equal parts of its range it lies in."""
+    low, high = F.col(f"_low_{value}").cast("double"), F.col(f"_high_{value}").cast("double")
+    width = F.greatest((high - low) / buckets, F.lit(1e-300))
+    return F.least(F.floor((F.col(value).cast("double") - low) / width), F.lit(buckets - 1))
 
-    As a radix sort does: counts by the leading digits give each digit's first
-    position, and rows are ranked inside theirs.  The digits are ``buckets`` equal
-    ranges between the least and the greatest code; a range that holds much of
-    the data is ranked by code, in parallel, after the codes' own counts.
+
+def sorted_positions(df: DataFrame, code: str, tie: str, buckets: int = 4096, tie_buckets: int = 64) -> DataFrame:
+    """Adds ``position`` (from 0) in the order of a number and a numeric tie breaker.
+
+    As a radix sort does: counts by leading digits give each digit's first
+    position, and rows are ranked inside theirs.  The digits are equal parts of the
+    code's range, then the codes, then equal parts of the ties' range, so that a
+    code that many rows share is ranked by several tasks.
     """
-    low_high = df.agg(F.min(code).alias("low"), F.max(code).alias("high"))
-    ranged = df.crossJoin(low_high)  # one row
-    width = (F.col("high").cast("double") - F.col("low").cast("double") + 1) / buckets
-    dealt = ranged.withColumn("_bucket", F.least(F.floor((F.col(code).cast("double") - F.col("low").cast("double")) / width), F.lit(buckets - 1))).drop("low", "high")
-    counts = dealt.groupBy("_bucket", code).agg(F.count(F.lit(1)).alias("_n"))
-    inside = counts.withColumn("_inner", F.sum("_n").over(Window.partitionBy("_bucket").orderBy(code)) - F.col("_n"))
+    ends = [f(c).alias(f"_{n}_{c}") for c in (code, tie) for n, f in (("low", F.min), ("high", F.max))]
+    ranged = df.crossJoin(df.agg(*ends))  # one row
+    dealt = ranged.select(*df.columns, _digit(code, buckets).alias("_bucket"), _digit(tie, tie_buckets).alias("_part"))
+    counts = dealt.groupBy("_bucket", code, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    inside = counts.withColumn("_inner", F.sum("_n").over(Window.partitionBy("_bucket").orderBy(code, "_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
     sizes = counts.groupBy("_bucket").agg(F.sum("_n").alias("_size"))  # bounded by the number of buckets
     starts = sizes.withColumn("_start", F.sum("_size").over(Window.orderBy("_bucket")) - F.col("_size"))
-    first = inside.join(starts, "_bucket").select(F.col(code).alias("_code"), (F.col("_start") + F.col("_inner")).alias("_first"))
-    rank = F.row_number().over(Window.partitionBy(code).orderBy(tie)) - 1
-    ranked = dealt.withColumn("_rank", rank).join(first, F.col(code) == F.col("_code"))
+    first = inside.join(starts, "_bucket").select(F.col(code).alias("_code"), F.col("_part").alias("_of"), (F.col("_start") + F.col("_inner")).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy(code, "_part").orderBy(tie)) - 1
+    ranked = dealt.withColumn("_rank", rank).join(first, (F.col(code) == F.col("_code")) & (F.col("_part") == F.col("_of")))
     return ranked.withColumn("position", F.col("_first") + F.col("_rank")).select(*df.columns, "position")
