@@ -51,35 +51,34 @@ def _hashed(chunk: Column, bits: int) -> Column:
 
 
 def recipes(docs: DataFrame, id_col: str, text_col: str, bits: int = 128, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
-    """doc_id, n_chars (of the original), text_sha256 and the recipe of each row."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).alias("n_chars"), normal_text(F.col(text_col)).alias("key"))
-    base = base.select("doc_id", "n_chars", F.sha2(F.col("key").cast("binary"), 256).alias("text_sha256"), chunks(F.col("key"), least, most).alias("chunk"))
+    """doc_id, text_id (a hash of the original), n_chars (of the original), text_sha256 and the recipe of each row."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_id"), F.coalesce(F.length(text_col), F.lit(0)).alias("n_chars"), normal_text(F.col(text_col)).alias("key"))
+    base = base.select("doc_id", "text_id", "n_chars", F.sha2(F.col("key").cast("binary"), 256).alias("text_sha256"), chunks(F.col("key"), least, most).alias("chunk"))
     pieces = base.select(F.explode("chunk").alias("chunk")).select(_hashed(F.col("chunk"), bits).alias("h"), "chunk")
     # One row for each distinct content (combined before the shuffle), then the
     # hashes under which more than one content lies.
     contents = pieces.groupBy("h").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low != high").select("h")
     clashes = staged(contents, small=True)
     if clashes.isEmpty():  # each hash has one content: it is the identifier
-        return base.select("doc_id", "n_chars", "text_sha256", F.transform("chunk", lambda c: _hashed(c, bits)).alias("recipe"))
+        return base.select("doc_id", "text_id", "n_chars", "text_sha256", F.transform("chunk", lambda c: _hashed(c, bits)).alias("recipe"))
     ranked = (
         pieces.join(clashes, "h", "left_semi").distinct().groupBy("h")
         .agg(F.array_sort(F.collect_list("chunk")).alias("contents"))
         .select("h", F.posexplode("contents").alias("rank", "chunk"))
     )
-    row = F.struct("doc_id", "n_chars", "text_sha256", F.monotonically_increasing_id().alias("n"))
+    row = F.struct("doc_id", "text_id", "n_chars", "text_sha256", F.monotonically_increasing_id().alias("n"))
     placed = staged(base.withColumn("row", row).select("row", F.posexplode_outer("chunk").alias("at", "chunk")).withColumn("h", _hashed(F.col("chunk"), bits)))
     known = placed.join(ranked.withColumnRenamed("chunk", "content"), (placed.h == ranked.h) & (placed.chunk == F.col("content")), "left").select("row", "at", placed.h.alias("h"), "rank")
     part = F.struct(F.col("at"), F.struct(F.col("h.a").alias("a"), F.struct(F.col("h.b"), F.coalesce("rank", F.lit(0))).alias("b")).alias("id"))
     listed = known.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), part))).alias("parts"))
-    return listed.select("row.doc_id", "row.n_chars", "row.text_sha256", F.transform("parts", lambda p: p["id"]).alias("recipe"))
+    return listed.select("row.doc_id", "row.text_id", "row.n_chars", "row.text_sha256", F.transform("parts", lambda p: p["id"]).alias("recipe"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 128) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``.
+def _judged(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
+    """Every row with its group's kept row.
 
-    Of equal texts the row with the most characters stays, then the smallest
-    doc_id.  Both sides of the last join are plain scans, so that adaptive
-    execution can split a recipe that a large part of all rows shares.
+    Both sides of the last join are plain scans, so that adaptive execution can
+    split a recipe that a large part of all rows shares.
     """
     listed = staged(recipes(docs, id_col, text_col, bits))
     rank = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("null"), "doc_id")
@@ -87,15 +86,33 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = staged(groups, small=True)
     found = listed.join(groups.withColumnRenamed("recipe", "theirs"), F.col("recipe") == F.col("theirs"), "left")
     kept = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_chars") == -F.col("best.n")))
-    return found.select("doc_id", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
+    keep_id = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    return found.select("doc_id", "text_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 128) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``.
+
+    Of equal texts the row with the most characters stays, then the smallest doc_id.
+    """
+    return _judged(docs, id_col, text_col, bits).drop("text_id")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one for each distinct text, with all their columns.
+    """The rows of ``docs`` that stay, exactly one for each distinct text, with all their columns.
 
-    Rows that repeat the kept doc_id with a text of the kept length are one
-    document and the first of them stays; a row with a null doc_id stays only if
-    its whole group has none.
+    Rows are told apart by id and text, so other texts under the same (or a null)
+    id are not touched; of rows that tie in everything that counts, any one stays.
     """
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(theirs := own_name(docs, "dropped_id"))).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(theirs)), "left_anti")
+    judged = staged(_judged(docs, id_col, text_col, 128))
+    id_, hash_ = own_name(docs, "dropped_id"), own_name(docs, "dropped_text")
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("text_id").alias(hash_)).distinct()
+    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(hash_)), "left_anti")
+    # Rows that tie in id and length are all marked as kept: rare, and one is enough.
+    twice = staged(judged.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias(id_)).distinct(), small=True)
+    if twice.isEmpty():
+        return left
+    same = F.col(id_col).eqNullSafe(F.col(id_))
+    key = own_name(docs, "text_key")
+    single = left.join(twice, same, "left_semi").withColumn(key, normal_text(F.col(text_col))).dropDuplicates([id_col, key]).drop(key)
+    return left.join(twice, same, "left_anti").unionByName(single)

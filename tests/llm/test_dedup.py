@@ -103,6 +103,10 @@ def test_exact_dedup_keeps_rows_whole(spark):
     kept = exact_dedup(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "DROPS", "keep_id"]
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
+    # other texts under a dropped or null id stay; of identical rows one does
+    rows += [(1, "other"), (None, "lonely"), (7, "same"), (7, "same"), (7, "sa me"), (7, "s ame"), (None, "twin"), (None, "twin")]
+    got = sorted((r["doc_id"] or 0, squeezed(r["text"])) for r in exact_dedup(frame(spark, rows)).collect())
+    assert got == [(0, "lonely"), (0, "twin"), (1, "other"), (2, "ab"), (3, "c"), (4, ""), (7, "same")]
     assert exact_dedup(frame(spark, [])).count() == 0
 
 
