@@ -89,6 +89,27 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
             FROM marked GROUP BY doc_id""",
+        "op4_minhash_near_dedup": f"""
+            WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+            s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+                  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+            l AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * shared >= 85 * (nx.n + ny.n - shared)),
+            e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+            r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id)
+            SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id, r.doc_id = min(root) AS kept
+            FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+        "op9_substring_dedup": r"""
+            WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+            win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+            m AS (SELECT k, min(doc_id) AS first_id FROM win GROUP BY k),
+            gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM win JOIN m USING (k), range(13) t(j) WHERE first_id < doc_id),
+            words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+            kept AS (SELECT doc_id, count(*) FILTER (g.pos IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY words.pos) FILTER (g.pos IS NULL) AS text
+                     FROM words LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id)
+            SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+            FROM w LEFT JOIN kept USING (doc_id)""",
         # The table holds no calls: every message is a plain one.
         "op5_chat_formatting": """
             SELECT conv_id, turn, coalesce(role, 'unknown') AS role, 'message' AS kind, turn AS anchor_turn, 0 AS level, -1 AS call_index,
