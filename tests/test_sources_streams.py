@@ -207,3 +207,11 @@ def test_interpolation_carries_the_older_covariance(spark):
     asks = spark.createDataFrame([("a", 1, 10 * second + second // 4), ("a", 2, 0), ("b", 3, 10 * second)], "vehicle string, scan_id long, stamp_ns long")
     got = {r["scan_id"]: (r["valid"], r["x"], r["cov"]) for r in temporal.interpolate_poses(asks, poses, ["vehicle"]).collect()}
     assert got == {1: (True, 2.0, [1.0]), 2: (False, None, None), 3: (False, None, None)}
+
+
+def test_percentiles_from_a_sketch(spark):
+    from scanloom.operators.analytics import timing_stats
+
+    rows = spark.range(10_000).select((F.col("id") % 1000).cast("double").alias("ms"))
+    exact, sketch = timing_stats(rows, "ms").first(), timing_stats(rows, "ms", accuracy=200).first()
+    assert all(abs(exact[c] - sketch[c]) <= 10 for c in ("median", "p95", "p99"))
