@@ -4,7 +4,9 @@ A text becomes a sequence of tokens (runs of letters and digits, lower-cased).
 Numbers, units after numbers and names are slots: a run of slots of one type
 becomes one typed placeholder, whose value is remembered.  Windows are five
 consecutive tokens, hashed, once with the words as they are (literal) and once
-with placeholders (template).
+with placeholders (template).  A capitalised word that opens a text, line or
+sentence may be a name or not, so template windows over it are made in both
+readings: as a word, and as a name (``opened``).
 
 1. The windows of the benchmark set bits of a bitmap of fixed size; one scan of
    the documents keeps the windows whose bit is set, as one row a document.
@@ -16,8 +18,8 @@ with placeholders (template).
    item's literal windows that the document has.  ``template`` is the share of
    its template windows found whose slots agree with one mapping of the item's
    slot values to the document's (same value to same value, and no two values
-   to one).  Either at ``least`` or more is a leak: ``verbatim`` or
-   ``reparameterised``.
+   to one); of the item's two readings the better one counts.  Either at
+   ``least`` or more is a leak: ``verbatim`` or ``reparameterised``.
 
 Defined results: null and empty texts match nothing; an item of fewer than five
 tokens is no evidence and never matches.  Rows that repeat a doc_id or an
@@ -27,6 +29,7 @@ item_id are judged together, as one document (any of its texts) or one item
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -89,21 +92,46 @@ class Templates:
         is_unit = units[np.minimum(at, len(units) - 1)] == self.literal
         is_unit[1:] &= number[:-1]
         is_unit[:1] = False
+        opened = kind.copy()
+        opened[capital & opening] = NAME
+        opened[is_unit & ~(capital & opening)] = UNIT
         kind[is_unit & ~opening] = UNIT
-        self.kind = kind
+        self.kind, self.opened = kind, opened
 
     def of(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Literal window hashes, template window hashes, and of each template token its type and value."""
         own = slice(self.first[i], self.first[i + 1])
-        literal, kind = self.literal[own], self.kind[own]
-        if not len(literal):
-            return literal, literal, kind, literal
-        begins = np.ones(len(kind), dtype=bool)
-        begins[1:] = (kind[1:] == 0) | (kind[1:] != kind[:-1])
-        at = np.flatnonzero(begins)
-        value = np.add.reduceat(literal, at)
-        token = np.where(kind[at] > 0, mix64(kind[at].astype(np.uint64)), value)
-        return gram_hashes(literal, WINDOW), gram_hashes(token, WINDOW), kind[at], value
+        literal = self.literal[own]
+        template, kind, value, _ = _template(literal, self.kind[own])
+        return gram_hashes(literal, WINDOW), template, kind, value
+
+    def opened_of(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The reading with opening names, empty where it is the same: template window hashes, of each token its type,
+        value and place among the tokens of the other reading, and whether a window differs from that reading's."""
+        own = slice(self.first[i], self.first[i + 1])
+        literal, changed = self.literal[own], self.opened[own] != self.kind[own]
+        if not changed.any():
+            return literal[:0], self.kind[:0], literal[:0], np.zeros(0, dtype=np.int64), changed[:0]
+        template, kind, value, at = _template(literal, self.opened[own])
+        place = np.searchsorted(_begins(self.kind[own]), at, side="right") - 1
+        before = np.concatenate([[0], np.cumsum(np.add.reduceat(changed.astype(np.int64), at))])
+        return template, kind, value, place, before[WINDOW:][: len(template)] > before[: len(template)]
+
+
+def _begins(kind: np.ndarray) -> np.ndarray:
+    begins = np.ones(len(kind), dtype=bool)
+    begins[1:] = (kind[1:] == 0) | (kind[1:] != kind[:-1])
+    return np.flatnonzero(begins)
+
+
+def _template(literal: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Window hashes, and of each template token its type, value and first word."""
+    if not len(literal):
+        return literal, kind, literal, np.zeros(0, dtype=np.int64)
+    at = _begins(kind)
+    value = np.add.reduceat(literal, at)
+    token = np.where(kind[at] > 0, mix64(kind[at].astype(np.uint64)), value)
+    return gram_hashes(token, WINDOW), kind[at], value, at
 
 
 def _scan(bitmap):
@@ -120,13 +148,19 @@ def _scan(bitmap):
                     literal, template, kind, value = templates.of(i)
                     literal = np.unique(literal[_known(bits, literal)])
                     at = np.flatnonzero(_known(bits, template))
-                    if len(literal) or len(at):
+                    # Windows of the other reading follow, numbered after the tokens of the first
+                    opened, opened_kind, opened_value, place, differs = templates.opened_of(i)
+                    also = np.flatnonzero(differs & _known(bits, opened))
+                    if len(literal) or len(at) or len(also):
+                        near, at = np.concatenate([at, place[also]]), np.concatenate([at, also + len(kind)])
+                        hashes = np.concatenate([template[at[: len(at) - len(also)]], opened[also]])
+                        kind, value = np.concatenate([kind, opened_kind]), np.concatenate([value, opened_value])
                         slots = np.unique((at[:, None] + np.arange(WINDOW)).reshape(-1))
                         slots = slots[kind[slots] > 0]
-                        rows.append((begin + i, literal, template[at], at, slots, value[slots]))
+                        rows.append((begin + i, literal, hashes, at, near, slots, value[slots]))
                 if rows:
-                    lists = [pa.array([x[k].view(np.int64) if x[k].dtype == np.uint64 else x[k].astype(np.int64) for x in rows], pa.list_(pa.int64())) for k in range(1, 6)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in rows])), *lists], names=["doc_id", "literal", "template", "at", "slot_at", "slot"])
+                    lists = [pa.array([x[k].view(np.int64) if x[k].dtype == np.uint64 else x[k].astype(np.int64) for x in rows], pa.list_(pa.int64())) for k in range(1, 7)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in rows])), *lists], names=["doc_id", "literal", "template", "at", "near", "slot_at", "slot"])
 
     return run
 
@@ -136,15 +170,24 @@ def _known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
+_ITEM = ("literal", "template", "kind", "value", "opened", "opened_kind", "opened_value", "opened_place")
+
+
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     units = _unit_hashes()
     for batch in batches:
         texts = text_bytes(batch.column(1))
         for begin, end in byte_runs(texts, _RUN):
             templates = Templates(texts[begin:end], units)
-            rows = [templates.of(i) for i in range(end - begin)]
-            lists = [pa.array([np.asarray(x[k]).astype(np.uint64).view(np.int64) for x in rows], pa.list_(pa.int64())) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), *lists], names=["item_id", "literal", "template", "kind", "value"])
+            rows = []
+            for i in range(end - begin):
+                own, opened = templates.of(i), templates.opened_of(i)[:4]
+                like = np.searchsorted(opened[3], np.arange(len(own[1])), side="right") - 1
+                beside = opened[0][like[like < len(opened[0])]] if len(opened[0]) else opened[0]
+                beside = np.concatenate([beside, own[1][len(beside) :]])  # the window itself where there's no like
+                rows.append((*own, *opened, beside))
+            lists = [pa.array([np.asarray(x[k]).astype(np.uint64).view(np.int64) for x in rows], pa.list_(pa.int64())) for k in range(9)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), *lists], names=["item_id", *_ITEM, "beside"])
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,28 +204,40 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _template_share(x: dict) -> float:
-    """The share of the item's template windows found with consistent slots."""
-    item, kind, value = x["item_template"], x["item_kind"], x["item_value"]
-    if not item:
-        return 0.0
-    places: dict[int, list[int]] = {}
-    for h, at in zip(x["template"], x["at"], strict=True):
-        places.setdefault(h, []).append(at)
-    shifts = Counter(at - p for p, h in enumerate(item) for at in places.get(h, ()))
-    if not shifts:
-        return 0.0
-    base = min(shifts, key=lambda s: (-shifts[s], s))
+    """The share of the item's template windows found with consistent slots: in either reading alone, or in the one
+    where words open sentences, with the other's windows for those that aren't found."""
+    places: dict[int, list[tuple[int, int]]] = {}
+    for h, at, near in zip(x["template"], x["at"], x["near"], strict=True):
+        places.setdefault(h, []).append((near, at))
     theirs = dict(zip(x["slot_at"], x["slot"], strict=True))
-    found = {p: min(places[h], key=lambda at: (abs(at - p - base), at)) - p for p, h in enumerate(item) if h in places}
+    words = (x["item_template"], x["item_kind"], x["item_value"], range(len(x["item_kind"])))
+    opened = (x["item_opened"], x["item_opened_kind"], x["item_opened_value"], x["item_opened_place"])
+    ways = [[words], [opened], [words, opened]] if opened[0] else [[words]]
+    return max(_share(way, places, theirs) for way in ways)
+
+
+def _share(readings: list[tuple], places: dict[int, list[tuple[int, int]]], theirs: dict[int, int]) -> float:
+    """The share of the first reading's windows found, itself or its like in the second, under one mapping for all."""
+    if not readings[0][0]:
+        return 0.0
     votes: dict[tuple[int, int], Counter] = {}
-    for p, shift in found.items():
-        for q in range(p, p + WINDOW):
-            if kind[q]:
-                votes.setdefault((kind[q], value[q]), Counter())[theirs.get(q + shift)] += 1
+    found = []
+    for item, kind, value, place in readings:
+        shifts = Counter(near - place[p] for p, h in enumerate(item) for near, _ in places.get(h, ()))
+        base = min(shifts, key=lambda s: (-shifts[s], s), default=0)
+        found.append({p: min(places[h], key=lambda y: (abs(y[0] - place[p] - base), y))[1] - p for p, h in enumerate(item) if h in places})
+        for p, shift in found[-1].items():
+            for q in range(p, p + WINDOW):
+                if kind[q]:
+                    votes.setdefault((kind[q], value[q]), Counter())[theirs.get(q + shift)] += 1
     chosen = {k: min(v, key=lambda y: (-v[y], str(y))) for k, v in votes.items()}
     used = Counter((k[0], v) for k, v in chosen.items())
-    good = [p for p, shift in found.items() if all(theirs.get(q + shift) == (c := chosen[(kind[q], value[q])]) and used[(kind[q], c)] == 1 for q in range(p, p + WINDOW) if kind[q])]
-    windows = {item[p] for p in good}
+    good = [
+        {p for p, shift in at.items() if all(theirs.get(q + shift) == (c := chosen[(kind[q], value[q])]) and used[(kind[q], c)] == 1 for q in range(p, p + WINDOW) if kind[q])}
+        for at, (_, kind, value, _) in zip(found, readings, strict=True)
+    ]
+    item = readings[0][0]
+    windows = {h for p, h in enumerate(item) if p in good[0] or (len(good) > 1 and bisect_right(readings[1][3], p) - 1 in good[1])}
     return len(windows) / len(set(item))
 
 
@@ -200,26 +255,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, item_id, literal, template, kind for each document and item that it holds."""
     spark = docs.sparkSession
     source = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    rows = source.mapInArrow(_item_windows, "item_id long, literal array<long>, template array<long>, kind array<long>, value array<long>")
-    items = staged(rows.where("size(literal) > 0 or size(template) > 0"), small=True)
-    windows = items.select("item_id", F.explode(F.array_union("literal", "template")).alias("h")).distinct()
+    rows = source.mapInArrow(_item_windows, ", ".join(["item_id long", *(f"{c} array<long>" for c in (*_ITEM, "beside"))]))
+    items = staged(rows.where("size(literal) > 0 or size(template) > 0 or size(opened) > 0"), small=True)
+    windows = items.select("item_id", F.explode(F.array_union(F.array_union("literal", "template"), "opened")).alias("h")).distinct()
     bitmap = spark.sparkContext.broadcast(_bitmap(windows))
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    held = staged(texts.mapInArrow(_scan(bitmap), "doc_id long, literal array<long>, template array<long>, at array<long>, slot_at array<long>, slot array<long>"))
+    held = staged(texts.mapInArrow(_scan(bitmap), "doc_id long, literal array<long>, template array<long>, at array<long>, near array<long>, slot_at array<long>, slot array<long>"))
 
-    # Rarest windows of each item, for each of its two window sets
+    # Rarest windows of each item, for each of its three window sets
     often = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    sets = [items.select("item_id", F.lit(kind).alias("set"), F.explode(F.array_distinct(kind)).alias("h")) for kind in ("literal", "template")]
-    ranked = staged(sets[0].union(sets[1]).join(often, "h").groupBy("item_id", "set").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("all")), small=True)
+    # (a template window stands with its likes in the other reading)
+    sets = [items.select("item_id", F.lit(kind).alias("set"), F.explode(F.arrays_zip(F.col(kind).alias("h"), F.col(like).alias("like"))).alias("x")) for kind, like in (("literal", "literal"), ("template", "beside"), ("opened", "opened"))]
+    likes = sets[0].union(sets[1]).union(sets[2]).groupBy("item_id", "set", F.col("x.h").alias("h")).agg(F.collect_set("x.like").alias("likes"))
+    ranked = staged(likes.join(often, "h").groupBy("item_id", "set").agg(F.array_sort(F.collect_list(F.struct("n", "h", "likes"))).alias("all")), small=True)
     enough = F.ceil(F.size("all") * F.lit(least) - 1e-9)
-    rare = staged(ranked.select("item_id", F.explode(F.slice("all", F.lit(1), (F.size("all") - enough + 1).cast("int"))).alias("x")).select("item_id", F.col("x.h").alias("h")).distinct(), small=True)
+    rare = staged(ranked.select("item_id", F.explode(F.slice("all", F.lit(1), (F.size("all") - enough + 1).cast("int"))).alias("x")).select("item_id", F.explode(F.array_union(F.array("x.h"), "x.likes")).alias("h")).distinct(), small=True)
 
     # One row for each document and window; a window that a large part of the
     # documents has is an exchange of scans on both sides, which AQE can split.
     found = held.select("doc_id", F.explode(F.array_union("literal", "template")).alias("h"))
     pairs = staged(found.join(rare, "h").select("doc_id", "item_id").distinct(), small=True)
-    sides = items.select("item_id", F.col("literal").alias("item_literal"), F.col("template").alias("item_template"), F.col("kind").alias("item_kind"), F.col("value").alias("item_value"))
+    sides = items.select("item_id", *(F.col(c).alias(f"item_{c}") for c in _ITEM))
     judged = pairs.join(held, "doc_id").join(sides, "item_id").mapInArrow(_judge, "doc_id long, item_id long, literal double, template double")
     shares = judged.groupBy("doc_id", "item_id").agg(F.max("literal").alias("literal"), F.max("template").alias("template")).where((F.col("literal") >= least) | (F.col("template") >= least))
     return shares.select("*", F.when(F.col("literal") >= least, "verbatim").otherwise("reparameterised").alias("kind"))

@@ -108,6 +108,21 @@ def test_templates_and_slot_consistency(spark):
     assert leaks(docs.limit(0), bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_names_that_open_a_sentence(spark):
+    item = "Tom has 12 apples. Ann has 7 pears. Tom gives Ann 3 apples. How many apples does Ann have?"
+    copy = item.replace("Tom", "Bob").replace("Ann", "Eve").replace("12", "15")
+    longer = "Mr. Smith met Ann Lee and gave 3 coins to her while Mr. Smith kept 9 coins at home"
+    bench = spark.createDataFrame([(1, item), (2, longer)], "item_id long, text string")
+    texts = [
+        (1, copy), (2, "Foo\n" + copy.replace("Bob", "Mary Jane") + "\nBar"), (3, copy.replace("gives Eve", "gives\nEve")), (4, copy.replace("Eve has", "Bob has")),
+        (5, longer.replace("Smith", "Jones").replace("Ann Lee", "\nKim")), (6, copy.replace("How many", "how many").replace("Bob", "Tom")), (7, item.lower()),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in leaks(docs, bench).collect()}
+    again = "reparameterised"
+    assert got == {(1, 1, again), (2, 1, again), (3, 1, again), (5, 2, again), (6, 1, again), (7, 1, "verbatim")}
+
+
 # ---- chat formatting
 
 
