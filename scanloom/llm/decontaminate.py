@@ -17,9 +17,10 @@ readings: as a word, and as a name (``opened``).
 3. Each candidate is judged on all windows.  ``literal`` is the share of the
    item's literal windows that the document has.  ``template`` is the share of
    its template windows found whose slots agree with one mapping of the item's
-   slot values to the document's (same value to same value, and no two values
-   to one); of the item's two readings the better one counts.  Either at
-   ``least`` or more is a leak: ``verbatim`` or ``reparameterised``.
+   slot values to the document's (same value to same value, and no two names
+   to one; numbers and units may coincide); of the item's two readings the
+   better one counts.  Either at ``least`` or more is a leak: ``verbatim`` or
+   ``reparameterised``.
 
 Defined results: null and empty texts match nothing; an item of fewer than five
 tokens is no evidence and never matches.  Rows that repeat a doc_id or an
@@ -231,9 +232,9 @@ def _share(readings: list[tuple], places: dict[int, list[tuple[int, int]]], thei
                 if kind[q]:
                     votes.setdefault((kind[q], value[q]), Counter())[theirs.get(q + shift)] += 1
     chosen = {k: min(v, key=lambda y: (-v[y], str(y))) for k, v in votes.items()}
-    used = Counter((k[0], v) for k, v in chosen.items())
+    used = Counter(v for k, v in chosen.items() if k[0] == NAME)
     good = [
-        {p for p, shift in at.items() if all(theirs.get(q + shift) == (c := chosen[(kind[q], value[q])]) and used[(kind[q], c)] == 1 for q in range(p, p + WINDOW) if kind[q])}
+        {p for p, shift in at.items() if all(theirs.get(q + shift) == (c := chosen[(kind[q], value[q])]) and (kind[q] != NAME or used[c] == 1) for q in range(p, p + WINDOW) if kind[q])}
         for at, (_, kind, value, _) in zip(found, readings, strict=True)
     ]
     item = readings[0][0]

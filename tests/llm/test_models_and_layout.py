@@ -123,6 +123,13 @@ def test_names_that_open_a_sentence(spark):
     assert got == {(1, 1, again), (2, 1, again), (3, 1, again), (5, 2, again), (6, 1, again), (7, 1, "verbatim")}
 
 
+def test_numbers_that_coincide(spark):
+    item = "In the shop Alice bought 3 pens and 5 books and then she gave all of them to the teacher of her class"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item.replace("3", "4").replace("5", "4")), (2, item.replace("Alice", "Carol").replace("3", "8"))], "doc_id long, text string")
+    assert {(r["doc_id"], r["kind"]) for r in leaks(docs, bench).collect()} == {(1, "reparameterised"), (2, "reparameterised")}
+
+
 # ---- chat formatting
 
 
