@@ -81,21 +81,38 @@ def search(points: DataFrame, voxels: DataFrame, mean: tuple[float, ...], deviat
     ``points``: x, y, z of one scan.  The guided phase runs in ``rounds``
     mini-batches, each proposing the candidates of greatest ratio.
     """
-    spark, rng = points.sparkSession, np.random.default_rng(seed)
-    cloud = points.select(F.lit(0).cast("long").alias("scan_id"), "x", "y", "z")
-    out, done, results = None, 0, []
+    out, best = search_scans(points.select(F.lit(0).cast("long").alias("scan_id"), "x", "y", "z"), voxels, mean, deviation, "scan_id", config, match, seed, rounds)
+    return out.drop("scan_id"), best[0]
+
+
+def search_scans(points: DataFrame, voxels: DataFrame, mean: tuple[float, ...], deviation: tuple[float, ...], scan: str, config: InitialPoseConfig = InitialPoseConfig(), match: MatchConfig = MatchConfig(), seed: int = 0, rounds: int = 4) -> tuple[DataFrame, dict]:
+    """All particles of every scan as a DataFrame, and of each scan the best.
+
+    ``points``: scan, x, y, z.  Each scan has its own search; a round of all of
+    them is one batch.  Poses and scores, not points, come to the driver.
+    """
+    spark = points.sparkSession
+    kind = points.schema[scan].dataType.simpleString()
+    cloud = points.select(scan, "x", "y", "z").where(F.col(scan).isNotNull())
+    ids = sorted(r[0] for r in cloud.select(scan).distinct().collect())
+    rngs = {k: np.random.default_rng([seed, i]) for i, k in enumerate(ids)}
+    done, results = 0, {k: [] for k in ids}
     batches = [config.startup, *np.diff(np.linspace(config.startup, config.particles, rounds + 1).astype(int)).tolist()]
     for n in batches:
-        if n <= 0:
+        if n <= 0 or not ids:
             continue
-        poses = random_poses(n if not results else n * config.candidates, mean, deviation, rng)
-        if results:
-            tried = np.array([[r[c] for c in POSE] for r in results])
-            poses = poses[np.argsort(-ratios(poses, tried, np.array([r["nvtl"] for r in results])), kind="stable")[:n]]
-        frame = spark.createDataFrame([(0, done + i, *map(float, p)) for i, p in enumerate(poses)], "scan_id long, pose_id long, " + ", ".join(f"{c} double" for c in POSE))
-        rows = align_batch(cloud, frame, voxels, "scan_id", match).collect()  # a search's few hundred particles
-        results += [r.asDict() for r in rows]
+        proposed = []
+        for k in ids:
+            poses = random_poses(n if not done else n * config.candidates, mean, deviation, rngs[k])
+            if done:
+                tried = np.array([[r[c] for c in POSE] for r in results[k]])
+                poses = poses[np.argsort(-ratios(poses, tried, np.array([r["nvtl"] for r in results[k]])), kind="stable")[:n]]
+            proposed += [(k, done + i, *map(float, p)) for i, p in enumerate(poses)]
+        frame = spark.createDataFrame(proposed, f"{scan} {kind}, pose_id long, " + ", ".join(f"{c} double" for c in POSE))
+        for r in align_batch(cloud, frame, voxels, scan, match).collect():  # a few hundred particles a scan
+            results[r[scan]].append(r.asDict())
         done += n
-    out = spark.createDataFrame([(r["pose_id"], *(r[c] for c in POSE), r["nvtl"] if r["nvtl"] else 5 * r["tp_pairs"], r["nvtl"], r["iterations"], r["status"]) for r in results], "particle_id long, " + ", ".join(f"{c} double" for c in POSE) + ", score double, nvtl double, iterations int, status string")
-    best = max(results, key=lambda r: (r["nvtl"] or 5 * r["tp_pairs"], -r["pose_id"]))
-    return out, {"pose": [best[c] for c in POSE], "score": best["nvtl"], "iterations": best["iterations"], "reliable": best["nvtl"] >= config.reliable_nvtl}
+    rows = [(k, r["pose_id"], *(r[c] for c in POSE), r["nvtl"] if r["nvtl"] else 5 * r["tp_pairs"], r["nvtl"], r["iterations"], r["status"]) for k in ids for r in results[k]]
+    out = spark.createDataFrame(rows, f"{scan} {kind}, particle_id long, " + ", ".join(f"{c} double" for c in POSE) + ", score double, nvtl double, iterations int, status string")
+    best = {k: max(results[k], key=lambda r: (r["nvtl"] or 5 * r["tp_pairs"], -r["pose_id"])) for k in ids}
+    return out, {k: {"pose": [b[c] for c in POSE], "score": b["nvtl"], "iterations": b["iterations"], "reliable": b["nvtl"] >= config.reliable_nvtl} for k, b in best.items()}

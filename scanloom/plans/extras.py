@@ -56,7 +56,7 @@ def q_history_markers(spark, d):
     from scanloom.config import MatchConfig
     from scanloom.operators import registration
 
-    found = registration.align_batch(scan(spark, d), initial_poses(spark, d), real_voxels(spark, d), "scan_id", MatchConfig(resolution=RES, max_iterations=5), debug=True)
+    found = registration.align_batch(scan(spark, d), initial_poses(spark, d), real_voxels(spark, d), "scan_id", MatchConfig(resolution=RES), debug=True)
     return visual.history_markers(found, ["scan_id", "pose_id"])
 
 

@@ -167,13 +167,13 @@ def q_align_batch(spark, d):
 
 @query()
 def q_align_debug(spark, d):
-    out = registration.align_batch(scan(spark, d), initial_poses(spark, d), real_voxels(spark, d), "scan_id", MatchConfig(resolution=RES, use_line_search=True, max_iterations=10), debug=True)
+    out = registration.align_batch(scan(spark, d), initial_poses(spark, d), real_voxels(spark, d), "scan_id", MatchConfig(resolution=RES, use_line_search=True), debug=True)
     return out.select("scan_id", "pose_id", "status", F.explode("log").alias("i")).select("scan_id", "pose_id", "status", "i.*")
 
 
 @query()
 def q_align_plane(spark, d):
-    return registration.align_batch(scan(spark, d), initial_poses(spark, d), real_voxels(spark, d), "scan_id", MatchConfig(resolution=RES, metric="plane", max_iterations=10))
+    return registration.align_batch(scan(spark, d), initial_poses(spark, d), real_voxels(spark, d), "scan_id", MatchConfig(resolution=RES, metric="plane"))
 
 
 @query()
@@ -184,22 +184,22 @@ def q_align_multigrid(spark, d):
 
 @query()
 def q_align_cloud(spark, d):
-    found = registration.align_cloud(scan(spark, d), real_voxels(spark, d).persist(), (0.2, -0.1, 0.1, 0.0, 0.0, 0.02), MatchConfig(resolution=RES, max_iterations=3))
+    found = registration.align_cloud(scan(spark, d), real_voxels(spark, d).persist(), (0.2, -0.1, 0.1, 0.0, 0.0, 0.02), MatchConfig(resolution=RES))
     return spark.createDataFrame([(*map(float, found["pose"]), found["status"], found["score"], found["iterations"])], ", ".join(f"{c} double" for c in registration.POSE) + ", status string, score double, iterations int")
 
 
 @query()
 def q_initial_pose(spark, d):
-    rows, _ = initial_pose.search(scan(spark, d).where("scan_id = 0"), real_voxels(spark, d).persist(), (0.0,) * 6, (0.5, 0.5, 0.1, 0.02, 0.02, 0.0), InitialPoseConfig(particles=16, startup=8, candidates=10), MatchConfig(resolution=RES, max_iterations=4), rounds=2)
-    return C.running_best(rows.withColumn("search", F.lit(0)), "score", "particle_id", "search")
+    rows, _ = initial_pose.search_scans(scan(spark, d), real_voxels(spark, d).persist(), (0.0,) * 6, (0.5, 0.5, 0.1, 0.02, 0.02, 0.0), "scan_id", InitialPoseConfig(), MatchConfig(resolution=RES))
+    return C.running_best(rows.withColumnRenamed("scan_id", "search"), "score", "particle_id", "search")
 
 
 @query()
 def q_cov_multi_ndt(spark, d):
     config = CovarianceConfig(kind="multi_ndt")
-    found = registration.align_batch(scan(spark, d), initial_poses(spark, d), real_voxels(spark, d), "scan_id", MatchConfig(resolution=RES, max_iterations=5))
+    found = registration.align_batch(scan(spark, d), initial_poses(spark, d), real_voxels(spark, d), "scan_id", MatchConfig(resolution=RES))
     offsets = C.offset_poses(found.select("scan_id", *registration.POSE), config).withColumnRenamed("offset_id", "pose_id")
-    again = registration.align_batch(scan(spark, d), offsets, real_voxels(spark, d), "scan_id", MatchConfig(resolution=RES, max_iterations=5))
+    again = registration.align_batch(scan(spark, d), offsets, real_voxels(spark, d), "scan_id", MatchConfig(resolution=RES))
     return C.covariance_from_offsets(again, config, "scan_id").withColumn("covariance", C.full_covariance(config))
 
 
