@@ -20,14 +20,21 @@ and these columns gives every result after its call, and every call after the
 results it depends on.  JSON is canonical: sorted keys, no white space, one row
 for each message, call and result.
 
+Schemas are read to the depth stated above: one level of properties, whose
+``type`` is a name or a list of names.  Nested properties, items, bounds and
+patterns are not checked.
+
 Defined results: a null text is the empty string; a null turn comes first; null
 roles are ``unknown``; text that isn't such an object is a plain message.  Of
 calls that repeat an identifier in a conversation, the first is linked and the
 others are ``duplicate``; of results the same; a result without call is
 ``orphan``, a call without result ``unanswered``, a call in a circle of
 dependencies, or whose dependency is missing or comes in a later turn,
-``unordered``.  Messages with a null conversation are linked with nothing.
-Repeated rows are rows like others.  An empty table gives an empty result.
+``unordered``; a call without identifier or without conversation is linked with
+nothing and ``unnamed``.  Repeated rows are rows like others: calls that tie in
+(turn, place) are all the first, with all their dependencies, and results that
+tie in turn likewise; none of them multiplies another.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -46,6 +53,8 @@ _ADMITS = {
     "string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL", "FLOAT"], "boolean": ["BOOLEAN"],
     "object": ["OBJECT"], "array": ["ARRAY"], "null": ["VOID"],
 }
+#: A null turn's place.
+_FIRST = -(1 << 63)
 
 
 def _parsed(role: str, marker: str, schema: str) -> Column:
@@ -61,12 +70,14 @@ def _errors(arguments: Column, schema: Column) -> Column:
 
     def wrong(entry: Column) -> Column:
         kind, have = props[entry["key"]]["type"], F.schema_of_variant(entry["value"])
-        fits = F.lit(True)
+        named, fits = F.lit(False), F.lit(False)
         for name, begins in _ADMITS.items():
             some = F.lit(False)
             for b in begins:
                 some = some | have.startswith(b)
-            fits = F.when(kind == name, some).otherwise(fits)
+            asked = (kind == name) | F.contains(kind, F.lit(f'"{name}"'))  # one name, or a list of them
+            named, fits = named | asked, fits | (asked & some)
+        fits = F.coalesce(fits | ~named, F.lit(True))
         allowed = props[entry["key"]]["enum"]
         listed = allowed.isNull() | F.array_contains(allowed, F.regexp_replace(F.to_json(entry["value"]), '^"|"$', ""))
         return F.map_contains_key(props, entry["key"]) & ~(fits & listed)
@@ -78,21 +89,35 @@ def _errors(arguments: Column, schema: Column) -> Column:
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """conv, id, level of every linked call that can be ordered."""
-    needs = staged(calls.where("first").select("conv", "id", F.col("turn").alias("t"), F.explode(F.array_distinct("depends_on")).alias("need")), small=True)
-    open_ = needs.select("conv", "id").distinct()
-    done = calls.where("first").select("conv", "id", "turn").join(open_, ["conv", "id"], "left_anti").withColumn("level", F.lit(0))
+    """conv, id, level of every linked call that can be ordered, one row each.
+
+    A round peels the calls whose dependencies all have a level.  Rounds read only
+    the dependencies that are still open and write only what is new, so that the
+    work is the sum of the levels, not calls times depth.
+    """
+    first = calls.where("first")
+    heads = first.groupBy("conv", "id").agg(F.min(F.struct("turn")).alias("at")).select("conv", "id", F.coalesce("at.turn", F.lit(_FIRST)).alias("t"))
+    needs = staged(first.select("conv", "id", F.coalesce("turn", F.lit(_FIRST)).alias("t"), F.explode("depends_on").alias("need")).distinct(), even=True)
+    level = lambda rows, n: rows.select("conv", "id", F.lit(n).alias("level"))
+    fresh = level(heads.join(needs.select("conv", "id"), ["conv", "id"], "left_anti"), 0)
     if needs.isEmpty():
-        return done
-    done = staged(done, small=True)
+        return fresh
+    known = needs.join(heads.select("conv", F.col("id").alias("need"), F.col("t").alias("need_t")), ["conv", "need"], "left")
+    dead = known.where(F.col("need_t").isNull() | (F.col("need_t") > F.col("t"))).select("conv", "id")
+    open_ = staged(needs.join(dead, ["conv", "id"], "left_anti").select("conv", "id", "need"), even=True)
+    fresh, n = staged(fresh, even=True), 0
+    done = fresh
     while True:
-        met = needs.join(done.select("conv", F.col("id").alias("need"), F.col("turn").alias("need_turn"), "level"), ["conv", "need"], "left")
-        ready = met.join(done.select("conv", "id"), ["conv", "id"], "left_anti").groupBy("conv", "id", F.col("t").alias("turn"))
-        ready = ready.agg(F.max("level").alias("top"), F.min(F.coalesce(F.col("need_turn") <= F.col("t"), F.lit(False))).alias("ok")).where("ok")
-        fresh = staged(ready.select("conv", "id", "turn", (F.col("top") + 1).alias("level")), small=True)
+        met = fresh.select("conv", F.col("id").alias("need"))
+        rest = staged(open_.join(met, ["conv", "need"], "left_anti").select("conv", "id", "need"), even=True)
+        asked = open_.join(met, ["conv", "need"], "left_semi").select("conv", "id").distinct()
+        n += 1
+        fresh = staged(level(asked.join(rest.select("conv", "id"), ["conv", "id"], "left_anti"), n), even=True)
         if fresh.isEmpty():
             return done
-        done = staged(done.union(fresh), small=True)
+        done, open_ = done.union(fresh), rest
+        if n % 32 == 0:  # a long chain's plan stays short
+            done = staged(done, even=True)
 
 
 def format_chats(messages: DataFrame, tools: DataFrame | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -119,14 +144,15 @@ def format_chats(messages: DataFrame, tools: DataFrame | None = None, conv_col:
     # calls and results: only messages that hold them go on
     calls = read.where(F.size("calls.tool_calls") > 0).select("conv", "turn", "role", F.posexplode("calls.tool_calls").alias("call_index", "call")).select("conv", "turn", "role", "call_index", "call.*")
     given = F.when(F.schema_of_variant("arguments") == "STRING", F.try_parse_json(F.try_variant_get("arguments", "$", "string"))).otherwise(F.col("arguments"))
-    calls = staged(calls.withColumn("depends_on", F.coalesce("depends_on", F.array().cast("array<string>"))).withColumn("json_arguments", F.to_json(given)).drop("arguments"), small=True)
-    results = staged(read.where(is_result).select("conv", "turn", "role", F.col("result.tool_call_id").alias("id"), F.to_json("result.content").alias("json_content")), small=True)
+    calls = staged(calls.withColumn("depends_on", F.coalesce("depends_on", F.array().cast("array<string>"))).withColumn("json_arguments", F.to_json(given)).drop("arguments"), even=True)
+    results = staged(read.where(is_result).select("conv", "turn", "role", F.col("result.tool_call_id").alias("id"), F.to_json("result.content").alias("json_content")), even=True)
 
-    firsts = staged(calls.where("conv is not null and id is not null").groupBy("conv", "id").agg(F.min(F.struct("turn", "call_index")).alias("at")), small=True)
-    answers = staged(results.where("conv is not null").groupBy("conv", "id").agg(F.min("turn").alias("answer_turn")), small=True)
+    # one row for each (conv, id) in all three, so that no join multiplies rows
+    firsts = calls.where("conv is not null and id is not null").groupBy("conv", "id").agg(F.min(F.struct("turn", "call_index")).alias("at"))
+    answers = results.where("conv is not null").groupBy("conv", "id").agg(F.min(F.struct("turn")).alias("answer"))
     named = calls.join(firsts, ["conv", "id"], "left").withColumn("first", F.coalesce(F.struct("turn", "call_index").eqNullSafe(F.col("at")) & F.col("at").isNotNull(), F.lit(False)))
-    named = staged(named.drop("at"), small=True)
-    levels = staged(_levels(named).select("conv", "id", "level"), small=True)
+    named = staged(named.drop("at"), even=True)
+    levels = _levels(named)
 
     own = read.where(F.size("declared.tools") > 0).select("conv", F.explode("declared.tools").alias("t")).groupBy("conv", F.col("t.name").alias("name")).agg(F.min(F.to_json("t.parameters")).alias("own_schema"))
     wide = tools.groupBy("name").agg(F.min("parameters").alias("wide_schema")) if tools is not None else messages.sparkSession.range(0).select(F.lit("").alias("name"), F.lit("").alias("wide_schema"))
@@ -136,15 +162,16 @@ def format_chats(messages: DataFrame, tools: DataFrame | None = None, conv_col:
     is_object = F.coalesce(F.col("json_arguments").startswith("{"), F.lit(False))
     full = full.withColumn("schema", schema).withColumn("map", F.when(is_object, as_map))
     errors = F.when(~is_object, F.array(F.lit("arguments:not_an_object"))).when(F.coalesce("own_schema", "wide_schema").isNull(), F.array(F.lit("tool:not_declared"))).otherwise(_errors(F.col("map"), F.col("schema")))
-    status = F.when(~F.col("first"), "duplicate").when(F.col("level").isNull(), "unordered").when(F.col("answer_turn").isNull(), "unanswered").otherwise("ok")
+    status = F.when(F.col("conv").isNull() | F.col("id").isNull(), "unnamed").when(~F.col("first"), "duplicate")
+    status = status.when(F.col("level").isNull(), "unordered").when(F.col("answer").isNull(), "unanswered").otherwise("ok")
     made = full.select(
         "conv", "turn", "role", F.lit("call").alias("kind"), F.col("turn").alias("anchor_turn"), F.coalesce("level", F.lit(0)).cast("int").alias("level"), "call_index", F.lit(1).alias("kind_rank"),
-        F.col("id").alias("call_id"), F.when(F.col("first"), F.col("answer_turn")).alias("linked_turn"), status.alias("status"), errors.alias("errors"),
+        F.col("id").alias("call_id"), F.when(F.col("first"), F.col("answer.turn")).alias("linked_turn"), status.alias("status"), errors.alias("errors"),
         F.to_json(F.struct(F.try_parse_json("json_arguments").alias("arguments"), F.array_sort("depends_on").alias("depends_on"), F.col("id").alias("id"), F.col("name").alias("name"), F.lit("call").alias("type"))).alias("json"),
     )
 
     linked = results.join(firsts.join(levels, ["conv", "id"], "left"), ["conv", "id"], "left").join(answers, ["conv", "id"], "left")
-    state = F.when(F.col("at").isNull(), "orphan").when(~F.col("turn").eqNullSafe(F.col("answer_turn")), "duplicate").otherwise("ok")
+    state = F.when(F.col("at").isNull(), "orphan").when(~F.col("turn").eqNullSafe(F.col("answer.turn")), "duplicate").otherwise("ok")
     back = linked.select(
         "conv", "turn", "role", F.lit("result").alias("kind"), F.coalesce("at.turn", "turn").alias("anchor_turn"), F.coalesce("level", F.lit(0)).cast("int").alias("level"), F.coalesce("at.call_index", F.lit(-1)).alias("call_index"), F.lit(2).alias("kind_rank"),
         F.col("id").alias("call_id"), F.col("at.turn").alias("linked_turn"), state.alias("status"), F.array().cast("array<string>").alias("errors"),

@@ -49,18 +49,22 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame, small: bool = False) -> DataFrame:
+def staged(df: DataFrame, small: bool = False, even: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
 
     It cuts the lineage as ``checkpoint()`` does, but runs the plan once, stores
     columns compressed and lets later reads prune them.  A lost executor costs
-    only its running tasks.  ``small`` says that the rows are few beside the
-    input's: they are dealt to a sixteenth of the shuffle partitions first, which
-    saves as many small files.
+    only its running tasks.  ``small`` is for tables whose size is bounded or that
+    hold a row for hundreds of the input's: they are dealt to a sixteenth of the
+    shuffle partitions first, which saves as many small files.  ``even`` is for
+    tables that may be few rows or as many as the input: Spark sizes their
+    partitions from what the plan has really made, and splits large ones.
     """
     spark = df.sparkSession
     if small:
         df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+    elif even:
+        df = df.hint("rebalance")
     path = f"{staging_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

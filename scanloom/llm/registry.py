@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanloom.llm.call_source import tools, with_calls
 from scanloom.llm.chat_format import format_chats
 from scanloom.llm.common import crc_mod, table
 from scanloom.llm.decontaminate import leaks
@@ -41,7 +42,7 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = format_chats(table(spark, sf_dir, "conversations"))
+    out = format_chats(with_calls(table(spark, sf_dir, "conversations")), tools(spark))
     return out.withColumns({"errors": F.array_join("errors", ";"), "call_id": F.coalesce("call_id", F.lit("")), "linked_turn": F.coalesce("linked_turn", F.lit(-1))})
 
 
@@ -110,12 +111,51 @@ def oracle_sql() -> dict[str, str]:
                      FROM words LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id)
             SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
             FROM w LEFT JOIN kept USING (doc_id)""",
-        # The table holds no calls: every message is a plain one.
+        # The rules of call_source, then linking, levels, validation and JSON, each by other means.
         "op5_chat_formatting": """
-            SELECT conv_id, turn, coalesce(role, 'unknown') AS role, 'message' AS kind, turn AS anchor_turn, 0 AS level, -1 AS call_index,
-                   0 AS kind_rank, '' AS call_id, -1::BIGINT AS linked_turn, 'ok' AS status, '' AS errors,
-                   json_object('content', coalesce(text, ''), 'role', coalesce(role, 'unknown'), 'type', 'message')::VARCHAR AS json
-            FROM conversations""",
+            WITH RECURSIVE b AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
+            own AS (SELECT DISTINCT conv_id FROM b WHERE role = 'system'),
+            c AS (SELECT conv_id, turn, n, 0 AS call_index, 't' || turn AS id, 'measure' AS name,
+                         CASE WHEN turn >= 3 THEN ['t' || (turn - 2)] ELSE []::VARCHAR[] END AS deps,
+                         '{' || CASE WHEN n % 5 <> 0 THEN '"n_chars":' || n || ',' ELSE '' END || CASE WHEN n % 7 = 0 THEN '"note":"x",' ELSE '' END
+                             || '"style":"' || ['plain', 'list', 'code'][n % 3 + 1] || '","turn":' || turn || '}' AS args,
+                         list_filter([CASE WHEN n % 3 = 2 AND conv_id NOT IN (FROM own) THEN 'invalid:style' END, CASE WHEN n % 5 = 0 THEN 'missing:n_chars' END,
+                                      CASE WHEN n % 7 = 0 THEN 'unexpected:note' END], lambda x: x IS NOT NULL) AS errors
+                  FROM b WHERE role = 'assistant'
+                  UNION ALL
+                  SELECT conv_id, turn, n, 1, 'u' || (turn % 4), CASE WHEN n % 2 = 0 THEN 'find' ELSE 'guess' END,
+                         list_sort(CASE WHEN turn >= 3 THEN ['t' || (turn - 2), 't' || turn] ELSE ['t' || turn] END),
+                         CASE WHEN n % 11 = 0 THEN NULL WHEN n % 3 = 0 THEN '{"q":"' || n || '"}' ELSE '{"q":' || n || '}' END,
+                         CASE WHEN n % 11 = 0 THEN ['arguments:not_an_object'] WHEN n % 2 <> 0 THEN ['tool:not_declared'] WHEN n % 3 <> 0 THEN ['invalid:q'] ELSE []::VARCHAR[] END
+                  FROM b WHERE role = 'assistant'),
+            r AS (SELECT conv_id, turn, 't' || (turn - 1) AS id, '{"n":' || n || ',"ok":true}' AS content FROM b WHERE role = 'user' AND turn >= 1
+                  UNION ALL SELECT conv_id, turn, 'u' || ((turn - 1) % 4), '[' || n || ',' || turn || ']' FROM b WHERE role = 'user' AND turn >= 1 AND n % 4 = 0),
+            f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY turn, call_index) = 1 AS first FROM c),
+            heads AS (SELECT conv_id, id, turn, call_index FROM f WHERE first),
+            e AS (SELECT conv_id, id, turn, unnest(deps) AS need FROM f WHERE first),
+            dead AS (SELECT e.conv_id, e.id FROM e LEFT JOIN heads h ON h.conv_id = e.conv_id AND h.id = e.need WHERE h.turn IS NULL OR h.turn > e.turn
+                     UNION SELECT e.conv_id, e.id FROM dead JOIN e ON e.conv_id = dead.conv_id AND e.need = dead.id),
+            paths AS (SELECT conv_id, id, 0 AS level FROM f WHERE first AND len(deps) = 0
+                      UNION ALL SELECT e.conv_id, e.id, level + 1 FROM paths JOIN e ON e.conv_id = paths.conv_id AND e.need = paths.id),
+            lv AS (SELECT p.conv_id, p.id, max(level) AS level FROM paths p LEFT JOIN (SELECT DISTINCT * FROM dead) d ON d.conv_id = p.conv_id AND d.id = p.id WHERE d.id IS NULL GROUP BY ALL),
+            a AS (SELECT conv_id, id, min(turn) AS answer FROM r GROUP BY ALL)
+            SELECT conv_id, turn, role, 'message' AS kind, turn AS anchor_turn, 0 AS level, -1 AS call_index, 0 AS kind_rank, '' AS call_id, -1::BIGINT AS linked_turn,
+                   'ok' AS status, '' AS errors, json_object('content', text, 'role', role, 'type', 'message')::VARCHAR AS json FROM b
+            UNION ALL
+            SELECT conv_id, turn, role, 'message', turn, 0, -1, 0, '', -1, 'ok', '', CASE role
+                   WHEN 'assistant' THEN '{"content":"","role":"assistant","type":"message"}'
+                   ELSE json_object('content', '{"content": "", "tools": [{"name": "measure", "parameters": {"type": "object", "properties": {"n_chars": {"type": "integer"}, "turn": {"type": "integer"}, "style": {"type": "string", "enum": ["plain", "list", "code"]}}, "required": ["n_chars"], "additionalProperties": false}}]}', 'role', role, 'type', 'message')::VARCHAR END
+            FROM b WHERE role IN ('assistant', 'system')
+            UNION ALL
+            SELECT f.conv_id, f.turn, 'assistant', 'call', f.turn, coalesce(lv.level, 0), f.call_index, 1, f.id, CASE WHEN first THEN coalesce(answer, -1) ELSE -1 END,
+                   CASE WHEN NOT first THEN 'duplicate' WHEN lv.level IS NULL THEN 'unordered' WHEN answer IS NULL THEN 'unanswered' ELSE 'ok' END, array_to_string(errors, ';'),
+                   '{' || coalesce('"arguments":' || args || ',', '') || '"depends_on":' || to_json(deps) || ',"id":"' || f.id || '","name":"' || name || '","type":"call"}'
+            FROM f LEFT JOIN lv USING (conv_id, id) LEFT JOIN a USING (conv_id, id)
+            UNION ALL
+            SELECT r.conv_id, r.turn, 'tool', 'result', coalesce(h.turn, r.turn), coalesce(lv.level, 0), coalesce(h.call_index, -1), 2, r.id, coalesce(h.turn, -1),
+                   CASE WHEN h.turn IS NULL THEN 'orphan' WHEN r.turn <> answer THEN 'duplicate' ELSE 'ok' END, '',
+                   '{"content":' || content || ',"id":"' || r.id || '","type":"result"}'
+            FROM r LEFT JOIN heads h USING (conv_id, id) LEFT JOIN lv USING (conv_id, id) LEFT JOIN a USING (conv_id, id)""",
         "op7_extendible_sharding": """
             WITH r AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
                               ('0x' || substr(md5(concat_ws('/', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 15))::BIGINT AS bits

@@ -167,6 +167,27 @@ def test_tool_calls(spark):
     assert format_chats(messages.limit(0)).count() == 0
 
 
+def test_repeated_calls_do_not_multiply(spark):
+    said = json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": {}, "depends_on": []}, {"id": "b", "name": "f", "arguments": {}, "depends_on": ["a"]}, {"id": None, "name": "f", "arguments": {}}]})
+    rows = [(1, 0, "assistant", said)] * 3 + [(1, 1, "tool", json.dumps({"tool_call_id": "b", "content": 1}))] * 2 + [(None, 0, "assistant", said), (1, None, "tool", json.dumps({"tool_call_id": "a", "content": "first"}))]
+    out = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    made = sorted((r["conv_id"] or 0, r["call_id"] or "", r["kind"], r["level"], r["status"]) for r in out if r["kind"] != "message")
+    one = [(1, "", "call", 0, "unnamed"), (1, "a", "call", 0, "ok"), (1, "b", "call", 1, "ok")]
+    assert made == sorted([*one * 3, *[(1, "b", "result", 1, "ok")] * 2, (1, "a", "result", 0, "ok"), *[(0, x, "call", 0, "unnamed") for x in ("", "a", "b")]])
+    assert sum(r["kind"] == "message" for r in out) == 4
+
+
+def test_long_texts_and_lists_of_types(spark):
+    schema = {"properties": {"a": {"type": ["string", "null"]}, "b": {"type": "strange"}}}
+    tools = spark.createDataFrame([("f", json.dumps(schema))], "name string, parameters string")
+    given = [{"a": None, "b": 1}, {"a": "x"}, {"a": 1}, {"a": "y" * 1_000_000}]
+    calls = [{"id": str(i), "name": "f", "arguments": a} for i, a in enumerate(given)]
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": calls})), (1, 1, "user", "long " * 200_000)]
+    out = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tools).collect()
+    assert {r["call_id"]: r["errors"] for r in out if r["kind"] == "call"} == {"0": [], "1": [], "2": ["invalid:a"], "3": []}
+    assert max(len(r["json"]) for r in out if r["kind"] == "message") > 1_000_000
+
+
 def test_long_chain_of_calls_is_ordered(spark):
     chain = [{"id": str(i), "name": "f", "arguments": {}, "depends_on": [str(i + 1)] if i < 5 else []} for i in range(6)]
     messages = spark.createDataFrame([(1, 0, "assistant", json.dumps({"tool_calls": chain}))], "conv_id long, turn long, role string, text string")
