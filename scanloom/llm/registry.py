@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanloom.llm import packing
 from scanloom.llm.call_source import tools, with_calls
 from scanloom.llm.chat_format import format_chats
-from scanloom.llm.common import crc_mod, table
+from scanloom.llm.common import WORD, crc_mod, table
 from scanloom.llm.decontaminate import leaks
 from scanloom.llm.exact_dedup import exact_groups
 from scanloom.llm.line_dedup import line_dedup
@@ -20,6 +21,9 @@ from scanloom.llm.sharding import shards
 from scanloom.llm.substring_dedup import substring_dedup
 from scanloom.llm.toxicity import fit_toxicity, score_toxicity
 
+#: The given tables are far smaller than a corpus: a shard of theirs holds less than ``sharding.LIMIT``.
+SHARD_BYTES = 1 << 17
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -51,7 +55,7 @@ def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards(table(spark, sf_dir, "documents"))
+    return shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,16 +160,33 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN h.turn IS NULL THEN 'orphan' WHEN r.turn <> answer THEN 'duplicate' ELSE 'ok' END, '',
                    '{"content":' || content || ',"id":"' || r.id || '","type":"result"}'
             FROM r LEFT JOIN heads h USING (conv_id, id) LEFT JOIN lv USING (conv_id, id) LEFT JOIN a USING (conv_id, id)""",
-        "op7_extendible_sharding": """
+        # One step of the recursion allows one bucket more; of equal totals the earliest begin wins, as in the module.
+        "op6_length_buckets": rf"""
+            WITH RECURSIVE d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS words,
+                                        ('0x' || substr(md5(concat_ws('/', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 15))::BIGINT AS ord
+                                 FROM documents),
+            w AS (SELECT doc_id, CASE WHEN words > 0 THEN words + 1 ELSE 0 END::BIGINT AS n_tokens, ord FROM d),
+            h AS (SELECT n_tokens AS x, count(*) AS c, row_number() OVER (ORDER BY n_tokens) AS j FROM w GROUP BY n_tokens),
+            g AS (SELECT j, x, sum(c) OVER (ORDER BY j)::BIGINT AS r FROM h UNION ALL SELECT 0, 0, 0),
+            p AS (SELECT 0 AS k, 0::BIGINT AS j, 0::BIGINT AS r, 0::BIGINT AS cost, []::BIGINT[] AS ends
+                  UNION ALL
+                  SELECT k, j, r, best.cost, best.ends
+                  FROM (SELECT p.k + 1 AS k, g.j, g.r, min({{'cost': p.cost + g.x * (g.r - p.r), 'i': p.j, 'ends': list_append(p.ends, g.x)}}) AS best
+                        FROM p JOIN g ON g.j > p.j WHERE p.k < {packing.BUCKETS} GROUP BY p.k, g.j, g.r)),
+            e AS (SELECT ends FROM p WHERE j = (SELECT max(j) FROM g) ORDER BY cost, k LIMIT 1),
+            b AS (SELECT w.*, list_min(list_filter(ends, lambda z: z >= n_tokens)) AS bucket FROM w, e),
+            n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY ord, doc_id, n_tokens) - 1 AS nth, greatest(1, {packing.BUDGET} // greatest(bucket, 1)) AS each FROM b)
+            SELECT doc_id, n_tokens, bucket, nth // each AS batch, nth % each AS slot FROM n""",
+        "op7_extendible_sharding": f"""
             WITH r AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
                               ('0x' || substr(md5(concat_ws('/', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 15))::BIGINT AS bits
                        FROM documents),
             t AS (SELECT r.*, depth, bits >> (60 - depth) AS p FROM r, range(0, 61) AS d(depth)),
-            s AS (SELECT depth, p, sum(n_bytes)::BIGINT AS shard_bytes FROM t GROUP BY depth, p),
+            s AS (SELECT depth, p, sum(n_bytes)::BIGINT AS shard_bytes, min(bits) = max(bits) AS one FROM t GROUP BY depth, p),
             f AS (SELECT t.*, shard_bytes, row_number() OVER (PARTITION BY doc_id, bits ORDER BY t.depth) AS n
-                  FROM t JOIN s USING (depth, p) WHERE shard_bytes <= 33554432 OR depth = 60)
-            SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(format('{:b}', p), depth::INTEGER, '0') END AS shard,
-                   shard_bytes, shard_bytes <= 33554432 AS fits FROM f WHERE n = 1""",
+                  FROM t JOIN s USING (depth, p) WHERE shard_bytes <= {SHARD_BYTES} OR one OR depth = 60)
+            SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(format('{{:b}}', p), depth::INTEGER, '0') END AS shard,
+                   shard_bytes, shard_bytes <= {SHARD_BYTES} AS fits FROM f WHERE n = 1""",
         "op10_exact_dedup": r"""
             WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS c, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents),
             w AS (SELECT doc_id, k, first_value(doc_id) OVER (PARTITION BY k ORDER BY c DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size FROM n)

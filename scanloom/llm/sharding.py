@@ -10,28 +10,21 @@ fits one machine.
 
 Defined results: a null text has 0 bytes.  The address is the hash of the id and
 of the text, so that rows that repeat an id spread too.  Rows equal in both share
-an address: beyond ``MAX_BITS`` bits a shard stays as it is and ``fits`` is
-false, as for a single row over the limit.  An empty table gives an empty
+an address: a shard of one address, be it a single row over the limit, cannot
+split, stays as it is, and ``fits`` is false; the same at ``MAX_BITS`` bits.  An empty table gives an empty
 result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import staged
+from scanloom.llm.common import address, staged
 
 LIMIT, MAX_BITS = 32 << 20, 60
 
 
-def address(id_col: str, text_col: str) -> Column:
-    """60 bits of md5 over the id and the text's own md5, as a non-negative number."""
-    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    key = F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text)
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
-
-
 def directory(sizes: DataFrame, limit: int, first: int, step: int = 6) -> DataFrame:
     """(prefix at ``depth``, depth, shard_depth, bytes) for each address prefix that occurs.
 
@@ -41,16 +34,17 @@ def directory(sizes: DataFrame, limit: int, first: int, step: int = 6) -> DataFr
     done: DataFrame | None = None
     rest, low, high = sizes, 0, min(first, MAX_BITS)
     while True:
-        fine = staged(rest.groupBy(F.shiftright("bits", 60 - high).alias("prefix")).agg(F.sum("bytes").alias("bytes")))
+        fine = staged(rest.groupBy(F.shiftright("bits", 60 - high).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.min("bits").alias("least"), F.max("bits").alias("most")), even=True)
         # every level's sums at once; a prefix lies in a shard of each level, and
         # its own is the shallowest that fits
         tried = fine.withColumn("shard_depth", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("shard", F.expr(f"shiftright(prefix, {high} - shard_depth)"))
-        totals = tried.groupBy("shard_depth", "shard").agg(F.sum("bytes").alias("shard_bytes"))
-        leaves = staged(totals.where((F.col("shard_bytes") <= limit) | (F.col("shard_depth") == MAX_BITS)))
+        totals = tried.groupBy("shard_depth", "shard").agg(F.sum("bytes").alias("shard_bytes"), F.min("least").alias("least"), F.max("most").alias("most"))
+        whole = (F.col("shard_bytes") <= limit) | (F.col("least") == F.col("most")) | (F.col("shard_depth") == MAX_BITS)
+        leaves = staged(totals.where(whole).drop("least", "most"), even=True)
         found = tried.join(leaves, ["shard_depth", "shard"]).groupBy("prefix").agg(F.min(F.struct("shard_depth", "shard", "shard_bytes")).alias("leaf"))
-        found = staged(found.select(F.lit(high).alias("depth"), "prefix", "leaf.*"))
+        found = staged(found.select(F.lit(high).alias("depth"), "prefix", "leaf.*"), even=True)
         done = found if done is None else done.union(found)
-        open_ = staged(fine.select("prefix").join(found.select("prefix"), "prefix", "left_anti"))
+        open_ = staged(fine.select("prefix").join(found.select("prefix"), "prefix", "left_anti"), even=True)
         if high == MAX_BITS or open_.isEmpty():
             return done
         rest = rest.join(open_.withColumnRenamed("prefix", "open"), F.shiftright("bits", 60 - high) == F.col("open"), "left_semi")
