@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from scanloom.llm.common import crc_mod
 from scanloom.llm.labelled import MAX_ROWS, sample_ids, sample_rows, scorer
-from scanloom.llm.text_kernels import Words, text_bytes
+from scanloom.llm.text_kernels import Words, byte_runs, text_bytes
 
 _CLASSES = {
     "upper": [*range(65, 91)], "lower": [*range(97, 123)], "digit": [*range(48, 58)], "stop": [*b".!?;:,"], "bang": [*b"!?"],
@@ -165,8 +165,8 @@ def fit(x: np.ndarray, y: np.ndarray, totals: list[int]) -> Discriminant | Const
 
 def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", rows: int = MAX_ROWS) -> Discriminant | Constant:
     """A model from the labelled rows that are not held out."""
-    sample, totals = sample_ids(labels, label, id_col, modulus, held_out, rows)
-    chosen = sample_rows(docs, sample, id_col, text_col, []).select("id", "y", "text")
+    sample, totals = sample_ids(docs, labels, label, id_col, text_col, modulus, held_out, rows)
+    chosen = sample_rows(docs, sample, id_col, text_col)
 
     def vectors(batches):
         import pyarrow as pa
@@ -190,15 +190,17 @@ def score_quality(docs: DataFrame, model: Discriminant | Constant, id_col: str =
 
 def keep_good(docs: DataFrame, model: Discriminant | Constant, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows whose score is ``least`` or more, with all their columns; no row is moved."""
-    names = docs.columns
-    place = names.index(text_col)
+    place = docs.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(model.score(statistics(text_bytes(batch.column(place)))) >= least))
+            texts = text_bytes(batch.column(place))
+            for begin, end in byte_runs(texts, 1 << 21):  # so many bytes are looked at together
+                good = model.score(statistics(texts[begin:end])) >= least
+                if good.any():
+                    yield batch.slice(begin, end - begin).filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)
 

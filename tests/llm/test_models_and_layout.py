@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scanloom.llm import packing as packing_module
+from scanloom.llm import quality as quality_module
 from scanloom.llm import registry
+from scanloom.llm import toxicity as toxicity_module
 from scanloom.llm.chat_format import format_chats
 from scanloom.llm.decontaminate import decontaminate, leaks
 from scanloom.llm.packing import boundaries, pack
@@ -72,7 +74,53 @@ def test_models_on_odd_rows(spark):
     # nothing to learn from
     assert {r["score"] for r in score_quality(docs, fit_quality(docs, labels.limit(0))).collect()} == {0.5}
     assert {r["score"] for r in score_toxicity(docs, fit_toxicity(docs, labels.limit(0))).collect()} == {0.0}
-    assert score_quality(docs.limit(0), quality).count() == 0
+    assert score_quality(docs.limit(0), quality).count() == 0 and score_toxicity(docs.limit(0), toxic).count() == 0
+    # of one class: the share of ones
+    for value in (0, 1):
+        alike = labels.where("doc_id < 50").withColumn("toxic", F.lit(value))
+        assert {r["score"] for r in score_toxicity(odd, fit_toxicity(docs, alike)).collect()} == {float(value)}
+    # one row of each class, and a table of documents in other partitions with repeated ids
+    few = labels.where("doc_id in (0, 1)").withColumn("toxic", F.col("doc_id").cast("int"))
+    assert all(0 <= r["score"] <= 1 for r in score_toxicity(odd, fit_toxicity(docs, few, modulus=1, held_out=1)).collect())
+    twice = docs.unionByName(docs.withColumn("text", F.reverse("text")))
+    one, two = (fit_quality(d, labels) for d in (twice, twice.repartition(7, "text")))
+    assert [r["score"] for r in score_quality(odd, one).collect()] == [r["score"] for r in score_quality(odd, two).collect()]
+
+
+def test_discriminant_matches_the_textbook():
+    """Scores from cached factors equal log densities of two Gaussians, computed from the covariances."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (80, 4)), rng.normal(0.8, 1.7, (60, 4))])
+    y = np.array([0] * 80 + [1] * 60)
+    model = quality_module.fit(x, y, [80, 60])
+    z = (x - model.centre) / model.scale
+    logs = []
+    for mean, root in zip(model.means, model.roots, strict=True):
+        factor = np.linalg.inv(root)
+        cov, d = factor @ factor.T, z - mean
+        logs.append(-0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) + np.linalg.slogdet(cov)[1]))
+    assert np.allclose(model.difference(x), logs[1] - logs[0])
+    assert ((model.score(x) >= 0.5) == y).mean() > 0.75
+
+
+def test_pooling_matches_a_loop_over_windows():
+    """Precomputed tables and slices give what sliding each filter over the embeddings gives."""
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(9, toxicity_module.DIM))
+    rows[0] = 0
+    filters = [rng.normal(size=(k, toxicity_module.DIM, toxicity_module.FILTERS)) for k in toxicity_module.WIDTHS]
+    bias, weights = rng.normal(size=12), rng.normal(size=12)
+    known = np.sort(rng.choice(1 << 20, 8, replace=False)).astype(np.int32)
+    model = toxicity_module.Convolutional(known, rows, filters, bias, weights, 0.3)
+    texts = [rng.choice(np.append(known, 5), n).astype(np.int32) for n in (0, 1, 2, 7, 30)]
+    got = model.raw(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), model.tables())
+    for t, raw in zip(texts, got, strict=True):
+        words = [rows[1 + known.tolist().index(w)] if w in known else rows[0] for w in t.tolist()] + [rows[0]] * 3
+        pooled = []
+        for f in filters:
+            active = [sum(words[i + j] @ f[j] if i + j < len(words) else 0 * bias[:4] for j in range(len(f))) for i in range(len(t) + 3)]
+            pooled.append(np.max(active, axis=0))
+        assert np.isclose(raw, np.maximum(np.concatenate(pooled) + bias, 0) @ weights + 0.3, atol=1e-4)
 
 
 # ---- decontamination
