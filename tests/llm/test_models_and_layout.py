@@ -118,7 +118,7 @@ def test_pooling_matches_a_loop_over_windows():
         words = [rows[1 + known.tolist().index(w)] if w in known else rows[0] for w in t.tolist()] + [rows[0]] * 3
         pooled = []
         for f in filters:
-            active = [sum(words[i + j] @ f[j] if i + j < len(words) else 0 * bias[:4] for j in range(len(f))) for i in range(len(t) + 3)]
+            active = [sum(words[i + j] @ f[j] if i + j < len(words) else 0 * bias[:4] for j in range(len(f))) for i in range(len(t) + 1)]
             pooled.append(np.max(active, axis=0))
         assert np.isclose(raw, np.maximum(np.concatenate(pooled) + bias, 0) @ weights + 0.3, atol=1e-4)
 
