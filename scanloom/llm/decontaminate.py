@@ -14,13 +14,16 @@ readings: as a word, and as a name (``opened``).
    document shares one of its rarest (1 - least) + 1 windows.  Only those are
    hash-joined with the documents' windows, so that a phrase that many items use
    makes no pairs.
-3. Each candidate is judged on all windows.  ``literal`` is the share of the
-   item's literal windows that the document has.  ``template`` is the share of
-   its template windows found whose slots agree with one mapping of the item's
-   slot values to the document's (same value to same value, and no two names
-   to one; numbers and units may coincide); of the item's two readings the
-   better one counts.  Either at ``least`` or more is a leak: ``verbatim`` or
-   ``reparameterised``.
+3. Each candidate is judged on all its windows, of which only the item's own
+   travel.  ``literal`` is the share of the item's literal windows that the
+   document has.  ``template`` is the share of its template windows found whose
+   slots agree with one mapping of the item's slot values to the document's (same
+   value to same value, and no two names to one; numbers and units may coincide);
+   every alignment of the item with the document is tried, so that a consistent
+   copy counts wherever it stands, and of the item's two readings the better one
+   counts.  Either at ``least`` or more is a leak: ``verbatim`` or
+   ``reparameterised``.  (A changed word that is no slot costs five windows: an
+   item of fewer than 29 tokens must be whole but for its slots.)
 
 Defined results: null and empty texts match nothing; an item of fewer than five
 tokens is no evidence and never matches.  Rows that repeat a doc_id or an
@@ -30,7 +33,7 @@ item_id are judged together, as one document (any of its texts) or one item
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -156,16 +159,33 @@ def _scan(bitmap):
                         near, at = np.concatenate([at, place[also]]), np.concatenate([at, also + len(kind)])
                         hashes = np.concatenate([template[at[: len(at) - len(also)]], opened[also]])
                         kind, value = np.concatenate([kind, opened_kind]), np.concatenate([value, opened_value])
-                        slots = np.unique((at[:, None] + np.arange(WINDOW)).reshape(-1))
-                        slots = slots[kind[slots] > 0]
-                        rows.append((begin + i, literal, hashes, at, near, slots, value[slots]))
+                        covered = at[:, None] + np.arange(WINDOW)
+                        rows.append((begin + i, literal, hashes, at, near, value[covered].reshape(-1), kind[covered].reshape(-1) == 0))
                 if rows:
-                    lists = [pa.array([x[k].view(np.int64) if x[k].dtype == np.uint64 else x[k].astype(np.int64) for x in rows], pa.list_(pa.int64())) for k in range(1, 7)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in rows])), *lists], names=["doc_id", "literal", "template", "at", "near", "slot_at", "slot"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in rows])), _lists([x[1] for x in rows]), _windows(rows)], names=["doc_id", "literal", "windows"])
 
     return run
 
 
+def _offsets(parts: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32))
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(_offsets(parts), pa.array(_signed(parts)))
+
+
+def _signed(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64) for x in parts])
+
+
+def _windows(rows: list[tuple]) -> pa.Array:
+    """Of each row a list of windows: hash, token, place among the tokens of the first reading, slot values (null: a word)."""
+    h, at, near, value = (_signed([x[k] for x in rows]) for k in (2, 3, 4, 5))
+    slots = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * WINDOW), pa.array(value, mask=np.concatenate([x[6] for x in rows])))
+    return pa.ListArray.from_arrays(_offsets([x[2] for x in rows]), pa.StructArray.from_arrays([pa.array(h), pa.array(at), pa.array(near), slots], names=["h", "at", "near", "slots"]))
+
+
 def _known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     place = (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
@@ -191,43 +211,78 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), *lists], names=["item_id", *_ITEM, "beside"])
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a document's kept windows beside an item's) to their two shares."""
-    for batch in batches:
-        out = []
-        for x in batch.to_pylist():
-            have = set(x["literal"])
-            own = set(x["item_literal"])
-            literal = len(own & have) / len(own) if own else 0.0
-            out.append((x["doc_id"], x["item_id"], literal, _template_share(x)))
-        columns = list(zip(*out, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "literal", "template"])
+def _judge(least: float):
+    """Candidates (a document's windows that an item has, beside the item's) to their two shares."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                own = set(x["item_literal"])
+                literal = len(own & set(x["literal"])) / len(own) if own else 0.0
+                out.append((x["doc_id"], x["item_id"], literal, _template_share(x, least)))
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "literal", "template"])
+
+    return run
 
-def _template_share(x: dict) -> float:
+
+def _template_share(x: dict, least: float) -> float:
     """The share of the item's template windows found with consistent slots: in either reading alone, or in the one
     where words open sentences, with the other's windows for those that aren't found."""
     places: dict[int, list[tuple[int, int]]] = {}
-    for h, at, near in zip(x["template"], x["at"], x["near"], strict=True):
-        places.setdefault(h, []).append((near, at))
-    theirs = dict(zip(x["slot_at"], x["slot"], strict=True))
+    theirs: dict[int, int] = {}
+    for w in x["windows"]:
+        places.setdefault(w["h"], []).append((w["near"], w["at"]))
+        theirs.update((w["at"] + k, v) for k, v in enumerate(w["slots"]) if v is not None)
+    for found in places.values():
+        found.sort()
     words = (x["item_template"], x["item_kind"], x["item_value"], range(len(x["item_kind"])))
     opened = (x["item_opened"], x["item_opened_kind"], x["item_opened_value"], x["item_opened_place"])
     ways = [[words], [opened], [words, opened]] if opened[0] else [[words]]
-    return max(_share(way, places, theirs) for way in ways)
+    return max(_share(way, places, theirs, least) for way in ways)
 
 
-def _share(readings: list[tuple], places: dict[int, list[tuple[int, int]]], theirs: dict[int, int]) -> float:
-    """The share of the first reading's windows found, itself or its like in the second, under one mapping for all."""
-    if not readings[0][0]:
+def _nearest(found: list[tuple[int, int]], target: int) -> int:
+    """The token of the window nearest to a place (of two the first)."""
+    i = bisect_left(found, (target,))
+    if i == len(found) or (i and target - found[i - 1][0] <= found[i][0] - target):
+        i = bisect_left(found, (found[i - 1][0],))
+    return found[i][1]
+
+
+def _share(readings: list[tuple], places: dict[int, list[tuple[int, int]]], theirs: dict[int, int], least: float) -> float:
+    """The best share over all alignments of the item with the document.
+
+    An alignment is the distance of a window found from its place in the item.  A
+    copy with ``least`` of the windows has at most so many breaks, each of which
+    costs WINDOW - 1 windows, and thus a longest run of one alignment; those with
+    less than half as many windows can't be such a copy's and are passed over.
+    """
+    n = len(readings[0][0])
+    if not n:
         return 0.0
+    shifts: Counter = Counter()
+    for item, _, _, place in readings:
+        for p, h in enumerate(item):
+            shifts.update({near - place[p] for near, _ in places.get(h, ())})
+    runs = (1 - least) * n / (WINDOW - 1) + 1
+    bar, best, seen = max(1, int(least * n / runs / 2)), 0.0, set()
+    for shift in sorted(shifts, key=lambda s: (-shifts[s], s)):
+        if shifts[shift] < bar or best == 1.0:
+            break
+        found = [{p: _nearest(places[h], place[p] + shift) - p for p, h in enumerate(item) if h in places} for item, _, _, place in readings]
+        if (key := tuple(tuple(f.items()) for f in found)) not in seen:
+            seen.add(key)
+            best = max(best, _agreeing(readings, found, theirs))
+    return best
+
+
+def _agreeing(readings: list[tuple], found: list[dict[int, int]], theirs: dict[int, int]) -> float:
+    """The share of the first reading's windows found, itself or its like in the second, under one mapping for all."""
     votes: dict[tuple[int, int], Counter] = {}
-    found = []
-    for item, kind, value, place in readings:
-        shifts = Counter(near - place[p] for p, h in enumerate(item) for near, _ in places.get(h, ()))
-        base = min(shifts, key=lambda s: (-shifts[s], s), default=0)
-        found.append({p: min(places[h], key=lambda y: (abs(y[0] - place[p] - base), y))[1] - p for p, h in enumerate(item) if h in places})
-        for p, shift in found[-1].items():
+    for (_, kind, value, _), at in zip(readings, found, strict=True):
+        for p, shift in at.items():
             for q in range(p, p + WINDOW):
                 if kind[q]:
                     votes.setdefault((kind[q], value[q]), Counter())[theirs.get(q + shift)] += 1
@@ -262,7 +317,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     bitmap = spark.sparkContext.broadcast(_bitmap(windows))
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    held = staged(texts.mapInArrow(_scan(bitmap), "doc_id long, literal array<long>, template array<long>, at array<long>, near array<long>, slot_at array<long>, slot array<long>"))
+    found = texts.mapInArrow(_scan(bitmap), "doc_id long, literal array<long>, windows array<struct<h:long,at:long,near:long,slots:array<long>>>")
+    held = staged(found.withColumn("row", F.monotonically_increasing_id()))
 
     # Rarest windows of each item, for each of its three window sets
     often = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
@@ -275,10 +331,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     # One row for each document and window; a window that a large part of the
     # documents has is an exchange of scans on both sides, which AQE can split.
-    found = held.select("doc_id", F.explode(F.array_union("literal", "template")).alias("h"))
-    pairs = staged(found.join(rare, "h").select("doc_id", "item_id").distinct(), small=True)
+    known = held.select("doc_id", "row", F.explode(F.array_union("literal", F.col("windows.h"))).alias("h"))
+    pairs = staged(known.join(rare, "h").select("doc_id", "row", "item_id").distinct(), even=True)
+
+    # Of each candidate document the windows that the item has, and no others
+    wanted = pairs.join(windows, "item_id")
+    asked = held.join(pairs.select("row").distinct(), "row", "left_semi")
+    words = asked.select("row", F.explode("literal").alias("h"), F.lit(None).cast("struct<h:long,at:long,near:long,slots:array<long>>").alias("w"))
+    window = asked.select("row", F.explode("windows").alias("w")).select("row", F.col("w.h").alias("h"), "w")
+    evidence = wanted.join(words.union(window), ["row", "h"]).groupBy("doc_id", "row", "item_id")
+    evidence = evidence.agg(F.collect_set(F.when(F.col("w").isNull(), F.col("h"))).alias("literal"), F.collect_list("w").alias("windows"))
     sides = items.select("item_id", *(F.col(c).alias(f"item_{c}") for c in _ITEM))
-    judged = pairs.join(held, "doc_id").join(sides, "item_id").mapInArrow(_judge, "doc_id long, item_id long, literal double, template double")
+    judged = evidence.join(sides, "item_id").mapInArrow(_judge(least), "doc_id long, item_id long, literal double, template double")
     shares = judged.groupBy("doc_id", "item_id").agg(F.max("literal").alias("literal"), F.max("template").alias("template")).where((F.col("literal") >= least) | (F.col("template") >= least))
     return shares.select("*", F.when(F.col("literal") >= least, "verbatim").otherwise("reparameterised").alias("kind"))
 

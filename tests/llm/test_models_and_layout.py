@@ -157,6 +157,82 @@ def test_templates_and_slot_consistency(spark):
     assert leaks(docs.limit(0), bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
 
 
+def template_by_hand(words):
+    """(kind, text) of a text's template tokens: runs of numbers, runs of capitalised words, or a word."""
+    out = []
+    for w in words:
+        kind = "number" if w.isdigit() else "name" if w[0].isupper() else ""
+        if kind and out and out[-1][0] == kind:
+            out[-1] = (kind, out[-1][1] + " " + w)
+        else:
+            out.append((kind, w))
+    return out
+
+
+def consistent_share(item, doc):
+    """The best share, over all shifts, of the item's template windows that the document has there under one mapping."""
+    mine, theirs = template_by_hand(item), template_by_hand(doc)
+    form = lambda x: [k or w for k, w in x]
+    a, b = form(mine), form(theirs)
+    wanted, best = {tuple(a[p : p + 5]) for p in range(len(a) - 4)}, 0.0
+    for shift in range(-len(a), len(b)):
+        found = [p for p in range(len(a) - 4) if 0 <= p + shift <= len(b) - 5 and a[p : p + 5] == b[p + shift : p + shift + 5]]
+        votes = defaultdict(Counter)
+        for p in found:
+            for q in range(p, p + 5):
+                if mine[q][0]:
+                    votes[mine[q]][theirs[q + shift][1]] += 1
+        chosen = {k: max(v, key=v.get) for k, v in votes.items()}
+        names = Counter(v for k, v in chosen.items() if k[0] == "name")
+        fits = lambda q: not mine[q][0] or (theirs[q + shift][1] == chosen[mine[q]] and (mine[q][0] != "name" or names[chosen[mine[q]]] == 1))  # noqa: B023, E731
+        best = max(best, len({tuple(a[p : p + 5]) for p in found if all(fits(q) for q in range(p, p + 5))}) / len(wanted))
+    return best
+
+
+def test_every_alignment_is_tried(spark):
+    """Consistent and inconsistent copies in any order and number, against a search over all shifts."""
+    rng = random.Random(11)
+    names = ["Alice", "Bob", "Carol", "Dave", "Erin", "Frank", "Grace", "Heidi"]
+    plain = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(200)]
+    items = []
+    for k in range(6):
+        form = ["at"] + [rng.choice(["A", "B", "N", "M"] if i % 3 == 2 else plain) for i in range(26)]
+        items.append((k, form))
+
+    def copy(form, honest):
+        who, many = rng.sample(names, 2), rng.sample(range(10, 99), 2)
+        said = []
+        for w in form:
+            if not honest:
+                who, many = rng.sample(names, 2), rng.sample(range(10, 99), 2)
+            said.append({"A": who[0], "B": who[1], "N": str(many[0]), "M": str(many[1])}.get(w, w))
+        return said
+
+    bench = [(k, copy(form, True)) for k, form in items]
+    docs = []
+    for d in range(60):
+        words = [rng.choice(plain) for _ in range(rng.randrange(0, 30))]
+        for _ in range(rng.randrange(0, 4)):
+            words += copy(rng.choice(items)[1], rng.random() < 0.4) + [rng.choice(plain) for _ in range(rng.randrange(0, 40))]
+        docs.append((d, ["the", *words]))
+    want = {(d, k): consistent_share(i, w) for d, w in docs for k, i in bench}
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{key} long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["template"] for r in leaks(frame(docs, "doc_id"), frame(bench, "item_id")).where("kind = 'reparameterised'").collect()}
+    assert len(got) > 15 and set(got) == {k for k, v in want.items() if v >= 0.8}
+    broken = OTHER.replace("while Carol", "while Dave")
+    bench, docs = frame([(1, ITEM.split())], "item_id"), frame([(1, f"{broken} . and {OTHER}".split()), (2, f"{OTHER} . and {broken}".split()), (3, broken.split())], "doc_id")
+    assert {(r["doc_id"], r["template"]) for r in leaks(docs, bench).collect()} == {(1, 1.0), (2, 1.0)}
+
+
+def test_long_texts_that_hold_a_benchmark(spark):
+    items = [(i, " ".join(f"q{i}x{chr(97 + k)}" for k in range(20))) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = " ".join(t for _, t in items)
+    docs = spark.createDataFrame([(1, f"{whole} {'word ' * 200_000} {whole}"), (2, "word " * 100_000 + items[7][1])], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["kind"]) for r in leaks(docs, bench).collect())
+    assert got == [(1, i, "verbatim") for i in range(40)] + [(2, 7, "verbatim")]
+
+
 def test_names_that_open_a_sentence(spark):
     item = "Tom has 12 apples. Ann has 7 pears. Tom gives Ann 3 apples. How many apples does Ann have?"
     copy = item.replace("Tom", "Bob").replace("Ann", "Eve").replace("12", "15")
