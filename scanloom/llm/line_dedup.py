@@ -61,7 +61,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = dropped_positions(docs, id_col, text_col, min_chars, min_docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     same = (rows.doc_id == drops.drop_id) & (F.xxhash64(rows.text) == drops.drop_text)
-    found = rows.join(drops.hint("shuffle_hash"), same, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    found = rows.join(drops, same, "left").withColumn("text", F.coalesce("text", F.lit("")))
     kept = F.when(F.col("drops").isNull(), F.array("text")).otherwise(_marked(F.split("text", "\n", -1), F.col("drops")))
     n_lines = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     return found.select("doc_id", n_lines.cast("long").alias("n_lines"), F.coalesce(F.array_size("drops"), F.lit(0)).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("text"))

@@ -13,6 +13,11 @@ string (a super-k-mer) to the minimiser's bucket.
    combined: the smallest document asks the bucket, and all larger ones are
    covered without asking.  A cell sends at most one compressed block to a
    bucket, however often a string occurs in it.
+   Windows are counted for each bucket before.  A bucket of more than LARGE windows
+   gets its windows one by one, dealt by their own hash to parts of some BUCKET
+   windows, so that equal windows stay together and no bucket grows with the
+   corpus; a part of very many windows is dealt once more, by cell, and what its
+   shares keep (one document a window) meets in a second round.
 3. A bucket sorts its windows, finds each window's smallest document, compares
    the words of windows with equal hashes, and returns the covered word ranges.
 4. Ranges meet their document and the words outside of them are kept.
@@ -26,6 +31,7 @@ with a null doc_id loses nothing and takes nothing from others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +43,14 @@ from scanloom.llm.text_kernels import Words, byte_runs, gram_hashes, mix64, span
 
 WINDOW, MINIMISER = 13, 3
 #: Share of a frequent run, windows of a bucket, windows of a super-k-mer; bytes of a cell.
-SHARE, BUCKET, LONGEST = 2e-5, 1 << 18, 200
-_CELL_BYTES = 6 << 20
+SHARE, BUCKET, LONGEST, CELL = 2e-5, 1 << 18, 200, 6 << 20
+#: Windows from which on a bucket is dealt to parts; a part is dealt to the root of
+#: the bucket's number of parts over so many shares.
+LARGE, PER_SHARE = 1 << 20, 4
 _FIELDS = (("doc", "<i8"), ("row", "<i8"), ("start", "<u4"), ("windows", "<u2"))
 
 
-def _cells(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[list[list], list[bytes]]]:
+def _cells(batches: Iterator[pa.RecordBatch], columns: int, cell: int) -> Iterator[tuple[list[list], list[bytes]]]:
     """Rows gathered to cells: the first ``columns`` columns as lists, the last as bytes."""
     held: list[list] = [[] for _ in range(columns)]
     texts: list[bytes] = []
@@ -50,26 +58,30 @@ def _cells(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[li
     for batch in batches:
         more = text_bytes(batch.column(columns))
         values = [batch.column(i).to_pylist() for i in range(columns)]
-        for begin, end in byte_runs(more, _CELL_BYTES // 8):
+        for begin, end in byte_runs(more, max(cell // 8, 1)):
             for column, value in zip(held, values, strict=True):
                 column.extend(value[begin:end])
             texts.extend(more[begin:end])
             size += sum(map(len, more[begin:end]))
-            if size >= _CELL_BYTES:
+            if size >= cell:
                 yield held, texts
                 held, texts, size = [[] for _ in range(columns)], [], 0
     if texts:
         yield held, texts
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequent(cell: int):
     """Of each cell its words (under a null run) and the runs frequent in it."""
-    for _, texts in _cells(batches, 0):
-        words = Words(texts)
-        runs, times = np.unique(gram_hashes(words.hashes, MINIMISER), return_counts=True)
-        often = times >= max(2, SHARE * len(words.hashes))
-        found = pa.array(runs[often].view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, pa.int64()), found]), pa.array(np.concatenate([[len(words.hashes)], times[often]]).astype(np.int64))], names=["run", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _cells(batches, 0, cell):
+            words = Words(texts)
+            runs, times = np.unique(gram_hashes(words.hashes, MINIMISER), return_counts=True)
+            often = times >= max(2, SHARE * len(words.hashes))
+            found = pa.array(runs[often].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, pa.int64()), found]), pa.array(np.concatenate([[len(words.hashes)], times[often]]).astype(np.int64))], names=["run", "n"])
+
+    return run
 
 
 _ONE_SPACE = bytes(32 if i in b"\t\n\x0b\x0c\r " else i for i in range(256))
@@ -121,25 +133,50 @@ def super_kmers(words: Words, frequent: np.ndarray, text_of: np.ndarray) -> tupl
     return at[begin], count, least[begin]
 
 
-def _cut(frequent, buckets: int):
+def _strings(texts: list[bytes], often: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a cell, the text of each, and of each super-k-mer its first window, windows, minimiser order and hash."""
+    words = _single_spaced(texts)
+    text_of = np.repeat(np.arange(len(texts)), np.diff(words.first))
+    at, count, order = super_kmers(words, often, text_of)
+    content = span_hashes(words.buf, words.starts[at], words.ends[at + count + WINDOW - 2]) if len(at) else order
+    return words, text_of, at, count, order, content
+
+
+def _bucket_of(order: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(order) % np.uint64(buckets)).astype(np.int64)
+
+
+def _sizes(frequent, buckets: int, cell: int):
+    """Cells to the windows that they send to each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.frombuffer(frequent.value, dtype=np.uint64)
+        for _, texts in _cells(batches, 0, cell):
+            _, _, _, count, order, content = _strings(texts, often)
+            _, one = np.unique(content, return_index=True)
+            found, of = np.unique(_bucket_of(order[one], buckets), return_inverse=True)
+            n = np.bincount(of, weights=count[one], minlength=len(found)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["bucket", "n"])
+
+    return run
+
+
+def _cut(frequent, buckets: int, large, cell: int):
     """Cells to blocks for buckets, and word ranges that need no asking."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.frombuffer(frequent.value, dtype=np.uint64)
         codec = pa.Codec("zstd", compression_level=6)
-        for (rows, docs), texts in _cells(batches, 2):
-            yield _cell_blocks(np.array(rows, dtype=np.int64), np.array(docs, dtype=np.int64), texts, often, buckets, codec)
+        for (rows, docs), texts in _cells(batches, 2, cell):
+            yield _cell_blocks(np.array(rows, dtype=np.int64), np.array(docs, dtype=np.int64), texts, often, buckets, large.value, codec)
 
     return run
 
 
-def _cell_blocks(rows: np.ndarray, docs: np.ndarray, texts: list[bytes], often: np.ndarray, buckets: int, codec: pa.Codec) -> pa.RecordBatch:
-    words = _single_spaced(texts)
-    text_of = np.repeat(np.arange(len(texts)), np.diff(words.first))
-    at, count, order = super_kmers(words, often, text_of)
+def _cell_blocks(rows: np.ndarray, docs: np.ndarray, texts: list[bytes], often: np.ndarray, buckets: int, large: np.ndarray, codec: pa.Codec) -> pa.RecordBatch:
+    words, text_of, at, count, order, content = _strings(texts, often)
     begin, end = words.starts[at], words.ends[at + count + WINDOW - 2] if len(at) else at
     raw = words.buf.tobytes()
-    content = span_hashes(words.buf, begin, end)
     doc = docs[text_of[at]]
     by = np.lexsort((doc, content))
     same = np.zeros(len(by), dtype=bool)  # same string as the one before it in this order
@@ -153,32 +190,53 @@ def _cell_blocks(rows: np.ndarray, docs: np.ndarray, texts: list[bytes], often:
     start = at - words.first[text_of[at]]
     covered = _merged(rows[text_of[at[larger]]], start[larger], start[larger] + count[larger] + WINDOW - 1)
 
+    # what asks a bucket: strings, or the single windows of a large bucket's strings
     ask = np.flatnonzero(~larger)
-    bucket = (mix64(order[ask]) % np.uint64(buckets)).astype(np.int64)
-    ask = ask[np.argsort(bucket, kind="stable")]
-    bucket = np.sort(bucket)
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    bounds = np.append(cuts, len(ask))
+    bucket = _bucket_of(order[ask], buckets)
+    place = np.minimum(np.searchsorted(large[0], bucket), max(len(large[0]) - 1, 0))
+    single = large[0][place] == bucket if len(large[0]) else np.zeros(len(ask), dtype=bool)
+    first, windows = at[ask], count[ask]
+    part, share = np.zeros(len(ask), dtype=np.int64), np.full(len(ask), -1)
+    if single.any():
+        lone = np.flatnonzero(single)
+        entry = np.repeat(lone, windows[lone])
+        each = first[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(windows[lone]) - windows[lone], windows[lone])
+        parts, shares = large[1:, place[entry]]
+        hashed = mix64(span_hashes(words.buf, words.starts[each], words.ends[each + WINDOW - 1]) + np.uint64(1))
+        cell = int(mix64(np.array([rows[0] + 1], dtype=np.int64).view(np.uint64))[0] >> np.uint64(2))
+        rest = np.flatnonzero(~single)
+        first, windows = np.concatenate([first[rest], each]), np.concatenate([windows[rest], np.ones(len(each), dtype=windows.dtype)])
+        part = np.concatenate([part[rest], (hashed % parts.astype(np.uint64)).astype(np.int64)])
+        share = np.concatenate([share[rest], np.where(shares > 1, cell % shares, -1)])
+        bucket = np.concatenate([bucket[rest], bucket[entry]])
+    by = np.lexsort((part, bucket))
+    first, windows, bucket, part, share = first[by], windows[by], bucket[by], part[by], share[by]
+    cuts = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+    bounds = np.append(cuts, len(first))
     blocks = []
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-        own = ask[low:high]
-        owner = text_of[at[own]]
-        fields = {
-            "doc": np.diff(docs[owner], prepend=0), "row": rows[owner] - docs[owner], "start": start[own], "windows": count[own],
-        }
-        body = b" ".join([raw[x:y] for x, y in zip(begin[own].tolist(), end[own].tolist(), strict=True)])
-        plain = b"".join([len(own).to_bytes(8, "little"), *(fields[k].astype(t).tobytes() for k, t in _FIELDS), body])
-        blocks.append(len(plain).to_bytes(8, "little") + codec.compress(plain, asbytes=True))
+        own = first[low:high]
+        owner = text_of[own]
+        spans = zip(words.starts[own].tolist(), words.ends[own + windows[low:high] + WINDOW - 2].tolist(), strict=True)
+        blocks.append(_block(docs[owner], rows[owner], own - words.first[owner], windows[low:high], b" ".join([raw[x:y] for x, y in spans]), codec))
     n, m = len(blocks), len(covered[0])
+    zeros = np.zeros(m, dtype=np.int64)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate([bucket[cuts], covered[0] % max(buckets, 1)]), pa.int64()), pa.array([*blocks, *[None] * m], pa.binary()),
-            *(pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(c, pa.int64())]) for c in covered),
+            pa.array(np.concatenate([bucket[cuts], covered[0] % max(buckets, 1)]), pa.int64()), pa.array(np.concatenate([part[cuts], zeros]), pa.int64()), pa.array(np.concatenate([share[cuts], zeros - 1]), pa.int64()),
+            pa.array([*blocks, *[None] * m], pa.binary()), *(pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(c, pa.int64())]) for c in covered),
         ],
-        names=["bucket", "block", "row", "low", "high"],
+        names=["bucket", "part", "share", "block", "row", "low", "high"],
     )
 
 
+def _block(doc: np.ndarray, row: np.ndarray, start: np.ndarray, windows: np.ndarray, body: bytes, codec: pa.Codec) -> bytes:
+    """Entries and their strings, packed and compressed."""
+    fields = {"doc": np.diff(doc, prepend=0), "row": row - doc, "start": start, "windows": windows}
+    plain = b"".join([len(doc).to_bytes(8, "little"), *(fields[k].astype(t).tobytes() for k, t in _FIELDS), body])
+    return len(plain).to_bytes(8, "little") + codec.compress(plain, asbytes=True)
+
+
 def _merged(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
     """Ranges of the same row that meet, as one."""
     if not len(row):
@@ -201,15 +259,23 @@ def _running_end(row: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(high + shift) - shift
 
 
-def _resolve(table: pa.Table) -> pa.Table:
-    """One bucket: the word ranges that a smaller document covers."""
+def _resolve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """One bucket, part or share: the word ranges that a smaller document covers, and of a share what is left of it."""
+    bucket, part, share = (k.as_py() for k in key)
     ready = [table.column(c).drop_null().to_numpy() for c in ("row", "low", "high")]
     blocks = [x for x in table.column("block").to_pylist() if x is not None]
-    found = _bucket_ranges(blocks) if blocks else [np.zeros(0, dtype=np.int64)] * 3
-    return pa.table({k: pa.array(np.concatenate([a, b]), pa.int64()) for k, a, b in zip(("row", "low", "high"), ready, found, strict=True)})
-
-
-def _bucket_ranges(blocks: list[bytes]) -> list[np.ndarray]:
+    found, left = _bucket_ranges(blocks, share >= 0) if blocks else ([np.zeros(0, dtype=np.int64)] * 3, None)
+    n, more = len(ready[0]) + len(found[0]), [left] if left else []
+    ranges = [np.concatenate([a, b]) for a, b in zip(ready, found, strict=True)]
+    out = {
+        "bucket": pa.array(np.concatenate([ranges[0] % (1 << 20), [bucket] * len(more)]), pa.int64()), "part": pa.array(np.concatenate([np.full(n, -1), [part] * len(more)]), pa.int64()),
+        "share": pa.array(np.full(n + len(more), -1), pa.int64()), "block": pa.array([*[None] * n, *more], pa.binary()),
+    }
+    return pa.table(out | {k: pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(len(more), pa.int64())]) for k, x in zip(("row", "low", "high"), ranges, strict=True)})
+
+
+def _bucket_ranges(blocks: list[bytes], keep: bool) -> tuple[list[np.ndarray], bytes | None]:
+    """The ranges lost; with ``keep`` (entries are single windows) also the entries not lost, as one block."""
     codec = pa.Codec("zstd")
     parts: dict[str, list[np.ndarray]] = {k: [] for k, _ in _FIELDS}
     bodies = []
@@ -250,7 +316,12 @@ def _bucket_ranges(blocks: list[bytes]) -> list[np.ndarray]:
     smallest[by] = np.repeat(np.minimum.reduceat(owner[by], heads), np.diff(np.append(heads, len(by))))
     lost = np.flatnonzero(smallest < owner)
     low = start[entry[lost]] + nth[lost]
-    return _merged(row[entry[lost]], low, low + WINDOW)
+    left = None
+    if keep:
+        rest = np.flatnonzero(smallest == owner)
+        body = b" ".join([raw[x:y] for x, y in zip(begin[rest].tolist(), end[rest].tolist(), strict=True)])
+        left = _block(doc[rest], row[rest], start[rest], windows[rest], body, pa.Codec("zstd", compression_level=6))
+    return _merged(row[entry[lost]], low, low + WINDOW), left
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +345,9 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, large: int = LARGE, per_share: int = PER_SHARE, cell: int = CELL,
+) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words (one space between them) of every row."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -283,14 +356,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = source.withColumn("row", F.col("doc")) if plain else staged(source.withColumn("row", F.monotonically_increasing_id()))
     named = rows.where("doc is not null")
 
-    counts = staged(named.select("text").mapInArrow(_frequent, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")), small=True)
+    counts = staged(named.select("text").mapInArrow(_frequent(cell), "run long, n long").groupBy("run").agg(F.sum("n").alias("n")), small=True)
     total = (counts.where("run is null").first() or {"n": 0})["n"]
     often = [r["run"] for r in counts.where((F.col("run").isNotNull()) & (F.col("n") >= max(2, SHARE * total))).collect()]
     frequent = spark.sparkContext.broadcast(np.sort(np.array(often, dtype=np.int64).view(np.uint64)).tobytes())
-    buckets = max(8, -(-total // BUCKET))
-
-    blocks = named.select("row", "doc", "text").mapInArrow(_cut(frequent, buckets), "bucket long, block binary, row long, low long, high long")
-    ranges = blocks.groupBy("bucket").applyInArrow(_resolve, "row long, low long, high long")
+    buckets = max(8, -(-total // bucket))
+
+    sizes = named.select("text").mapInArrow(_sizes(frequent, buckets, cell), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    over = [(r["bucket"], parts := -(-r["n"] // bucket), max(1, isqrt(parts) // per_share)) for r in sizes.where(F.col("n") > large).collect()]  # at most one for ``large`` windows
+    dealt = np.array(sorted(over), dtype=np.int64).reshape(-1, 3).T
+
+    schema = "bucket long, part long, share long, block binary, row long, low long, high long"
+    blocks = named.select("row", "doc", "text").mapInArrow(_cut(frequent, buckets, spark.sparkContext.broadcast(dealt), cell), schema)
+    ranges = blocks.groupBy("bucket", "part", "share").applyInArrow(_resolve, schema)
+    if (dealt[2] > 1).any():
+        ranges = ranges.groupBy("bucket", "part", "share").applyInArrow(_resolve, schema)
+    ranges = ranges.where("row is not null")
     lost = ranges.groupBy("row").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")).withColumnRenamed("row", "lost_row")
-    joined = rows.join(lost.hint("shuffle_hash"), F.col("row") == F.col("lost_row"), "left").select("doc", "lows", "highs", "text")
+    joined = rows.join(lost, F.col("row") == F.col("lost_row"), "left").select("doc", "lows", "highs", "text")
     return joined.mapInArrow(_strip, "doc_id long, n_words long, n_removed long, text string")

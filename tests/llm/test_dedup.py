@@ -158,9 +158,11 @@ def test_components_of_chains_and_hubs(spark):
     assert all(found[i] == 100 for i in [*range(100, 130), 200, 201])
 
 
-def test_substring_dedup_matches_brute_force(spark, corpus):
+@pytest.mark.parametrize(("large", "bucket", "per_share", "cell"), [(1 << 20, 1 << 18, 4, 6 << 20), (50, 40, 4, 4000), (20, 2, 1, 2000)])
+def test_substring_dedup_matches_brute_force(spark, corpus, large, bucket, per_share, cell):
+    # small limits: large buckets are dealt to parts, parts to shares that meet again
     rows = [*corpus, (10_000, "tab\tand  double " + " ".join(words(30, 2)))]
-    found = {r["doc_id"]: r for r in substring_dedup(frame(spark, rows)).collect()}
+    found = {r["doc_id"]: r for r in substring_dedup(frame(spark, rows), bucket=bucket, large=large, per_share=per_share, cell=cell).collect()}
     first = {}
     for i, t in sorted(rows):
         w = split_words(t)
