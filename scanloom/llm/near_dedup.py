@@ -10,7 +10,12 @@
    shingle sets.  Confirmed links give components by alternating large-star and
    small-star.
 3. Buckets whose other members still lie in several components may hide links
-   between them.  In such a bucket the members outside its largest component ask
+   between them.  Where many members do (a template with other words in each),
+   a prefix filter comes first: shingles are ordered by rarity, and a link of the
+   wanted similarity needs a common shingle among the rarest ones of both sets;
+   members that share none with a member of another component drop out, the
+   others fall into clusters that share some, and only members of one cluster are
+   compared.  In such a bucket the members outside its largest component ask
    all others: tasks hold a block of members and a block of askers, compare
    signatures as matrices, and pass on, for each asker, the list of members in
    other components that the signatures support; a pair is passed on from the
@@ -20,8 +25,10 @@
    capped, pairs are never rows, and no link that shares a band key is lost.
 
 With 32 bands of 5 minima a link at similarity 0.85 is missed with probability
-(1 - 0.85^5)^32 < 1e-8; one at 0.8 with (1 - 0.8^5)^32 < 3e-6.  The signature
-filter admits what is within 4.5 standard deviations of the threshold.
+(1 - 0.85^5)^32 < 1e-7; one at 0.8 with (1 - 0.8^5)^32 < 4e-6.  The signature
+filter admits what is within six standard deviations of the threshold, so that it
+loses a link right at the threshold once in some ten million; the prefix filter
+loses none.
 
 Defined results: a document without words has no shingles, is its own component
 and stays.  With fewer words than a shingle the whole sequence is one.  Rows that
@@ -38,6 +45,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scanloom.llm.common import own_name, staged
 from scanloom.llm.text_kernels import Words, byte_runs, gram_hashes, mix64, sequence_hash, text_bytes
@@ -45,6 +53,8 @@ from scanloom.llm.text_kernels import Words, byte_runs, gram_hashes, mix64, sequ
 BANDS, ROWS, SHINGLE = 32, 5, 5
 #: Members of a block in step 3 and of a task that confirms links with a centre; askers of a block.
 BLOCK, ASKERS = 256, 4096
+#: Members from which on a bucket goes through the prefix filter; shingles of a row there.
+CROWD, PIECE = 1024, 4096
 _RUN = 1 << 20
 
 
@@ -174,6 +184,46 @@ def confirmed(proposed: DataFrame, members: DataFrame, texts: DataFrame, shingle
     return proposed.groupBy("task").cogroup(held.groupBy("of")).applyInArrow(_confirm(shingle, percent), "x long, y long")
 
 
+def _pieces(shingle: int):
+    """Texts of an id to the shingles of each set, cut to rows of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_bytes(batch.column(2))
+            for begin, end in byte_runs(texts, _RUN):
+                rows = []
+                for i, own in enumerate(shingle_sets(texts[begin:end], shingle)):
+                    key = np.array([_set_key(own, 1)], dtype=np.uint64).view(np.int64)[0]
+                    rows += [(begin + i, key, len(own), k, own[k : k + PIECE].view(np.int64)) for k in range(0, len(own), PIECE)]
+                at, keys, sizes, places, lists = zip(*rows, strict=True) if rows else [()] * 5
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, pa.int64()) for c in (keys, sizes, places)), pa.array(lists, pa.list_(pa.int64()))], names=["id", "label", "own", "n", "place", "hs"])
+
+    return run
+
+
+def prefix_clusters(crowd: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """node, label (a cluster) of the ids that may be linked across labels.  crowd: id, label; texts: id, text.
+
+    A pair of sets x and y, x not larger, with 100 both >= percent (x + y - both)
+    has both >= 2 percent x / (100 + percent) and both >= percent y / 100.  In any
+    common order, its first common shingle thus stands among the first
+    x - 2 percent x / (100 + percent) + 1 of x, which asks, and among the first
+    y - percent y / 100 + 1 of y.  The order is: shingles of one label only, then
+    rarer ones before common ones.
+    """
+    sets = crowd.join(texts, "id").select("id", "label", "text").mapInArrow(_pieces(shingle), "id long, label long, own long, n long, place long, hs array<long>")
+    rows = staged(sets.dropDuplicates(["id", "own", "place"]), even=True).select("id", "label", "own", "n", F.explode("hs").alias("h"))
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h", "times")
+    each = Window.partitionBy("id", "own")
+    ranked = rows.join(shared, "h").withColumn("rank", F.col("n") - F.count(F.lit(1)).over(each) + F.row_number().over(each.orderBy("times", "h")) - 1)
+    ask = F.col("n") - F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}")
+    answer = F.col("n") - F.expr(f"({percent} * n + 99) div 100")
+    prefix = staged(ranked.where(F.col("rank") <= answer).select("h", "id", "label", (F.col("rank") <= ask).alias("asks")), even=True)
+    groups = prefix.groupBy("h").agg(F.min("id").alias("x"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("asks").alias("asked")).where("asked and low < high").select("h", "x")
+    return components(prefix.join(groups, "h").select("x", F.col("id").alias("y")).distinct())
+
+
 def _agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Equal signature bytes of each pair of rows, as counts."""
     return (left[:, None, :] == right[None, :, :]).sum(axis=2, dtype=np.int16)
@@ -222,17 +272,17 @@ def components(edges: DataFrame) -> DataFrame:
     the shuffle and AQE can split a hub's edges in the joins.
     """
     big, small = F.greatest("x", "y"), F.least("x", "y")
-    edges = staged(edges.where("x != y").select(big.alias("x"), small.alias("y")).distinct(), small=True)
+    edges = staged(edges.where("x != y").select(big.alias("x"), small.alias("y")).distinct(), even=True)
     before = None
     while not edges.isEmpty():
         # large-star: every neighbour above u goes to the least of u and its neighbours
         both = edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        low = staged(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("u"), F.least("x", "m").alias("m")), small=True)
-        large = staged(edges.join(low, F.col("y") == F.col("u")).select("x", F.col("m").alias("y")).where("x != y").distinct(), small=True)
+        low = staged(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("u"), F.least("x", "m").alias("m")), even=True)
+        large = staged(edges.join(low, F.col("y") == F.col("u")).select("x", F.col("m").alias("y")).where("x != y").distinct(), even=True)
         # small-star: u and its lower neighbours go to the least of those
         least = large.groupBy("x").agg(F.min("y").alias("m")).withColumnRenamed("x", "u")
         lower = large.join(least, F.col("x") == F.col("u")).select(F.col("y").alias("x"), F.col("m").alias("y"))
-        edges = staged(lower.union(least.select(F.col("u").alias("x"), F.col("m").alias("y"))).where("x != y").distinct(), small=True)
+        edges = staged(lower.union(least.select(F.col("u").alias("x"), F.col("m").alias("y"))).where("x != y").distinct(), even=True)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if now == before:  # the edges no longer change: stars
             break
@@ -246,7 +296,7 @@ def near_groups(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     hashes, share = bands * rows, percent / 100
-    least = int(np.floor(hashes * share - 4.5 * np.sqrt(hashes * share * (1 - share))))
+    least = int(np.floor(hashes * share - 6 * np.sqrt(hashes * share * (1 - share))))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = "id long, n long, a long, b long, keys array<long>, signature binary"
     base = staged(source.mapInArrow(_sketch(shingle, bands, rows), sketch))
@@ -259,34 +309,40 @@ def near_groups(
 
     # 2. buckets, centres, confirmed links with centres
     placed = reps.select("id", F.explode("keys").alias("key"))
-    buckets = staged(placed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre != last").drop("last"), small=True)
-    filed = staged(placed.join(buckets, "key"), small=True)
+    buckets = staged(placed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre != last").drop("last"), even=True)
+    filed = staged(placed.join(buckets, "key"), even=True)
     sided = filed.where("id != centre").select(F.col("centre").alias("x"), F.col("id").alias("y")).distinct()
     for side in ("x", "y"):
         sided = sided.join(reps.select(F.col("id").alias(side), F.col("signature").alias(f"of_{side}")), side)
-    supported = staged(sided.select("x", "y", "of_x", "of_y").mapInArrow(_supported(least), "x long, y long"), small=True)
-    parts = staged(supported.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).withColumnRenamed("x", "centre"), small=True)
+    supported = staged(sided.select("x", "y", "of_x", "of_y").mapInArrow(_supported(least), "x long, y long"), even=True)
+    parts = staged(supported.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).withColumnRenamed("x", "centre"), even=True)
     task = F.concat_ws(":", F.col("x").cast("string"), F.pmod(F.xxhash64("y"), "parts").cast("string"))
     first = supported.join(parts, F.col("x") == F.col("centre")).groupBy(task.alias("task"), "x").agg(F.collect_list("y").alias("others"))
-    first = staged(first.select("task", "x", F.col("x").alias("label"), "others", F.col("others").alias("other_labels")), small=True)
+    first = staged(first.select("task", "x", F.col("x").alias("label"), "others", F.col("others").alias("other_labels")), even=True)
     needed = first.select(F.col("task").alias("of"), F.explode(F.array_append("others", F.col("x"))).alias("id"))
     texts = staged(source.join(filed.select("id").distinct(), "id", "left_semi"))
-    links = staged(confirmed(first, needed, texts, shingle, percent).union(_repeats(known, classes)), small=True)
+    links = staged(confirmed(first, needed, texts, shingle, percent).union(_repeats(known, classes)), even=True)
     labels = components(links)
 
     # 3. links that buckets with several components may still hide
     judged = filed.where("id != centre").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    judged = staged(judged.select("key", "id", F.coalesce("label", "id").alias("label")), small=True)
-    shares = judged.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    ajar = shares.where("n > most").select("key", "main", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / ASKERS).alias("rounds"))
-    held = judged.join(staged(ajar, small=True), "key").join(reps, "id").withColumn("outside", F.col("label") != F.col("main"))
+    judged = staged(judged.select("key", "id", F.coalesce("label", "id").alias("label")), even=True)
+    ajar = _ajar(judged, ["key"])
+    full = ajar.where(F.col("n") >= CROWD).select("key")
+    crowd = staged(judged.join(full, "key", "left_semi").select("id", "label").distinct(), even=True)
+    close = judged.join(ajar.where(F.col("n") < CROWD), "key").select("key", "id", "label", F.lit(None).cast("long").alias("cluster"))
+    if not crowd.isEmpty():
+        clusters = prefix_clusters(crowd, texts, shingle, percent).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
+        close = close.union(judged.join(full, "key", "left_semi").join(clusters, "id").select("key", "id", "label", "cluster"))
+    close = staged(close.withColumn("cluster", F.coalesce("cluster", F.lit(_NONE))), even=True)
+    held = close.join(_ajar(close, ["key", "cluster"]), ["key", "cluster"]).join(reps, "id").withColumn("outside", F.col("label") != F.col("main"))
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     rest = ["id", "label", "outside", "signature", "keys"]
-    members = held.select("key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), upto("rounds").alias("round"), F.lit(False).alias("asks"), *rest)
-    askers = held.where("outside").select("key", upto("blocks").alias("block"), F.pmod(F.xxhash64(F.lit(1), "id"), "rounds").alias("round"), F.lit(True).alias("asks"), *rest)
-    hidden = staged(members.union(askers).groupBy("key", "block", "round").applyInArrow(_across(least), PROPOSAL), small=True)
+    members = held.select("key", "cluster", F.pmod(F.xxhash64("id"), "blocks").alias("block"), upto("rounds").alias("round"), F.lit(False).alias("asks"), *rest)
+    askers = held.where("outside").select("key", "cluster", upto("blocks").alias("block"), F.pmod(F.xxhash64(F.lit(1), "id"), "rounds").alias("round"), F.lit(True).alias("asks"), *rest)
+    hidden = staged(members.union(askers).groupBy("key", "cluster", "block", "round").applyInArrow(_across(least), PROPOSAL), even=True)
     needed = hidden.where("x is null").select(F.col("task").alias("of"), F.explode("others").alias("id"))
-    more = staged(confirmed(hidden.where("x is not null"), needed, texts, shingle, percent), small=True)
+    more = staged(confirmed(hidden.where("x is not null"), needed, texts, shingle, percent), even=True)
     if not more.isEmpty():
         labels = components(links.union(more))
 
@@ -296,6 +352,17 @@ def near_groups(
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+#: The cluster of members of small buckets, which are no id's cluster.
+_NONE = -(1 << 63)
+
+
+def _ajar(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups whose members lie in several components: the largest one, members, blocks and rounds of askers."""
+    n = members.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
+    shares = n.groupBy(*keys).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    return staged(shares.where("n > most").select(*keys, "main", "n", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / ASKERS).alias("rounds")), even=True)
+
+
 def _supported(least: int):
     """Pairs (x, y, and both signatures) that agree in ``least`` places or more."""
 
@@ -312,8 +379,8 @@ def _repeats(known: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (x, y) between the classes of a doc_id that has several texts."""
     key = F.struct("a", "b")
     several = known.groupBy("id").agg(F.min(key).alias("one"), F.max(key).alias("two")).where("one != two").select("id")
-    of = staged(known.join(several, "id", "left_semi").select("id", "a", "b").distinct().join(classes.select("a", "b", "rep"), ["a", "b"]).select("id", "rep"), small=True)
-    low = staged(of.groupBy("id").agg(F.min("rep").alias("x")), small=True)
+    of = staged(known.join(several, "id", "left_semi").select("id", "a", "b").distinct().join(classes.select("a", "b", "rep"), ["a", "b"]).select("id", "rep"), even=True)
+    low = staged(of.groupBy("id").agg(F.min("rep").alias("x")), even=True)
     return of.join(low, "id").where("x != rep").select("x", F.col("rep").alias("y"))
 
 

@@ -131,15 +131,44 @@ def brute_components(rows, percent):
     return {i: (len(sets[i]), top(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("percent", "block"), [(85, 256), (80, 7)])
-def test_near_groups_match_brute_force(spark, corpus, percent, block, monkeypatch):
+@pytest.fixture(scope="module")
+def templates(corpus):
+    """Documents of one template, too different to be linked but for pairs and short chains among them."""
+    rng, rows = random.Random(12), list(corpus)
+    base = words(100, 40)
+    for i in range(150):
+        text, own = list(base), i if i % 3 else i - i % 9
+        at = own % 80
+        text[at : at + 20] = words(20 + own % 3, 1000 + own)
+        for _ in range(rng.randrange(0, 3)):
+            text[rng.randrange(len(text))] = f"y{rng.randrange(9999)}"
+        rows.append((1000 + i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize(("percent", "block", "crowd"), [(85, 256, 1024), (80, 7, 1 << 20), (80, 16, 4), (85, 16, 4), (60, 16, 4)])
+def test_near_groups_match_brute_force(spark, templates, percent, block, crowd, monkeypatch):
     monkeypatch.setattr(near_module, "BLOCK", block)  # small blocks: many tasks for one bucket
+    monkeypatch.setattr(near_module, "CROWD", crowd)  # small crowds: the prefix filter decides who is compared
+    corpus = templates
     want = brute_components(corpus, percent)
     found = near_groups(frame(spark, corpus), percent=percent).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+def test_prefix_clusters_lose_no_link(spark, templates):
+    """Every pair of at least the wanted similarity and of two labels lies in one cluster; of the near misses most are in none."""
+    rows = [(i, t) for i, t in templates if i >= 1000]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [split_words(lower(t))]}
+    crowd = spark.createDataFrame([(i, i) for i, _ in rows], "id long, label long")
+    for percent in (60, 80, 85):
+        found = {r["node"]: r["label"] for r in near_module.prefix_clusters(crowd, spark.createDataFrame(rows, "id long, text string"), 5, percent).collect()}
+        links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+        assert links and all(found.get(i, -i) == found.get(j, -j) for i, j in links)
+        assert percent < 80 or len(found) < len(rows)
+
+
 def test_near_dedup_odd_rows(spark):
     text = " ".join(words(50, 3))
     rows = [(3, text), (7, text.upper().replace("É", "é")), (7, "something else entirely"), (9, "Something else entirely"), (None, text), (1, None), (2, "")]
