@@ -58,7 +58,7 @@ def recipes(docs: DataFrame, id_col: str, text_col: str, bits: int = 128, least:
     # One row for each distinct content (combined before the shuffle), then the
     # hashes under which more than one content lies.
     contents = pieces.groupBy("h").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low != high").select("h")
-    clashes = staged(contents, small=True)
+    clashes = staged(contents, even=True)
     if clashes.isEmpty():  # each hash has one content: it is the identifier
         return base.select("doc_id", "text_id", "n_chars", "text_sha256", F.transform("chunk", lambda c: _hashed(c, bits)).alias("recipe"))
     ranked = (
@@ -83,7 +83,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame
     listed = staged(recipes(docs, id_col, text_col, bits))
     rank = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("null"), "doc_id")
     groups = listed.groupBy("recipe").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    groups = staged(groups, small=True)
+    groups = staged(groups, even=True)
     found = listed.join(groups.withColumnRenamed("recipe", "theirs"), F.col("recipe") == F.col("theirs"), "left")
     kept = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_chars") == -F.col("best.n")))
     keep_id = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
@@ -109,7 +109,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("text_id").alias(hash_)).distinct()
     left = docs.join(gone, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(hash_)), "left_anti")
     # Rows that tie in id and length are all marked as kept: rare, and one is enough.
-    twice = staged(judged.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias(id_)).distinct(), small=True)
+    twice = staged(judged.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias(id_)).distinct(), even=True)
     if twice.isEmpty():
         return left
     same = F.col(id_col).eqNullSafe(F.col(id_))

@@ -51,7 +51,7 @@ def dropped_positions(docs: DataFrame, id_col: str, text_col: str, min_chars: in
     # The first aggregate makes each document count once, the second combines
     # before its shuffle, so that a line found everywhere costs a row a task.
     counted = hashed.select("a", "b", "drop_id").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("drop_id").alias("keep_id"))
-    common = staged(counted.where(F.col("n") >= min_docs).select("a", "b", "keep_id"), small=True)
+    common = staged(counted.where(F.col("n") >= min_docs).select("a", "b", "keep_id"), even=True)
     gone = hashed.join(common, ["a", "b"]).where("drop_id != keep_id")
     return gone.groupBy("drop_id", "drop_text").agg(F.collect_set("at").alias("drops"))
 

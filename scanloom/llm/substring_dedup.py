@@ -356,7 +356,7 @@ def substring_dedup(
     rows = source.withColumn("row", F.col("doc")) if plain else staged(source.withColumn("row", F.monotonically_increasing_id()))
     named = rows.where("doc is not null")
 
-    counts = staged(named.select("text").mapInArrow(_frequent(cell), "run long, n long").groupBy("run").agg(F.sum("n").alias("n")), small=True)
+    counts = staged(named.select("text").mapInArrow(_frequent(cell), "run long, n long").groupBy("run").agg(F.sum("n").alias("n")), even=True)
     total = (counts.where("run is null").first() or {"n": 0})["n"]
     often = [r["run"] for r in counts.where((F.col("run").isNotNull()) & (F.col("n") >= max(2, SHARE * total))).collect()]
     frequent = spark.sparkContext.broadcast(np.sort(np.array(often, dtype=np.int64).view(np.uint64)).tobytes())
