@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,17 +40,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders inside the application's that staged tables go to at present.
+_INSIDE: ContextVar[tuple[str, ...]] = ContextVar("inside", default=())
+
+
 def staging_folder(spark: SparkSession) -> str:
     """Where this application keeps its staged tables."""
-    return f"{shared_folder(spark)}/scanloom/{spark.sparkContext.applicationId}"
+    return "/".join([shared_folder(spark), "scanloom", spark.sparkContext.applicationId, *_INSIDE.get()])
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all staged tables of this application; results that still read them must be written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+def release(spark: SparkSession, folder: str | None = None) -> None:
+    """Delete a folder, or all staged tables of this application; results that still read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder or staging_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """What ``make`` returns, written, and its folder; the tables that were staged to make it are deleted."""
+    path, inside = f"{staging_folder(spark)}/{uuid.uuid4().hex}", uuid.uuid4().hex
+    token = _INSIDE.set((*_INSIDE.get(), inside))
+    try:
+        df = make()
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        release(spark)
+        _INSIDE.reset(token)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def staged(df: DataFrame, small: bool = False, even: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
 

@@ -83,10 +83,25 @@ def _useless(a: int, b: int, c: int, rows: list[int], cost: list) -> bool:
     return (cost[b] - cost[a]) * (rows[c] - rows[b]) >= (cost[c] - cost[b]) * (rows[b] - rows[a])
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, length: Column | None = None) -> DataFrame:
-    """doc_id, n_tokens, bucket (its padded length), batch (numbered in its bucket) and slot (place in the batch) of every row."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, length: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, bucket (its padded length), batch (numbered in its bucket) and slot (place in the batch) of every row.
+
+    Columns named in ``keep`` follow, whole: they are staged beside a row number
+    and meet their row's place again at the end.
+    """
     size = length if length is not None else word_count(F.col(text_col))
-    rows = staged(docs.select(F.col(id_col).alias("doc_id"), size.alias("n_tokens"), address(id_col, text_col).alias("order")))
+    if keep:
+        own = [F.col(c).alias(f"kept_{c}") for c in keep]
+        rows = staged(docs.select(F.col(id_col).alias("id"), size.alias("n_tokens"), address(id_col, text_col).alias("order"), F.monotonically_increasing_id().alias("row"), *own))
+        places = _places(rows.select(F.struct("id", "row").alias("doc_id"), "n_tokens", "order"), buckets, budget)
+        places = places.select("doc_id.row", F.col("doc_id.id").alias("doc_id"), "n_tokens", "bucket", "batch", "slot")
+        whole = places.join(rows.select("row", *(f"kept_{c}" for c in keep)), "row")
+        return whole.select("doc_id", "n_tokens", "bucket", "batch", "slot", *(F.col(f"kept_{c}").alias(c) for c in keep))
+    return _places(staged(docs.select(F.col(id_col).alias("doc_id"), size.alias("n_tokens"), address(id_col, text_col).alias("order"))), buckets, budget)
+
+
+def _places(rows: DataFrame, buckets: int, budget: int) -> DataFrame:
+    """doc_id, n_tokens, bucket, batch and slot of (doc_id, n_tokens, order) rows."""
     histogram = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").collect()  # one row a length
     total = sum(r["n"] for r in histogram)
     ends = boundaries([r["n_tokens"] for r in histogram], [r["n"] for r in histogram], buckets)
