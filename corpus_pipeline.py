@@ -2,15 +2,17 @@
 
 Quality filter, exact dedup, near dedup, benchmark decontamination, packing.
 Each stage works on all rows that the stage before kept, and all but the last
-return the columns of ``documents``.  Rows with a null doc_id pass the stages
-that match documents with each other or with the benchmark.
+return the columns of ``documents``; the last returns every row's place in the
+batches beside its text.  Rows with a null doc_id pass the stages that match
+documents with each other or with the benchmark.  Each stage's result is written
+before the next reads it, and what the stage staged on the way is deleted then.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.llm.common import staged, table
+from scanloom.llm.common import release, settled, table
 from scanloom.llm.decontaminate import decontaminate
 from scanloom.llm.exact_dedup import exact_dedup
 from scanloom.llm.near_dedup import near_dedup
@@ -39,8 +41,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length bucket, batch and slot of every row that is left."""
-    return pack(docs)
+    """Length bucket, batch, slot and text of every row that is left."""
+    return pack(docs, keep=("text",))
 
 
 STAGES = [
@@ -57,7 +59,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``, each written before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
+    docs, folder = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        before = folder
+        docs, folder = settled(spark, lambda: stage(spark, docs, sf_dir))  # noqa: B023
+        if before:
+            release(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
