@@ -13,7 +13,7 @@ JSON object:
 
 Calls and results are hash-joined by conversation and identifier.  Calls are
 ordered topologically: a call's level is one more than the greatest level of the
-calls it depends on, found by peeling resolved calls off until none is left.
+calls it depends on.
 Rows carry their place as the columns (anchor_turn, level, call_index, kind_rank,
 turn), so that no conversation is sorted in one task; ordering by conversation
 and these columns gives every result after its call, and every call after the
@@ -41,6 +41,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scanloom.llm.common import staged
 
@@ -53,6 +54,8 @@ _ADMITS = {
     "string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL", "FLOAT"], "boolean": ["BOOLEAN"],
     "object": ["OBJECT"], "array": ["ARRAY"], "null": ["VOID"],
 }
+#: Calls of a run of turns, and of one turn beyond which a conversation is peeled.
+RUN, WIDE = 1024, 64
 #: A null turn's place.
 _FIRST = -(1 << 63)
 
@@ -91,22 +94,68 @@ def _errors(arguments: Column, schema: Column) -> Column:
 def _levels(calls: DataFrame) -> DataFrame:
     """conv, id, level of every linked call that can be ordered, one row each.
 
-    A round peels the calls whose dependencies all have a level.  Rounds read only
-    the dependencies that are still open and write only what is new, so that the
-    work is the sum of the levels, not calls times depth.
+    Conversations are cut into runs of turns of some ``RUN`` calls.  The runs of one
+    number are ordered together, each as one row, from the levels of the runs
+    before; so there are as many rounds as the longest conversation has runs, and
+    a row is bounded.  Conversations with more than ``WIDE`` calls in one turn are
+    peeled instead.
     """
     first = calls.where("first")
     heads = first.groupBy("conv", "id").agg(F.min(F.struct("turn")).alias("at")).select("conv", "id", F.coalesce("at.turn", F.lit(_FIRST)).alias("t"))
     needs = staged(first.select("conv", "id", F.coalesce("turn", F.lit(_FIRST)).alias("t"), F.explode("depends_on").alias("need")).distinct(), even=True)
-    level = lambda rows, n: rows.select("conv", "id", F.lit(n).alias("level"))
-    fresh = level(heads.join(needs.select("conv", "id"), ["conv", "id"], "left_anti"), 0)
     if needs.isEmpty():
-        return fresh
+        return heads.select("conv", "id", F.lit(0).alias("level"))
     known = needs.join(heads.select("conv", F.col("id").alias("need"), F.col("t").alias("need_t")), ["conv", "need"], "left")
     dead = known.where(F.col("need_t").isNull() | (F.col("need_t") > F.col("t"))).select("conv", "id")
-    open_ = staged(needs.join(dead, ["conv", "id"], "left_anti").select("conv", "id", "need"), even=True)
-    fresh, n = staged(fresh, even=True), 0
-    done = fresh
+    deps = needs.groupBy("conv", "id").agg(F.collect_list("need").alias("needs"))
+    alive = heads.join(dead, ["conv", "id"], "left_anti").join(deps, ["conv", "id"], "left").withColumn("needs", F.coalesce("needs", F.array().cast("array<string>")))
+    turns = heads.groupBy("conv", "t").agg(F.count(F.lit(1)).alias("width"))
+    turns = turns.withColumn("run", F.floor((F.sum("width").over(Window.partitionBy("conv").orderBy("t")) - F.col("width")) / RUN))
+    widest = turns.groupBy("conv").agg(F.max("width").alias("widest"))
+    alive = staged(alive.join(turns, ["conv", "t"]).join(widest, "conv"), even=True)
+    last = alive.where(F.col("widest") <= WIDE).agg(F.max("run")).first()[0]
+    done = _peeled(alive.where(F.col("widest") > WIDE))
+    for n in range(0 if last is None else last + 1):
+        run = alive.where((F.col("widest") <= WIDE) & (F.col("run") == n))
+        rows = run.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("t", "id", "needs"))).alias("calls"), F.max("width").cast("int").alias("passes"))
+        if n:
+            before = run.select("conv", F.explode("needs").alias("id")).distinct().join(done, ["conv", "id"])
+            rows = rows.join(before.groupBy("conv").agg(F.map_from_entries(F.collect_list(F.struct("id", "level"))).alias("before")), "conv", "left")
+        else:
+            rows = rows.withColumn("before", F.lit(None).cast("map<string,int>"))
+        rows = rows.withColumn("before", F.coalesce("before", F.create_map().cast("map<string,int>")))
+        found = rows.select("conv", "before", F.explode(_ordered(F.col("calls"), F.col("before"), F.col("passes"))).alias("id", "level"))
+        done = done.union(staged(found.where(~F.map_contains_key("before", F.col("id"))).select("conv", "id", "level"), even=True))
+    return done
+
+
+def _ordered(calls: Column, before: Column, passes: Column) -> Column:
+    """id to level of the calls (sorted by turn) that can be ordered, and what was known before.
+
+    A pass orders every call whose dependencies stand before it; those inside one
+    turn may stand in any order, hence as many passes as a turn has calls.
+    """
+
+    def step(levels: Column, call: Column) -> Column:
+        ready = ~F.map_contains_key(levels, call["id"]) & F.forall(call["needs"], lambda n: F.map_contains_key(levels, n))
+        level = F.coalesce(F.array_max(F.transform(call["needs"], lambda n: F.element_at(levels, n))) + 1, F.lit(0))
+        return F.when(ready, F.map_concat(levels, F.map_from_arrays(F.array(call["id"]), F.array(level)))).otherwise(levels)
+
+    return F.aggregate(F.sequence(F.lit(1), passes), before, lambda levels, _: F.aggregate(calls, levels, step))
+
+
+def _peeled(alive: DataFrame) -> DataFrame:
+    """conv, id, level by peeling: a round takes the calls whose dependencies all have a level.
+
+    Rounds read only the dependencies that are still open and write only what is
+    new, so that the work is the sum of the levels, not calls times depth.
+    """
+    level = lambda rows, n: rows.select("conv", "id", F.lit(n).alias("level"))
+    if alive.isEmpty():
+        return level(alive, 0)
+    open_ = staged(alive.select("conv", "id", F.explode("needs").alias("need")), even=True)
+    done = fresh = staged(level(alive.where(F.size("needs") == 0), 0), even=True)
+    n = 0
     while True:
         met = fresh.select("conv", F.col("id").alias("need"))
         rest = staged(open_.join(met, ["conv", "need"], "left_anti").select("conv", "id", "need"), even=True)

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from scanloom.llm import chat_format as chat_module
 from scanloom.llm import packing as packing_module
 from scanloom.llm import quality as quality_module
 from scanloom.llm import registry
@@ -314,6 +315,28 @@ def test_long_texts_and_lists_of_types(spark):
     assert max(len(r["json"]) for r in out if r["kind"] == "message") > 1_000_000
 
 
+@pytest.mark.parametrize(("run", "wide"), [(1024, 64), (5, 64), (1, 1)])
+def test_levels_match_brute_force(spark, monkeypatch, run, wide):
+    """Random dependencies, circles and missing ones among them: in one row, in runs of turns, and peeled."""
+    monkeypatch.setattr(chat_module, "RUN", run)
+    monkeypatch.setattr(chat_module, "WIDE", wide)
+    rng, rows, want = random.Random(9), [], {}
+    for conv in range(12):
+        calls = [(turn, f"{turn}.{k}") for turn in range(rng.randrange(1, 14)) for k in range(rng.randrange(0, 4))]
+        pools = {i: [j for t, j in calls if turn - 4 < t <= turn + (rng.random() < 0.01) and j != i and (t < turn or rng.random() < 0.3)] + ["none"] * (rng.random() < 0.04) for turn, i in calls}
+        needs = {i: rng.sample(pool, k=min(rng.choice((0, 1, 1, 2)), len(pool))) for i, pool in pools.items()}
+        turn_of, level = {i: t for t, i in calls}, {}
+        for _ in calls:
+            level |= {i: 1 + max((level[j] for j in needs[i]), default=-1) for _, i in calls if all(j in level and turn_of[j] <= turn_of[i] for j in needs[i])}
+        want |= {(conv, i): level.get(i) for _, i in calls}
+        for turn in sorted({t for t, _ in calls}):
+            own = [{"id": i, "name": "f", "arguments": {}, "depends_on": needs[i]} for t, i in calls if t == turn]
+            rows.append((conv, turn, "assistant", json.dumps({"tool_calls": own})))
+    out = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("kind = 'call'").collect()
+    assert {(r["conv_id"], r["call_id"]): None if r["status"] == "unordered" else r["level"] for r in out} == want
+    assert max(x or 0 for x in want.values()) > 3 and None in want.values()
+
+
 def test_long_chain_of_calls_is_ordered(spark):
     chain = [{"id": str(i), "name": "f", "arguments": {}, "depends_on": [str(i + 1)] if i < 5 else []} for i in range(6)]
     messages = spark.createDataFrame([(1, 0, "assistant", json.dumps({"tool_calls": chain}))], "conv_id long, turn long, role string, text string")
