@@ -53,7 +53,7 @@ def crop_box(points: DataFrame, low: tuple[float, float, float], high: tuple[flo
 
 def random_sample(points: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """The n rows of least hash of a key: a uniform sample that doesn't depend on partitioning."""
-    return points.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return points.orderBy(F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def remove_ground(points: DataFrame, base_z: float | Column, margin: float = 0.8) -> DataFrame:

@@ -49,7 +49,7 @@ def q_max_range(spark, d):
     return filters.scans_in_range(points(spark, d), "cloud_id", 100.0).withColumn("max_range", F.round("max_range", 6))
 
 
-@query()
+@query(f"WITH {PTS} SELECT point_id, x, y, z FROM points ORDER BY md5('0/' || point_id), point_id LIMIT 500")
 def q_random_sample(spark, d):
     return filters.random_sample(points(spark, d), 500, "point_id").select("point_id", "x", "y", "z")
 
@@ -111,15 +111,35 @@ def q_voxel_cov(spark, d):
     return out.withColumns({c: F.round(c, 9 if c[0] == "m" else 7) for c in out.columns if c[0] in "mc"})
 
 
-@query()
+#: Eigenvalues of a symmetric 3x3 matrix by the roots of its characteristic polynomial, greatest first, in SQL.
+_EIGEN = f"""{STATS}, q AS (SELECT *, (cxx + cyy + czz) / 3 AS q, cxy * cxy + cxz * cxz + cyz * cyz AS off FROM stats),
+    p AS (SELECT *, sqrt(((cxx - q) * (cxx - q) + (cyy - q) * (cyy - q) + (czz - q) * (czz - q) + 2 * off) / 6) AS p FROM q WHERE q > 0),
+    r AS (SELECT *, acos(greatest(-1, least(1, ((cxx - q) * ((cyy - q) * (czz - q) - cyz * cyz) - cxy * (cxy * (czz - q) - cyz * cxz) + cxz * (cxy * cyz - (cyy - q) * cxz)) / (2 * p * p * p)))) / 3 AS phi FROM p),
+    e AS (SELECT *, q + 2 * p * cos(phi) AS e1, q + 2 * p * cos(phi + 2 * pi() / 3) AS e3 FROM r),
+    c AS (SELECT *, greatest(3 * q - e1 - e3, 0.01 * e1) AS f2, greatest(e3, 0.01 * e1) AS f3 FROM e)"""
+
+
+@query(f"WITH {_EIGEN} SELECT vx, vy, vz, n, round(mx, 6) AS mx, round(my, 6) AS my, round(mz, 6) AS mz, round(e1 + f2 + f3, 4) AS trace, round(ln(e1) + ln(f2) + ln(f3), 4) AS log_det, round(1 / e1 + 1 / f2 + 1 / f3, 3) AS inverse_trace, true AS inverts, true AS unit_axis FROM c")
 def q_voxel_gaussian(spark, d):
-    """Rows only in the driver's check; tests hold the eigenvalue clamp against numpy."""
+    """What the clamp leaves unchanged under rotation, against eigenvalues in closed form; and that cov inv_cov = 1."""
     from scanloom.config import VoxelConfig
 
-    return voxels.build_voxels(points(spark, d), VoxelConfig(resolution=RES))
+    out = voxels.build_voxels(points(spark, d), VoxelConfig(resolution=RES))
+    cov, inv = F.col("cov"), F.col("inv_cov")
+    det = cov[0] * (cov[4] * cov[8] - cov[5] * cov[7]) - cov[1] * (cov[3] * cov[8] - cov[5] * cov[6]) + cov[2] * (cov[3] * cov[7] - cov[4] * cov[6])
+    product = [sum(cov[3 * i + k] * inv[3 * k + j] for k in range(3)) - (1.0 if i == j else 0.0) for i in range(3) for j in range(3)]
+    axis = F.col("axis")
+    return out.select(
+        *voxels.CELL, "n", *(F.round(F.col("mean")[i], 6).alias(f"m{c}") for i, c in enumerate("xyz")), F.round(cov[0] + cov[4] + cov[8], 4).alias("trace"), F.round(F.log(det), 4).alias("log_det"),
+        F.round(inv[0] + inv[4] + inv[8], 3).alias("inverse_trace"), (F.greatest(*map(F.abs, product)) < 1e-6).alias("inverts"), (F.abs(axis[0] * axis[0] + axis[1] * axis[1] + axis[2] * axis[2] - 1) < 1e-9).alias("unit_axis"),
+    )
+
+
+def _occupied(r: int) -> str:
+    return f"SELECT {r}::DOUBLE AS resolution, count(*) AS voxels, sum(n)::BIGINT AS points FROM (SELECT count(*) AS n FROM points GROUP BY floor(x / {r}), floor(y / {r}), floor(z / {r}) HAVING count(*) >= 6 AND (min(xi) < max(xi) OR min(yi) < max(yi) OR min(zi) < max(zi)))"
 
 
-@query()
+@query(f"WITH {PTS} {_occupied(8)} UNION ALL {_occupied(4)}")
 def q_voxel_multi_resolution(spark, d):
     out = voxels.build_multi_resolution(points(spark, d), [8.0, 4.0])
     return out.groupBy("resolution").agg(F.count(F.lit(1)).alias("voxels"), F.sum("n").alias("points"))
@@ -176,20 +196,20 @@ TRK = """track AS (SELECT event_id, user_id AS track_id, epoch_us(ts) AS stamp_u
 _RPY = "x / 200 - 0.7 AS roll, y / 100 - 0.5 AS pitch, z / 3 - 1 AS yaw"
 _QUAT = """sin(roll/2)*cos(pitch/2)*cos(yaw/2) - cos(roll/2)*sin(pitch/2)*sin(yaw/2) AS qx, cos(roll/2)*sin(pitch/2)*cos(yaw/2) + sin(roll/2)*cos(pitch/2)*sin(yaw/2) AS qy,
     cos(roll/2)*cos(pitch/2)*sin(yaw/2) - sin(roll/2)*sin(pitch/2)*cos(yaw/2) AS qz, cos(roll/2)*cos(pitch/2)*cos(yaw/2) + sin(roll/2)*sin(pitch/2)*sin(yaw/2) AS qw"""
-QUATS = f"{TRK}, angles AS (SELECT *, {_RPY} FROM track WHERE x < 400), quats AS (SELECT *, {_QUAT} FROM angles)"
+QUATS = f"{TRK}, angles AS (SELECT *, {_RPY} FROM track), quats AS (SELECT *, {_QUAT} FROM angles)"
 Q = ("qx", "qy", "qz", "qw")
 
 
 def posed_track(spark, d):
-    rows = track(spark, d).where("x < 400").withColumns({"roll": F.col("x") / 200 - 0.7, "pitch": F.col("y") / 100 - 0.5, "yaw": F.col("z") / 3 - 1})
+    rows = track(spark, d).withColumns({"roll": F.col("x") / 200 - 0.7, "pitch": F.col("y") / 100 - 0.5, "yaw": F.col("z") / 3 - 1})
     return rows.withColumns(dict(zip(Q, G.rpy_to_quaternion("roll", "pitch", "yaw"), strict=True)))
 
 
-@query(f"""WITH {QUATS} SELECT event_id, {', '.join(f'round({q}, 6) AS {q}' for q in Q)}, round(atan2(2*(qw*qx+qy*qz), 1-2*(qx*qx+qy*qy)), 6) + 0.0 AS roll,
+@query(f"""WITH {QUATS} SELECT event_id, {', '.join(f'round({q}, 6) + 0.0 AS {q}' for q in Q)}, round(atan2(2*(qw*qx+qy*qz), 1-2*(qx*qx+qy*qy)), 6) + 0.0 AS roll,
     round(asin(greatest(-1, least(1, 2*(qw*qy-qz*qx)))), 6) + 0.0 AS pitch, round(atan2(2*(qw*qz+qx*qy), 1-2*(qy*qy+qz*qz)), 6) + 0.0 AS yaw FROM quats""")
 def q_rpy_quat_roundtrip(spark, d):
     back = dict(zip(("roll", "pitch", "yaw"), G.quaternion_to_rpy(*Q), strict=True))
-    return posed_track(spark, d).select("event_id", *(F.round(q, 6).alias(q) for q in Q), *((F.round(v, 6) + 0.0).alias(k) for k, v in back.items()))
+    return posed_track(spark, d).select("event_id", *((F.round(q, 6) + 0.0).alias(q) for q in Q), *((F.round(v, 6) + 0.0).alias(k) for k, v in back.items()))
 
 
 _REL = """rel AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0, lag(z) OVER w AS z0, lag(qx) OVER w AS ax, lag(qy) OVER w AS ay, lag(qz) OVER w AS az, lag(qw) OVER w AS aw

@@ -149,60 +149,6 @@ def q_derivative_sums(spark, d):
     return out.select(*(F.round(c, 4).alias(c) for c in ("score", "g0", "g1", "g2", "h00", "h01", "h11")), "pairs")
 
 
-# ---- alignment: rows only in the driver's check; tests hold it against known poses
-
-
-def real_voxels(spark, d) -> DataFrame:
-    return voxels.build_voxels(points(spark, d), VoxelConfig(resolution=RES))
-
-
-def initial_poses(spark, d) -> DataFrame:
-    return scan(spark, d).select("scan_id").distinct().withColumns({"pose_id": F.lit(0).cast("long"), "tx": F.lit(0.2), "ty": F.lit(-0.1), "tz": F.lit(0.1), "roll": F.lit(0.0), "pitch": F.lit(0.0), "yaw": F.lit(0.02)})
-
-
-@query()
-def q_align_batch(spark, d):
-    return registration.align_batch(scan(spark, d), initial_poses(spark, d), real_voxels(spark, d), "scan_id", MatchConfig(resolution=RES))
-
-
-@query()
-def q_align_debug(spark, d):
-    out = registration.align_batch(scan(spark, d), initial_poses(spark, d), real_voxels(spark, d), "scan_id", MatchConfig(resolution=RES, use_line_search=True), debug=True)
-    return out.select("scan_id", "pose_id", "status", F.explode("log").alias("i")).select("scan_id", "pose_id", "status", "i.*")
-
-
-@query()
-def q_align_plane(spark, d):
-    return registration.align_batch(scan(spark, d), initial_poses(spark, d), real_voxels(spark, d), "scan_id", MatchConfig(resolution=RES, metric="plane"))
-
-
-@query()
-def q_align_multigrid(spark, d):
-    grids = {r: voxels.build_voxels(points(spark, d), VoxelConfig(resolution=r)) for r in (8.0, 4.0)}
-    return registration.align_multigrid(scan(spark, d), initial_poses(spark, d), grids, "scan_id", adaptive_nvtl=2.3)
-
-
-@query()
-def q_align_cloud(spark, d):
-    found = registration.align_cloud(scan(spark, d), real_voxels(spark, d).persist(), (0.2, -0.1, 0.1, 0.0, 0.0, 0.02), MatchConfig(resolution=RES))
-    return spark.createDataFrame([(*map(float, found["pose"]), found["status"], found["score"], found["iterations"])], ", ".join(f"{c} double" for c in registration.POSE) + ", status string, score double, iterations int")
-
-
-@query()
-def q_initial_pose(spark, d):
-    rows, _ = initial_pose.search_scans(scan(spark, d), real_voxels(spark, d).persist(), (0.0,) * 6, (0.5, 0.5, 0.1, 0.02, 0.02, 0.0), "scan_id", InitialPoseConfig(), MatchConfig(resolution=RES))
-    return C.running_best(rows.withColumnRenamed("scan_id", "search"), "score", "particle_id", "search")
-
-
-@query()
-def q_cov_multi_ndt(spark, d):
-    config = CovarianceConfig(kind="multi_ndt")
-    found = registration.align_batch(scan(spark, d), initial_poses(spark, d), real_voxels(spark, d), "scan_id", MatchConfig(resolution=RES))
-    offsets = C.offset_poses(found.select("scan_id", *registration.POSE), config).withColumnRenamed("offset_id", "pose_id")
-    again = registration.align_batch(scan(spark, d), offsets, real_voxels(spark, d), "scan_id", MatchConfig(resolution=RES))
-    return C.covariance_from_offsets(again, config, "scan_id").withColumn("covariance", C.full_covariance(config))
-
-
 # ---- covariance and weights over event values
 
 _TRK_SAMPLES = "t AS (SELECT event_id, event_type, value AS x, CAST(json_extract(props, '$.k') AS INTEGER)::DOUBLE AS y FROM events)"
