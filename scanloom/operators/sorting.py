@@ -7,24 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _digit(value: str, buckets: int) -> Column:
-    """The leading digit of a number: which of ``buckets`` equal parts of its range it lies in."""
-    low, high = F.col(f"_low_{value}").cast("double"), F.col(f"_high_{value}").cast("double")
-    width = F.greatest((high - low) / buckets, F.lit(1e-300))
-    return F.least(F.floor((F.col(value).cast("double") - low) / width), F.lit(buckets - 1))
+def _cuts(df: DataFrame, value: str, buckets: int) -> list[float]:
+    """Values that cut the rows into some ``buckets`` parts of much the same size (at most so many numbers)."""
+    found = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]
+    return sorted(set(found or []))
 
 
-def sorted_positions(df: DataFrame, code: str, tie: str, buckets: int = 4096, tie_buckets: int = 64) -> DataFrame:
+def _digit(value: str, cuts: list[float], low: int = 0, high: int | None = None) -> Column:
+    """Which part a value lies in, the number of cuts below it, by halving."""
+    high = len(cuts) if high is None else high
+    if low == high:
+        return F.lit(low).cast("long")
+    middle = (low + high) // 2
+    return F.when(F.col(value).cast("double") <= F.lit(cuts[middle]), _digit(value, cuts, low, middle)).otherwise(_digit(value, cuts, middle + 1, high))
+
+
+def sorted_positions(df: DataFrame, code: str, tie: str, buckets: int = 256, tie_buckets: int = 64) -> DataFrame:
     """Adds ``position`` (from 0) in the order of a number and a numeric tie breaker.
 
     As a radix sort does: counts by leading digits give each digit's first
-    position, and rows are ranked inside theirs.  The digits are equal parts of the
-    code's range, then the codes, then equal parts of the ties' range, so that a
-    code that many rows share is ranked by several tasks.
+    position, and rows are ranked inside theirs.  The digits are quantiles of the
+    codes, so that clustered codes spread as evenly as others, and quantiles of the
+    ties, so that a code that many rows share is ranked by several tasks.
     """
-    ends = [f(c).alias(f"_{n}_{c}") for c in (code, tie) for n, f in (("low", F.min), ("high", F.max))]
-    ranged = df.crossJoin(df.agg(*ends))  # one row
-    dealt = ranged.select(*df.columns, _digit(code, buckets).alias("_bucket"), _digit(tie, tie_buckets).alias("_part"))
+    by_code, by_tie = _cuts(df, code, buckets), _cuts(df, tie, tie_buckets)
+    dealt = df.select("*", _digit(code, by_code).alias("_bucket"), _digit(tie, by_tie).alias("_part"))
     counts = dealt.groupBy("_bucket", code, "_part").agg(F.count(F.lit(1)).alias("_n"))
     inside = counts.withColumn("_inner", F.sum("_n").over(Window.partitionBy("_bucket").orderBy(code, "_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
     sizes = counts.groupBy("_bucket").agg(F.sum("_n").alias("_size"))  # bounded by the number of buckets

@@ -103,13 +103,25 @@ def lookup_transform(queries: DataFrame, transforms: DataFrame, warn_ns: int = 1
     backward = edges.select(F.col("parent").alias("f"), F.col("child").alias("t"), "stamp_ns", "is_static", F.struct(F.lit(1).alias("rank"), inverse_values.alias("v")).alias("e"))
     both = forward.unionByName(backward)
 
+    # Null stamps ask for the latest: the end of time.  Each kind of edge is one row
+    # for a frame pair (static) or one bracket in time, so that nothing is multiplied.
+    late = F.lit((1 << 63) - 1)
+    q = q.withColumn("_at", F.coalesce("stamp_ns", late))
+    usable = both.where("f is not null and t is not null").select(F.col("f").alias("_src"), F.col("t").alias("_dst"), F.col("stamp_ns").alias("_at"), "is_static", "e")
+    fixed = usable.where("is_static").groupBy("_src", "_dst").agg(F.min(F.struct(F.col("e.rank").alias("rank"), F.lit(0).cast("long").alias("gap"), F.col("_at").alias("at"), F.col("e.v").alias("v"), F.lit(True).alias("fixed"))).alias("_fixed"))
+    moving = [usable.where((~F.coalesce("is_static", F.lit(False))) & (F.col("e.rank") == r) & F.col("_at").isNotNull()).select("_src", "_dst", "_at", "e") for r in (0, 1)]
+
     def hop(rows: DataFrame, source: Column, target: Column, name: str) -> DataFrame:
         """The best edge of every row from source to target, as a struct; null without."""
-        asked = rows.withColumns({"_f": source, "_t": target})
-        met = asked.join(both.withColumnRenamed("stamp_ns", "edge_ns"), (F.col("_f") == F.col("f")) & (F.col("_t") == F.col("t")), "left")
-        gap = F.when(F.col("is_static"), F.lit(0).cast("long")).when(F.col("stamp_ns").isNull(), -F.col("edge_ns")).otherwise(F.abs(F.col("edge_ns") - F.col("stamp_ns")))
-        best = F.min(F.when(F.col("e").isNotNull(), F.struct(F.col("e.rank").alias("rank"), gap.alias("gap"), F.col("edge_ns").alias("at"), F.col("e.v").alias("v"), F.col("is_static").alias("fixed"))))
-        return met.groupBy(*rows.columns).agg(best.alias(name))
+        asked = rows.withColumns({"_src": source, "_dst": target})
+        best = []
+        for r, edges_ in enumerate(moving):
+            asked = bracket(asked, edges_, ["_src", "_dst"], "_at").withColumnsRenamed({"prev": f"_p{r}", "next": f"_n{r}"})
+            for side in (f"_p{r}", f"_n{r}"):
+                gap = F.when(F.col("stamp_ns").isNull(), -F.col(f"{side}._at")).otherwise(F.abs(F.col(f"{side}._at") - F.col("stamp_ns")))
+                best.append(F.when(F.col(side).isNotNull(), F.struct(F.lit(r).alias("rank"), gap.alias("gap"), F.col(f"{side}._at").alias("at"), F.col(f"{side}.e.v").alias("v"), F.lit(False).alias("fixed"))))
+        met = asked.join(fixed.withColumnsRenamed({"_src": "_ff", "_dst": "_ft"}), (F.col("_src") == F.col("_ff")) & (F.col("_dst") == F.col("_ft")), "left")
+        return met.select(*rows.columns, F.least(*best, F.col("_fixed")).alias(name))
 
     out = hop(q, F.col("source"), F.col("target"), "direct")
     for i, via in enumerate(MIDDLE_FRAMES):
