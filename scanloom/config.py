@@ -30,6 +30,7 @@ class MatchConfig:
     trans_epsilon: float = 0.01
     step_size: float = 0.1
     use_line_search: bool = False
+    search: str = "more_thuente"  # or "backtracking", "candidates" (several steps judged at once)
     metric: str = "distribution"  # or "plane"
     min_correspondences: int = 10
     svd_tolerance: float = 1e-10

@@ -398,6 +398,19 @@ def scores(points: np.ndarray, index: VoxelIndex, pose: np.ndarray, d1: float, d
     }
 
 
+def step_along(f: Callable[[float], tuple[float, float]], phi0: float, slope0: float, first: float, kind: str, config: LineSearchConfig) -> float:
+    """A step by the line search of a name; ``f`` gives value and slope."""
+    if kind == "more_thuente":
+        return more_thuente(f, phi0, slope0, first, config)
+    if kind == "backtracking":
+        return backtrack(lambda a: f(a)[0], phi0, slope0, first, config.mu)
+    if kind == "candidates":
+        steps = golden_candidates(first)
+        values = np.array([f(a) for a in steps])
+        return choose_candidate(steps, values[:, 0], values[:, 1], phi0, slope0, config.mu, config.nu)
+    raise ValueError(f"no line search {kind!r}")
+
+
 def align(
     points: np.ndarray, index: VoxelIndex, initial: np.ndarray, config: MatchConfig = MatchConfig(),
     line_search: LineSearchConfig = LineSearchConfig(), gnss: tuple[float, float] | None = None,
@@ -446,7 +459,7 @@ def align(
                 s, g, _, _ = at(p + a * v)
                 return s, float(g @ v)
 
-            length = more_thuente(along, score, float(gradient @ direction), length, line_search)
+            length = step_along(along, score, float(gradient @ direction), length, config.search, line_search)
         entry["step_length"] = length
         pose = pose + length * direction
     if status == "max_iterations" and best is not None:

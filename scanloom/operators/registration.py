@@ -34,11 +34,11 @@ DEBUG = "iteration int, pose array<double>, score double, gradient array<double>
 
 def local_voxels(voxels: DataFrame, resolution: float, most: int = MAX_BROADCAST_VOXELS) -> VoxelIndex:
     """The voxel table on the driver, for a broadcast; refuses tables over ``most``."""
-    if (n := voxels.limit(most + 1).count()) > most:
+    t = voxels.select("vx", "vy", "vz", "mean", "inv_cov", "axis").limit(most + 1).toArrow()
+    if t.num_rows > most:
         raise ValueError(f"more than {most} voxels can't be broadcast; use align_cloud or a part of the map")
-    if not n:
+    if not t.num_rows:
         raise ValueError("the target has no voxels")
-    t = voxels.select("vx", "vy", "vz", "mean", "inv_cov", "axis").toArrow()
     flat = lambda c, k: np.asarray(t.column(c).combine_chunks().flatten(), dtype=float).reshape(-1, k)
     cells = np.stack([np.asarray(t.column(c)) for c in ("vx", "vy", "vz")], axis=1)
     return VoxelIndex(cells, flat("mean", 3), flat("inv_cov", 9).reshape(-1, 3, 3), flat("axis", 3), resolution)
@@ -82,6 +82,7 @@ def align_batch(points: DataFrame, poses: DataFrame, voxels: DataFrame, scan: st
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(points.sparkSession.createDataFrame([], text).schema)
+    poses = poses if poses.storageLevel.useMemory else poses.persist()  # read three times; small beside the points
     parts = poses.groupBy(F.col(scan).alias("_scan")).agg(F.ceil(F.count(F.lit(1)) / poses_per_task).alias("_parts"))
     wanted = poses.join(parts, F.col(scan) == F.col("_scan")).withColumn("_part", F.pmod(F.xxhash64("pose_id"), "_parts"))
     wanted = wanted.select(F.col(scan).alias(scan), "_part", F.col("pose_id").cast("long").alias("pose_id"), *(F.col(c).cast("double").alias(c) for c in POSE), *(["gnss_x", "gnss_y"] if has_gnss else []))

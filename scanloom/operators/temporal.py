@@ -208,3 +208,15 @@ def map_clock(events: DataFrame, references: DataFrame, keys: list[str]) -> Data
     share = (F.col("stamp_ns") - prev["stamp_ns"]) / (next_["stamp_ns"] - prev["stamp_ns"])
     inside = prev["clock_ns"] + F.round(share * (next_["clock_ns"] - prev["clock_ns"])).cast("long")
     return found.withColumn("clock_ns", F.when(prev.isNull(), next_["clock_ns"]).when(next_.isNull(), prev["clock_ns"]).otherwise(inside)).drop("prev", "next")
+
+
+def chained_guesses(alignments: DataFrame, keys: list[str], tolerance: float = 1e-3, order: str = "stamp_ns") -> DataFrame:
+    """Whether each alignment began where the one before ended: ``chained`` and ``gap``, null for a track's first.
+
+    ``alignments``: initial position ix, iy, iz and final x, y, z.  A matcher that
+    feeds itself has long chains; one with its own odometry has none.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = [F.lag(c).over(w) for c in "xyz"]
+    gap = G.distance([F.col(f"i{c}") for c in "xyz"], before)
+    return alignments.withColumn("gap", gap).withColumn("chained", F.col("gap") <= tolerance)

@@ -8,11 +8,14 @@ metre, angles to a fiftieth of a radian.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scanloom.config import CovarianceConfig, InitialPoseConfig, MatchConfig, VoxelConfig
+from scanloom.config import CovarianceConfig, EngineConfig, InitialPoseConfig, MatchConfig, VoxelConfig
+from scanloom.matcher import Matcher, MultiGridMatcher
 from scanloom.operators import covariance as C
 from scanloom.operators import initial_pose, registration, visual, voxels
 from scanloom.plans.registry import query
@@ -55,8 +58,6 @@ def q_align_batch(spark, d):
 @query(f"WITH {_SCANS} SELECT scan_id, 'converged' AS status, true AS gapless, true AS from_guess, true AS ascends, true AS ends_small, {_AT} FROM scans")
 def q_align_debug(spark, d):
     """With the line search: the log has every iteration, starts at the guess, and scores rise."""
-    from dataclasses import replace
-
     out = found_poses(spark, d, replace(MATCH, use_line_search=True, step_size=0.1), debug=True)
     first, last = F.col("log")[0], F.element_at("log", -1)
     rises = F.forall(F.sequence(F.lit(1), F.size("log") - 1), lambda i: F.get("log", i)["score"] >= F.get("log", i - 1)["score"] - 1e-6)
@@ -69,8 +70,6 @@ def q_align_debug(spark, d):
 @query(f"WITH {_SCANS} SELECT scan_id, true AS ended, {_YAW} FROM scans")
 def q_align_plane(spark, d):
     """The plane metric is looser along its planes: only the heading is compared."""
-    from dataclasses import replace
-
     out = found_poses(spark, d, replace(MATCH, metric="plane"))
     return out.select("scan_id", F.col("status").isin("converged", "max_iterations").alias("ended"), coarse("yaw"))
 
@@ -126,3 +125,45 @@ def q_history_markers(spark, d):
     added = F.col("action") == "add"
     last = F.max(F.when(added, F.col("marker_id")))
     return rows.groupBy("scan_id").agg(F.count(F.lit(1)).alias("markers"), F.min("rises").alias("grows"), (F.max("opacity") == 1).alias("solid"), (last + 1 == F.count_if(added)).alias("deletions_last"))
+
+
+_SEARCHES = ("more_thuente", "backtracking", "candidates")
+
+
+@query(f"WITH {_SCANS} SELECT search, scan_id, 'converged' AS status, {_AT} FROM scans, (VALUES {', '.join(f'({x!r})' for x in _SEARCHES)}) t(search)")
+def q_line_searches(spark, d):
+    """The three line searches reach the same poses."""
+    from functools import reduce
+
+    runs = [found_poses(spark, d, replace(MATCH, use_line_search=True, step_size=0.1, search=x)).select(F.lit(x).alias("search"), "scan_id", "status", *map(coarse, POSE)) for x in _SEARCHES]
+    return reduce(DataFrame.union, runs)
+
+
+_KINDS = ("fixed", "laplace", "multi_ndt", "multi_ndt_score")
+
+
+@query(f"WITH {_SCANS} SELECT kind, scan_id, {_COV.diagonal[0]}::DOUBLE AS cxx, {_COV.diagonal[1]}::DOUBLE AS cyy, {_COV.diagonal[5]}::DOUBLE AS cww, true AS slight FROM scans, (VALUES {', '.join(f'({x!r})' for x in _KINDS)}) t(kind)")
+def q_covariance_kinds(spark, d):
+    """In a room that fixes every direction all estimators fall to the floor."""
+    from functools import reduce
+
+    matcher = Matcher(EngineConfig(match=MATCH)).set_target(room(spark, d))
+    scans = room_scans(spark, d)
+    found = matcher.align_scans(scans, unmoved(scans)).persist()
+    runs = []
+    for kind in _KINDS:
+        matcher.config = replace(matcher.config, covariance=CovarianceConfig(kind=kind))
+        c = F.col("covariance")
+        runs.append(matcher.covariances(found, scans).select(F.lit(kind).alias("kind"), "scan_id", F.round(c[0], 6).alias("cxx"), F.round(c[7], 6).alias("cyy"), F.round(c[35], 6).alias("cww"), (F.abs(c[1]) < c[0]).alias("slight")))
+    return reduce(DataFrame.union, runs)
+
+
+@query(f"WITH {_SCANS} SELECT resolution, true AS likely, n AS points FROM (VALUES (4.0::DOUBLE), (2.0::DOUBLE)) t(resolution), (SELECT count(*) AS n FROM lineitem) UNION ALL SELECT 0, true, count(*) FROM scans")
+def q_multi_grid_matcher(spark, d):
+    """A matcher of two resolutions: scores of the whole room where it stands, and the scans that it brings home."""
+    matcher = MultiGridMatcher((4.0, 2.0), EngineConfig(match=MATCH), {4.0: 10, 2.0: 30}, adaptive_nvtl=2.3).set_target(room(spark, d))
+    whole = [(r, bool(x["nvtl"] >= 2.3), int(x["points"])) for r, x in matcher.evaluate(room(spark, d), (0.0,) * 6).items()]
+    scans = room_scans(spark, d)
+    home = matcher.align_scans(scans, unmoved(scans)).agg(F.lit(0.0).alias("resolution"), (F.min("nvtl") >= 2.3).alias("likely"), F.count_if(F.col("status") == "converged").alias("points"))
+    rows = F.array(*(F.struct(F.lit(r).alias("resolution"), F.lit(g).alias("likely"), F.lit(n).cast("long").alias("points")) for r, g, n in whole))
+    return spark.range(1).select(F.inline(rows)).union(home)

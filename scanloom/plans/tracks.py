@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scanloom.config import MapConfig, PoseBufferConfig, QueueConfig
 from scanloom.operators import analytics, temporal, tiles
@@ -116,6 +117,16 @@ def q_max_jump(spark, d):
     return temporal.jumps(track(spark, d), ["track_id"], "stamp_ns").groupBy("track_id").agg(F.round(F.max("jump"), 6).alias("max_jump"))
 
 
+@query(f"""WITH {TRK}, g AS (SELECT event_id, x, y, z, lag(x, 1) OVER w AS px, lag(y, 1) OVER w AS py, lag(z, 1) OVER w AS pz, CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 0 END AS off FROM track WINDOW w AS (PARTITION BY track_id ORDER BY stamp_ns, event_id))
+    SELECT event_id, round(CASE WHEN px IS NULL THEN NULL ELSE off END, 6) AS gap, CASE WHEN px IS NULL THEN NULL ELSE event_id % 3 <> 0 END AS chained FROM g""")
+def q_chained_guesses(spark, d):
+    """Guesses made from the result before, a third of them shifted by half a metre."""
+    w = Window.partitionBy("track_id").orderBy("stamp_ns", "event_id")
+    rows = track(spark, d).withColumn("nth", F.row_number().over(w))
+    rows = rows.withColumns({f"i{c}": F.lag(c).over(w) + (F.when(F.col("event_id") % 3 == 0, 0.5).otherwise(0.0) if c == "x" else 0.0) for c in "xyz"})
+    return temporal.chained_guesses(rows, ["track_id"], order="nth").select("event_id", F.round("gap", 6).alias("gap"), "chained")
+
+
 @query(f"WITH {_OSC}, far AS (SELECT event_id, stamp_ns, nd, row_number() OVER (ORDER BY stamp_ns) AS rn FROM n WHERE nd > 300) SELECT event_id, round(nd, 6) AS jump FROM far WHERE rn = 1")
 def q_first_divergence(spark, d):
     moved = temporal.jumps(track(spark, d), ["track_id"], "stamp_ns")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scanloom.config import EngineConfig
-from scanloom.operators.covariance import fixed_covariance
+from scanloom.operators.estimation import with_covariance
 from scanloom.operators.filters import drop_non_finite, filter_points, publish_gate, scans_in_range
 from scanloom.operators.registration import align_batch
 
@@ -55,7 +55,7 @@ def match_batch(points: DataFrame, poses: DataFrame, voxels: DataFrame, config:
     accepted = clean.join(reach.where("accepted").select("scan_id"), "scan_id", "left_semi")
     wanted = poses.join(reach.where("accepted").select("scan_id"), "scan_id", "left_semi")
     found = publish_gate(align_batch(accepted, wanted, voxels, "scan_id", config.match, config.line_search), config.gate)
-    return found.withColumn("covariance", fixed_covariance(config.covariance)), reach.where("not accepted")
+    return with_covariance(found, accepted, voxels, config), reach.where("not accepted")
 
 
 #: Conditions of a scan in the order in which they are looked at, with level and message.

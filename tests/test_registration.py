@@ -194,3 +194,41 @@ def test_config():
     assert (config.match.max_iterations, config.queue.depth, config.voxel.min_points) == (7, 3, 6)
     with pytest.raises(KeyError):
         load({"nothing": {}})
+
+
+def test_matcher_objects_and_their_errors(spark):
+    from scanloom.config import EngineConfig, MatchConfig
+    from scanloom.matcher import Matcher, MultiGridMatcher
+    from scanloom.sources.adapters import room, room_scans
+
+    sf = "/root/testdata/sf0.001"
+    target, none = room(spark, sf), room(spark, sf).limit(0)
+    matcher = Matcher(EngineConfig(match=MatchConfig(step_size=0.03)))
+    with pytest.raises(ValueError, match="no target"):
+        matcher.align(target)
+    with pytest.raises(ValueError, match="no voxels"):
+        matcher.set_target(none)
+    matcher.set_target(target)
+    with pytest.raises(ValueError, match="no points"):
+        matcher.align(none)
+    with pytest.raises(ValueError, match="no points"):
+        matcher.evaluate(none, (0.0,) * 6)
+    found = matcher.align(room_scans(spark, sf, one=9))
+    assert found["status"] == "converged" and np.allclose(found["pose"], [0.2, -0.1, 0.0, 0.02, -0.02, -0.02], atol=0.05)
+    assert matcher.evaluate(target, (0.0,) * 6)["nvtl"] > matcher.evaluate(target, (0.3, 0.3, 0.3, 0.0, 0.0, 0.0))["nvtl"]
+    with pytest.raises(ValueError, match="positive"):
+        MultiGridMatcher((2.0, 0.0))
+    with pytest.raises(ValueError, match="no target"):
+        MultiGridMatcher((2.0,)).align_scans(target, target)
+    matcher.close()
+
+
+def test_positions_of_clustered_codes(spark):
+    """Codes in one dense cluster, one far away, and one that many rows share."""
+    from scanloom.operators.sorting import sorted_positions
+
+    codes = [1_000_000 + (k * 7919) % 400 for k in range(3000)] + [10**17] + [1_000_000] * 800
+    rows = [(k, c) for k, c in enumerate(codes)]
+    got = {r["id"]: r["position"] for r in sorted_positions(spark.createDataFrame(rows, "id long, code long"), "code", "id").collect()}
+    assert got == {k: p for p, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    assert sorted_positions(spark.createDataFrame(rows, "id long, code long").limit(0), "code", "id").count() == 0
