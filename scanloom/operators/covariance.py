@@ -119,3 +119,9 @@ def best_of(df: DataFrame, score: str, *keys: str) -> DataFrame:
 def running_best(df: DataFrame, score: str, order: str, *keys: str) -> DataFrame:
     frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("best_so_far", F.max(score).over(frame))
+
+
+def rotate_xy(cxx: Column, cxy: Column, cyy: Column, yaw: Column) -> tuple[Column, Column, Column]:
+    """R C R' of a covariance of x and y under a turn about z."""
+    c, s = F.cos(yaw), F.sin(yaw)
+    return c * c * cxx - 2 * c * s * cxy + s * s * cyy, c * s * (cxx - cyy) + (c * c - s * s) * cxy, s * s * cxx + 2 * c * s * cxy + c * c * cyy

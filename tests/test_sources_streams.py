@@ -215,3 +215,37 @@ def test_percentiles_from_a_sketch(spark):
     rows = spark.range(10_000).select((F.col("id") % 1000).cast("double").alias("ms"))
     exact, sketch = timing_stats(rows, "ms").first(), timing_stats(rows, "ms", accuracy=200).first()
     assert all(abs(exact[c] - sketch[c]) <= 10 for c in ("median", "p95", "p99"))
+
+
+def test_pose_and_integer_messages_by_hand(spark):
+    import struct
+
+    from scanloom.sources import bag
+
+    # encapsulation, 5 s 7 ns, frame "map" with its zero, no filling (16 bytes), seven doubles
+    body = struct.pack("<iII", 5, 7, 4) + b"map\0" + struct.pack("<7d", *range(1, 8))
+    assert bag.encode_pose(5_000_000_007, "map", tuple(range(1, 8))) == b"\0\1\0\0" + body
+    odd = struct.pack("<iII", 0, 0, 6) + b"world\0" + b"\0" * 6 + struct.pack("<7d", *range(7)) + struct.pack("<36d", *range(36))
+    rows = [("/a", 1, b"\0\1\0\0" + body), ("/b", 2, b"\0\1\0\0" + odd), ("/c", 3, b"short"), ("/d", 4, None), ("/e", 5, b"\0\1\0\0" + body[:40])]
+    messages = spark.createDataFrame(rows, "topic string, stamp_ns long, data binary")
+    got = {r["topic"]: r for r in bag.poses(messages).collect()}
+    assert set(got) == {"/a", "/b"}
+    assert (got["/a"]["stamp_ns"], got["/a"]["frame"], got["/a"]["x"], got["/a"]["qw"], got["/a"]["covariance"]) == (5_000_000_007, "map", 1.0, 7.0, None)
+    assert (got["/b"]["stamp_ns"], got["/b"]["frame"], got["/b"]["y"], got["/b"]["covariance"][35]) == (2, "world", 1.0, 35.0)
+    numbers = [("/n", 9, bag.encode_integer(3_000_000_001, -7)), ("/m", 8, bag.encode_integer(0, 12)), ("/x", 1, b"")]
+    found = {r["topic"]: (r["stamp_ns"], r["value"]) for r in bag.integers(spark.createDataFrame(numbers, "topic string, stamp_ns long, data binary")).collect()}
+    assert found == {"/n": (3_000_000_001, -7), "/m": (8, 12)}
+    moved = bag.restamped(messages.withColumn("new", F.when(F.col("topic") != "/b", F.lit(9_000_000_123))), "new")
+    again = {r["topic"]: r["stamp_ns"] for r in bag.poses(moved).collect()}
+    assert again == {"/a": 9_000_000_123, "/b": 2}
+    assert {r["topic"]: r["data"] for r in moved.collect()}["/c"] == b"short"
+
+
+def test_turned_covariances_agree():
+    from scanloom.operators import covariance
+
+    turn = np.array([[np.cos(0.3), -np.sin(0.3), 0], [np.sin(0.3), np.cos(0.3), 0], [0, 0, 1]])
+    cov = np.diag([2.0, 1.0, 3.0, 4.0, 5.0, 6.0])
+    cov[0, 1] = cov[1, 0] = 0.5
+    full = covariance.rotate_covariance(cov, turn)
+    assert np.allclose(full[:3, :3], turn @ cov[:3, :3] @ turn.T) and np.allclose(full[3:, 3:], turn @ cov[3:, 3:] @ turn.T)
