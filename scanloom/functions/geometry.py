@@ -131,6 +131,23 @@ def quaternion_to_rpy(qx, qy, qz, qw) -> Triple:
     return F.atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y)), F.asin(sine), F.atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z))
 
 
+def xyz_to_quaternion(roll, pitch, yaw) -> tuple[Column, Column, Column, Column]:
+    """x, y, z, w of Rx(roll) Ry(pitch) Rz(yaw), the convention of the optimiser."""
+    zero = F.lit(0.0)
+    turns = []
+    for axis, angle in enumerate((roll, pitch, yaw)):
+        half = _c(angle) / 2
+        turns.append((*(F.sin(half) if k == axis else zero for k in range(3)), F.cos(half)))
+    return quaternion_multiply(quaternion_multiply(turns[0], turns[1]), turns[2])
+
+
+def quaternion_to_xyz(qx, qy, qz, qw) -> Triple:
+    """roll, pitch, yaw of Rx Ry Rz."""
+    m = rotation_quaternion(qx, qy, qz, qw)
+    sine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), m[0][2]))
+    return F.atan2(-m[1][2], m[2][2]), F.asin(sine), F.atan2(-m[0][1], m[0][0])
+
+
 def quaternion_multiply(a, b) -> tuple[Column, Column, Column, Column]:
     ax, ay, az, aw = map(_c, a)
     bx, by, bz, bw = map(_c, b)

@@ -111,21 +111,21 @@ def lookup_transform(queries: DataFrame, transforms: DataFrame, warn_ns: int = 1
     fixed = usable.where("is_static").groupBy("_src", "_dst").agg(F.min(F.struct(F.col("e.rank").alias("rank"), F.lit(0).cast("long").alias("gap"), F.col("_at").alias("at"), F.col("e.v").alias("v"), F.lit(True).alias("fixed"))).alias("_fixed"))
     moving = [usable.where((~F.coalesce("is_static", F.lit(False))) & (F.col("e.rank") == r) & F.col("_at").isNotNull()).select("_src", "_dst", "_at", "e") for r in (0, 1)]
 
-    def hop(rows: DataFrame, source: Column, target: Column, name: str) -> DataFrame:
-        """The best edge of every row from source to target, as a struct; null without."""
-        asked = rows.withColumns({"_src": source, "_dst": target})
-        best = []
-        for r, edges_ in enumerate(moving):
-            asked = bracket(asked, edges_, ["_src", "_dst"], "_at").withColumnsRenamed({"prev": f"_p{r}", "next": f"_n{r}"})
-            for side in (f"_p{r}", f"_n{r}"):
-                gap = F.when(F.col("stamp_ns").isNull(), -F.col(f"{side}._at")).otherwise(F.abs(F.col(f"{side}._at") - F.col("stamp_ns")))
-                best.append(F.when(F.col(side).isNotNull(), F.struct(F.lit(r).alias("rank"), gap.alias("gap"), F.col(f"{side}._at").alias("at"), F.col(f"{side}.e.v").alias("v"), F.lit(False).alias("fixed"))))
-        met = asked.join(fixed.withColumnsRenamed({"_src": "_ff", "_dst": "_ft"}), (F.col("_src") == F.col("_ff")) & (F.col("_dst") == F.col("_ft")), "left")
-        return met.select(*rows.columns, F.least(*best, F.col("_fixed")).alias(name))
-
-    out = hop(q, F.col("source"), F.col("target"), "direct")
+    # Every query asks for all its hops at once, a row each: the direct one, and to and from each frame between.
+    hops = {"direct": (F.col("source"), F.col("target"))}
     for i, via in enumerate(MIDDLE_FRAMES):
-        out = hop(hop(out, F.col("source"), F.lit(via), f"a{i}"), F.lit(via), F.col("target"), f"b{i}")
+        hops |= {f"a{i}": (F.col("source"), F.lit(via)), f"b{i}": (F.lit(via), F.col("target"))}
+    asks = F.array(*(F.struct(F.lit(n).alias("_hop"), f.alias("_src"), t.alias("_dst")) for n, (f, t) in hops.items()))
+    asked = q.withColumn("_query", F.monotonically_increasing_id()).withColumn("_ask", F.explode(asks)).select("*", "_ask.*").drop("_ask")
+    best = []
+    for r, edges_ in enumerate(moving):
+        asked = bracket(asked, edges_, ["_src", "_dst"], "_at").withColumnsRenamed({"prev": f"_p{r}", "next": f"_n{r}"})
+        for side in (f"_p{r}", f"_n{r}"):
+            gap = F.when(F.col("stamp_ns").isNull(), -F.col(f"{side}._at")).otherwise(F.abs(F.col(f"{side}._at") - F.col("stamp_ns")))
+            best.append(F.when(F.col(side).isNotNull(), F.struct(F.lit(r).alias("rank"), gap.alias("gap"), F.col(f"{side}._at").alias("at"), F.col(f"{side}.e.v").alias("v"), F.lit(False).alias("fixed"))))
+    met = asked.join(fixed.withColumnsRenamed({"_src": "_fs", "_dst": "_fd"}), (F.col("_src") == F.col("_fs")) & (F.col("_dst") == F.col("_fd")), "left")
+    met = met.withColumn("_best", F.least(*best, F.col("_fixed")))
+    out = met.groupBy("_query").agg(*(F.first(c).alias(c) for c in ("query_id", "source", "target", "stamp_ns")), *(F.max(F.when(F.col("_hop") == n, F.col("_best"))).alias(n) for n in hops))
     chained = [F.when(F.col(f"a{i}").isNotNull() & F.col(f"b{i}").isNotNull(), compose(F.col(f"b{i}.v"), F.col(f"a{i}.v"))) for i in range(len(MIDDLE_FRAMES))]
     route = F.when(F.col("source") == F.col("target"), "same").when(F.col("direct").isNotNull(), F.when(F.col("direct.rank") == 0, "direct").otherwise("inverse"))
     for i, via in enumerate(MIDDLE_FRAMES):

@@ -167,3 +167,57 @@ def q_multi_grid_matcher(spark, d):
     home = matcher.align_scans(scans, unmoved(scans)).agg(F.lit(0.0).alias("resolution"), (F.min("nvtl") >= 2.3).alias("likely"), F.count_if(F.col("status") == "converged").alias("points"))
     rows = F.array(*(F.struct(F.lit(r).alias("resolution"), F.lit(g).alias("likely"), F.lit(n).cast("long").alias("points")) for r, g, n in whole))
     return spark.range(1).select(F.inline(rows)).union(home)
+
+
+#: Where the sensor stands on the vehicle: a quarter turn, half a metre ahead and one up.
+_LIDAR = (0.5, 0.0, 1.0, 0.0, 0.0, 0.7071067811865476, 0.7071067811865476)
+
+
+def room_messages(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Messages of the sensor, poses, transforms and fixes; scan 7 names an unknown frame, scan 5 has no poses near."""
+    from scanloom.functions import geometry as G
+    from scanloom.sources import pointcloud
+    from scanloom.sources.adapters import room_pose
+
+    scans = room_scans(spark, d)
+    # p_sensor = R' (p - t) with a quarter turn about z: x' = y, y' = -x
+    seen = scans.select("point_id", F.col("scan_id").cast("long").alias("scan_id"), F.col("y").alias("x"), (F.lit(_LIDAR[0]) - F.col("x")).alias("y"), (F.col("z") - _LIDAR[2]).alias("z"))
+    stamp = (F.col("scan_id") * 10_000_000_000 + 1_000_000_000).cast("long").alias("stamp_ns")
+    messages = pointcloud.encode(seen, "scan_id").withColumns({"vehicle": F.lit("v"), "frame": F.when(F.col("scan_id") == 7, "elsewhere").otherwise("lidar")}).withColumn("stamp_ns", stamp)
+    ids = scans.select(F.col("scan_id").cast("long").alias("scan_id")).distinct()
+    at = room_pose(F.col("scan_id"))
+    turn = dict(zip(("qx", "qy", "qz", "qw"), G.xyz_to_quaternion(at["roll"], at["pitch"], at["yaw"]), strict=True))
+    sides = ids.where("scan_id <> 5").select("scan_id", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
+    poses = sides.select(
+        F.lit("v").alias("vehicle"), (F.col("scan_id") * 10_000_000_000 + 1_000_000_000 + F.col("side") * 100_000_000).cast("long").alias("stamp_ns"),
+        (at["tx"] + 0.1 + F.col("side") / 10).alias("x"), (at["ty"] + 0.1).alias("y"), at["tz"].alias("z"), *(v.alias(n) for n, v in turn.items()),
+    )
+    transforms = spark.range(1).select(F.lit("base_link").alias("parent"), F.lit("lidar").alias("child"), F.lit(0).cast("long").alias("stamp_ns"), F.lit(True).alias("is_static"), *(F.lit(v).alias(n) for n, v in zip(("tx", "ty", "tz", "qx", "qy", "qz", "qw"), _LIDAR, strict=True)))
+    fixes = ids.select(F.lit("v").alias("vehicle"), (F.col("scan_id") * 10_000_000_000).cast("long").alias("stamp_ns"), at["tx"].alias("x"), at["ty"].alias("y"))
+    return messages, poses, transforms, fixes
+
+
+_FAILS = "scan_id IN (5, 7)"
+
+
+@query(f"""WITH {_SCANS} SELECT scan_id::BIGINT AS scan_id, CASE WHEN scan_id = 5 THEN 'warn' WHEN scan_id = 7 THEN 'error' ELSE 'ok' END AS level,
+    CASE WHEN scan_id = 5 THEN 'Failed to interpolate initial pose' WHEN scan_id = 7 THEN 'Failed to transform sensor points' ELSE 'OK' END AS message,
+    CASE WHEN {_FAILS} THEN NULL ELSE round(sqrt(0.02), 1) END AS moved, CASE WHEN {_FAILS} THEN NULL ELSE 0.0225 END AS cxx, CASE WHEN {_FAILS} THEN NULL ELSE true END AS likely_without_ground,
+    {', '.join(f"CASE WHEN {_FAILS} THEN NULL ELSE {x.rsplit(' AS ', 1)[0]} END AS {x.rsplit(' AS ', 1)[1]}" for x in _PARTS_AT)} FROM scans""")
+def q_on_points(spark, d):
+    """From the sensor's bytes to published poses, and a report on every message."""
+    from scanloom.config import PoseBufferConfig
+    from scanloom.functions import geometry as G
+    from scanloom.operators.scan_pipeline import match_scans
+    from scanloom.streaming.matcher import diagnostics
+
+    messages, poses, transforms, fixes = room_messages(spark, d)
+    config = EngineConfig(match=MATCH, pose_buffer=PoseBufferConfig(timeout_sec=1.0))
+    out = match_scans(messages.persist(), poses, transforms, room_voxels(spark, d).persist(), config, fixes)
+    turn = dict(zip(POSE[3:], G.quaternion_to_xyz("qx", "qy", "qz", "qw"), strict=True))
+    found = out["poses"].select("scan_id", *(F.col(c).alias(f"t{c}") for c in "xyz"), *(v.alias(n) for n, v in turn.items()), F.round(F.col("covariance")[0], 6).alias("cxx"))
+    moved = out["relative"].select("scan_id", F.round("initial_to_result_distance", 1).alias("moved"))
+    bare = out["alignments"].select("scan_id", (F.col("no_ground_nvtl") >= 2.3).alias("likely_without_ground"))
+    report = diagnostics(out["reports"], config).select("scan_id", "level", "message")
+    rows = report.join(found, "scan_id", "left").join(moved, "scan_id", "left").join(bare, "scan_id", "left")
+    return rows.select("scan_id", "level", "message", "moved", "cxx", "likely_without_ground", *map(coarse, POSE))

@@ -12,11 +12,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from scanloom.config import EngineConfig
 from scanloom.operators.estimation import with_covariance
 from scanloom.operators.filters import drop_non_finite, filter_points, publish_gate, scans_in_range
 from scanloom.operators.registration import align_batch
+from scanloom.operators.scan_pipeline import match_scans
 
 
 @dataclass
@@ -110,6 +112,31 @@ def run_matcher(scans: DataFrame, map_: VersionedMap, pose_of: Callable[[DataFra
     return scans.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def run_scans(messages: DataFrame, map_: VersionedMap, poses: Callable[[], DataFrame], transforms: Callable[[], DataFrame], publish: Callable[[str, DataFrame, int], None], checkpoint: str, config: EngineConfig = EngineConfig(), gnss: Callable[[], DataFrame] | None = None, **trigger) -> StreamingQuery:
+    """``messages``: a stream of point cloud messages with vehicle, scan_id, frame and stamp_ns.
+
+    Each batch keeps every vehicle's latest scans (the queue's depth) and goes the
+    whole way of ``scan_pipeline.match_scans``, whose tables are published by name,
+    with ``diagnostics`` of every message and ``shed`` counters.  ``poses``,
+    ``transforms`` and ``gnss`` give the tables as they are when a batch begins.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        map_.swap_if_ready()
+        if map_.voxels is None or batch.isEmpty():
+            return
+        newest = F.row_number().over(Window.partitionBy("vehicle").orderBy(F.col("stamp_ns").desc(), F.col("scan_id").desc()))
+        judged = batch.withColumn("fate", F.when(newest > config.queue.depth, "dropped_overflow").otherwise("processed")).persist()
+        out = match_scans(judged.where("fate = 'processed'").drop("fate"), poses(), transforms(), map_.voxels, config, gnss() if gnss else None)
+        for name, rows in out.items():
+            publish(name, rows, number)
+        publish("diagnostics", diagnostics(out["reports"], config), number)
+        publish("shed", judged.groupBy("fate").agg(F.count(F.lit(1)).alias("n")), number)
+        judged.unpersist()
+
+    return messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def score_windows(alignments: DataFrame, watermark: str = "10 seconds", window: str = "1 minute") -> DataFrame:
     """Count, mean and least score of every event-time window, late rows beyond the watermark dropped."""
     w = F.window("ts", window)

@@ -249,3 +249,27 @@ def test_turned_covariances_agree():
     cov[0, 1] = cov[1, 0] = 0.5
     full = covariance.rotate_covariance(cov, turn)
     assert np.allclose(full[:3, :3], turn @ cov[:3, :3] @ turn.T) and np.allclose(full[3:, 3:], turn @ cov[3:, 3:] @ turn.T)
+
+
+def test_stream_from_bytes_to_published_poses(spark, tmp_path):
+    from scanloom.plans import rooms
+
+    sf = "/root/testdata/sf0.001"
+    messages, poses, transforms, fixes = rooms.room_messages(spark, sf)
+    messages.coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    live, published = matcher.VersionedMap(), {}
+    live.prepare(lambda: rooms.room_voxels(spark, sf))
+    run = matcher.run_scans(
+        spark.readStream.schema(messages.schema).parquet(f"file://{tmp_path}/in"), live, lambda: poses, lambda: transforms, lambda name, df, n: published.setdefault(name, []).extend(df.collect()),
+        f"file://{tmp_path}/c", EngineConfig(match=rooms.MATCH, queue=QueueConfig(depth=6)), lambda: fixes,
+    )
+    run.awaitTermination()
+    newest = sorted(r["scan_id"] for r in messages.select("scan_id").collect())[-6:]
+    assert {r["fate"]: r["n"] for r in published["shed"]} == {"processed": 6, "dropped_overflow": messages.count() - 6}
+    assert sorted(r["scan_id"] for r in published["diagnostics"]) == newest
+    good = [k for k in newest if k not in (5, 7)]
+    assert sorted(r["scan_id"] for r in published["poses"]) == good
+    for r in published["poses"]:
+        k = r["scan_id"]
+        assert np.allclose([r["x"], r["y"], r["z"]], [(k % 5 - 2) / 10, (k % 3 - 1) / 10, (k % 4 - 1) / 10], atol=0.06) and len(r["covariance"]) == 36
+    assert {r["level"] for r in published["diagnostics"] if r["scan_id"] in good} == {"ok"}
