@@ -109,7 +109,8 @@ def search_scans(points: DataFrame, voxels: DataFrame, mean: tuple[float, ...],
                 poses = poses[np.argsort(-ratios(poses, tried, np.array([r["nvtl"] for r in results[k]])), kind="stable")[:n]]
             proposed += [(k, done + i, *map(float, p)) for i, p in enumerate(poses)]
         frame = spark.createDataFrame(proposed, f"{scan} {kind}, pose_id long, " + ", ".join(f"{c} double" for c in POSE))
-        for r in align_batch(cloud, frame, voxels, scan, match).collect():  # a few hundred particles a scan
+        each = max(1, len(proposed) // (2 * spark.sparkContext.defaultParallelism))
+        for r in align_batch(cloud, frame, voxels, scan, match, poses_per_task=min(8, each)).collect():  # a few hundred particles a scan
             results[r[scan]].append(r.asDict())
         done += n
     rows = [(k, r["pose_id"], *(r[c] for c in POSE), r["nvtl"] if r["nvtl"] else 5 * r["tp_pairs"], r["nvtl"], r["iterations"], r["status"]) for k in ids for r in results[k]]

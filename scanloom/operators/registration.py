@@ -88,7 +88,11 @@ def align_batch(points: DataFrame, poses: DataFrame, voxels: DataFrame, scan: st
     wanted = wanted.select(F.col(scan).alias(scan), "_part", F.col("pose_id").cast("long").alias("pose_id"), *(F.col(c).cast("double").alias(c) for c in POSE), *(["gnss_x", "gnss_y"] if has_gnss else []))
     cloud = points.select(scan, "x", "y", "z").join(parts, F.col(scan) == F.col("_scan")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
     cloud = cloud.select(F.col(scan).alias("_of"), F.col("_part").alias("_at"), "x", "y", "z")
-    return cloud.groupBy("_of", "_at").cogroup(wanted.groupBy(scan, "_part")).applyInArrow(run, text)
+    # A task's work is in its iterations, not in its bytes: as many partitions as keep
+    # all cores busy, which a stated number protects from being coalesced.
+    spark = points.sparkSession
+    deal = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return cloud.repartition(deal, "_of", "_at").groupBy("_of", "_at").cogroup(wanted.repartition(deal, scan, "_part").groupBy(scan, "_part")).applyInArrow(run, text)
 
 
 def align_cloud(points: DataFrame, voxels: DataFrame, initial: tuple[float, ...], config: MatchConfig = MatchConfig(), gnss: tuple[float, float] | None = None) -> dict:
