@@ -44,7 +44,7 @@ def per_row(rows: DataFrame, f: Callable[..., tuple], names: str, kinds: str = "
 
 
 def _r(sql: str, name: str, digits: int = 6) -> str:
-    return f"round({sql}, {digits}) + 0.0 AS {name}"
+    return f"round(({sql})::DOUBLE, {digits}) + 0.0 AS {name}"
 
 
 @query(f"WITH {_NUM} SELECT id, {', '.join(_r(f'{p} + 0.5 * {q}', n) for p, q, n in zip('abcdab', 'dcbada', ('tx', 'ty', 'tz', 'roll', 'pitch', 'yaw'), strict=True))} FROM num")

@@ -202,7 +202,7 @@ _FAILS = "scan_id IN (5, 7)"
 
 @query(f"""WITH {_SCANS} SELECT scan_id::BIGINT AS scan_id, CASE WHEN scan_id = 5 THEN 'warn' WHEN scan_id = 7 THEN 'error' ELSE 'ok' END AS level,
     CASE WHEN scan_id = 5 THEN 'Failed to interpolate initial pose' WHEN scan_id = 7 THEN 'Failed to transform sensor points' ELSE 'OK' END AS message,
-    CASE WHEN {_FAILS} THEN NULL ELSE round(sqrt(0.02), 1) END AS moved, CASE WHEN {_FAILS} THEN NULL ELSE 0.0225 END AS cxx, CASE WHEN {_FAILS} THEN NULL ELSE true END AS likely_without_ground,
+    CASE WHEN {_FAILS} THEN NULL ELSE round(sqrt(0.02), 1) END AS moved, CASE WHEN {_FAILS} THEN NULL ELSE 0.0225::DOUBLE END AS cxx, CASE WHEN {_FAILS} THEN NULL ELSE true END AS likely_without_ground,
     {', '.join(f"CASE WHEN {_FAILS} THEN NULL ELSE {x.rsplit(' AS ', 1)[0]} END AS {x.rsplit(' AS ', 1)[1]}" for x in _PARTS_AT)} FROM scans""")
 def q_on_points(spark, d):
     """From the sensor's bytes to published poses, and a report on every message."""

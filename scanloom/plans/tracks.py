@@ -117,7 +117,7 @@ def q_max_jump(spark, d):
     return temporal.jumps(track(spark, d), ["track_id"], "stamp_ns").groupBy("track_id").agg(F.round(F.max("jump"), 6).alias("max_jump"))
 
 
-@query(f"""WITH {TRK}, g AS (SELECT event_id, x, y, z, lag(x, 1) OVER w AS px, lag(y, 1) OVER w AS py, lag(z, 1) OVER w AS pz, CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 0 END AS off FROM track WINDOW w AS (PARTITION BY track_id ORDER BY stamp_ns, event_id))
+@query(f"""WITH {TRK}, g AS (SELECT event_id, x, y, z, lag(x, 1) OVER w AS px, lag(y, 1) OVER w AS py, lag(z, 1) OVER w AS pz, (CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 0 END)::DOUBLE AS off FROM track WINDOW w AS (PARTITION BY track_id ORDER BY stamp_ns, event_id))
     SELECT event_id, round(CASE WHEN px IS NULL THEN NULL ELSE off END, 6) AS gap, CASE WHEN px IS NULL THEN NULL ELSE event_id % 3 <> 0 END AS chained FROM g""")
 def q_chained_guesses(spark, d):
     """Guesses made from the result before, a third of them shifted by half a metre."""
