@@ -17,6 +17,13 @@ from scanloom.llm.text_kernels import byte_runs, text_bytes
 MAX_ROWS, MAX_BYTES = 4000, 1 << 15
 
 
+def usable_labels(labels: DataFrame, label: str, id_col: str, modulus: int, held_out: int) -> DataFrame:
+    """(id, y) of the labels 0 and 1 that are not held out and don't contradict each other."""
+    y = F.col(label).cast("int")
+    usable = labels.where(F.col(id_col).isNotNull() & y.isin(0, 1) & (crc_mod(F.col(id_col), modulus) != held_out))
+    return usable.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(y).alias("y"), F.max(y).alias("z")).where("y = z").select("id", "y")
+
+
 def sample_ids(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, modulus: int, held_out: int, rows: int = MAX_ROWS) -> tuple[DataFrame, list[int]]:
     """(id, y) rows of at most ``rows`` for each class, and the class counts they are drawn from.
 
@@ -25,9 +32,7 @@ def sample_ids(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text
     document of at most ``MAX_BYTES``.  The sample is the rows of smallest hash, so
     that it depends on the rows alone.
     """
-    y = F.col(label).cast("int")
-    usable = labels.where(F.col(id_col).isNotNull() & y.isin(0, 1) & (crc_mod(F.col(id_col), modulus) != held_out))
-    usable = usable.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(y).alias("y"), F.max(y).alias("z")).where("y = z").select("id", "y")
+    usable = usable_labels(labels, label, id_col, modulus, held_out)
     usable = staged(usable.join(_short(docs, id_col, text_col).select("id"), "id", "left_semi"), even=True)
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64("id")

@@ -89,6 +89,25 @@ def test_models_on_odd_rows(spark):
     assert [r["score"] for r in score_quality(odd, one).collect()] == [r["score"] for r in score_quality(odd, two).collect()]
 
 
+@pytest.mark.parametrize("shard_bytes", [1 << 14, 1 << 30])
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch, shard_bytes):
+    """A word of a few among very many rows, and one of long texts alone, count; shards don't change what is counted."""
+    monkeypatch.setattr(toxicity_module, "SHARD_BYTES", shard_bytes)
+    last = spark.range(4_100).orderBy(F.xxhash64("id").desc(), "id").limit(80).toPandas().id.tolist()  # of the ones the last by hash
+    rows = [(i, "one rotten day" if i in set(last) else "one vile day" if i < 4_100 else "one kind day", int(i < 4_100)) for i in range(8_200)]
+    rows += [(10_000 + i, "a plain word " * 3_000 + ("nasty" if i % 2 else "lovely"), i % 2) for i in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("lang", F.lit("en"))
+    docs, labels = table.drop("toxic"), table.select("doc_id", "toxic")
+    shards = toxicity_module.learning_shards(docs, labels, 1, 1, "doc_id", "text", "toxic", "lang").collect()
+    assert (len(shards) > 1) == (shard_bytes == 1 << 14) and np.sum([r["counts"] for r in shards]) == len(rows)
+    words = [toxicity_module._unpacked(bytes(r["words"])) for r in shards]
+    assert sorted(np.concatenate(words).tolist()) == sorted(toxicity_module.buckets([t.encode() for _, t, _ in rows])[0].tolist())
+    model = fit_toxicity(docs, labels, modulus=1, held_out=1)
+    asked = spark.createDataFrame([(1, "one rotten day"), (2, "one vile day"), (3, "one kind day"), (4, "nasty"), (5, "lovely")], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    score = {r["doc_id"]: r["score"] for r in score_toxicity(asked, model).collect()}
+    assert min(score[1], score[2]) > 0.5 > score[3] and score[4] > score[5]
+
+
 def test_discriminant_matches_the_textbook():
     """Scores from cached factors equal log densities of two Gaussians, computed from the covariances."""
     rng = np.random.default_rng(3)
