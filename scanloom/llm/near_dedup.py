@@ -8,7 +8,7 @@
 2. Classes that share a band key form a bucket.  Every member is compared with
    its bucket's smallest member (its centre): signatures first, then the full
    shingle sets.  Confirmed links give components by alternating large-star and
-   small-star.
+   small-star, or in one task where the edges are few.
 3. Buckets whose other members still lie in several components may hide links
    between them.  Where many members do (a template with other words in each),
    a prefix filter comes first: shingles are ordered by rarity, and a link of the
@@ -55,6 +55,8 @@ BANDS, ROWS, SHINGLE = 32, 5, 5
 BLOCK, ASKERS = 256, 4096
 #: Members from which on a bucket goes through the prefix filter; shingles of a row there.
 CROWD, PIECE = 1024, 4096
+#: Edges up to which one task finds the components.
+FEW_EDGES = 1 << 20
 _RUN = 1 << 20
 
 
@@ -213,13 +215,13 @@ def prefix_clusters(crowd: DataFrame, texts: DataFrame, shingle: int, percent: i
     rarer ones before common ones.
     """
     sets = crowd.join(texts, "id").select("id", "label", "text").mapInArrow(_pieces(shingle), "id long, label long, own long, n long, place long, hs array<long>")
-    rows = staged(sets.dropDuplicates(["id", "own", "place"]), even=True).select("id", "label", "own", "n", F.explode("hs").alias("h"))
+    rows = staged(sets.dropDuplicates(["id", "own", "place"])).select("id", "label", "own", "n", F.explode("hs").alias("h"))
     shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h", "times")
     each = Window.partitionBy("id", "own")
     ranked = rows.join(shared, "h").withColumn("rank", F.col("n") - F.count(F.lit(1)).over(each) + F.row_number().over(each.orderBy("times", "h")) - 1)
     ask = F.col("n") - F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}")
     answer = F.col("n") - F.expr(f"({percent} * n + 99) div 100")
-    prefix = staged(ranked.where(F.col("rank") <= answer).select("h", "id", "label", (F.col("rank") <= ask).alias("asks")), even=True)
+    prefix = staged(ranked.where(F.col("rank") <= answer).select("h", "id", "label", (F.col("rank") <= ask).alias("asks")))
     groups = prefix.groupBy("h").agg(F.min("id").alias("x"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("asks").alias("asked")).where("asked and low < high").select("h", "x")
     return components(prefix.join(groups, "h").select("x", F.col("id").alias("y")).distinct())
 
@@ -264,15 +266,37 @@ def _across(least: int):
     return run
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All (x, y) edges to (node, label): roots hook onto smaller neighbours, then every node goes to its root."""
+    pairs = [np.stack([np.asarray(b.column(0)), np.asarray(b.column(1))]) for b in batches if b.num_rows]
+    if not pairs:
+        return
+    nodes, ends = np.unique(np.concatenate(pairs, axis=1), return_inverse=True)
+    ends = ends.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        tops = np.sort(label[ends], axis=0)
+        tops = tops[:, tops[0] != tops[1]]
+        if not tops.shape[1]:
+            break
+        np.minimum.at(label, tops[1], tops[0])
+        while ((above := label[label]) != label).any():
+            label = above
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) of every node of the (x, y) edges.
 
-    Alternating large-star and small-star: each round is two aggregates and
-    joins over the edges, never a group in one task; minima are combined before
-    the shuffle and AQE can split a hub's edges in the joins.
+    Up to ``FEW_EDGES`` edges (16 MB) are one task's work.  More take alternating
+    large-star and small-star: each round is two aggregates and joins over the
+    edges, never a group in one task; minima are combined before the shuffle and
+    AQE can split a hub's edges in the joins.
     """
     big, small = F.greatest("x", "y"), F.least("x", "y")
-    edges = staged(edges.where("x != y").select(big.alias("x"), small.alias("y")).distinct(), even=True)
+    edges = staged(edges.where("x != y").select(big.alias("x"), small.alias("y")).distinct())
+    if edges.count() <= FEW_EDGES:
+        return staged(edges.coalesce(1).mapInArrow(_joined, "node long, label long"))
     before = None
     while not edges.isEmpty():
         # large-star: every neighbour above u goes to the least of u and its neighbours
@@ -309,19 +333,19 @@ def near_groups(
 
     # 2. buckets, centres, confirmed links with centres
     placed = reps.select("id", F.explode("keys").alias("key"))
-    buckets = staged(placed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre != last").drop("last"), even=True)
+    buckets = staged(placed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre != last").drop("last"))
     filed = staged(placed.join(buckets, "key"), even=True)
     sided = filed.where("id != centre").select(F.col("centre").alias("x"), F.col("id").alias("y")).distinct()
     for side in ("x", "y"):
         sided = sided.join(reps.select(F.col("id").alias(side), F.col("signature").alias(f"of_{side}")), side)
-    supported = staged(sided.select("x", "y", "of_x", "of_y").mapInArrow(_supported(least), "x long, y long"), even=True)
-    parts = staged(supported.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).withColumnRenamed("x", "centre"), even=True)
+    supported = staged(sided.select("x", "y", "of_x", "of_y").mapInArrow(_supported(least), "x long, y long"))
+    parts = staged(supported.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).withColumnRenamed("x", "centre"))
     task = F.concat_ws(":", F.col("x").cast("string"), F.pmod(F.xxhash64("y"), "parts").cast("string"))
     first = supported.join(parts, F.col("x") == F.col("centre")).groupBy(task.alias("task"), "x").agg(F.collect_list("y").alias("others"))
-    first = staged(first.select("task", "x", F.col("x").alias("label"), "others", F.col("others").alias("other_labels")), even=True)
+    first = staged(first.select("task", "x", F.col("x").alias("label"), "others", F.col("others").alias("other_labels")))
     needed = first.select(F.col("task").alias("of"), F.explode(F.array_append("others", F.col("x"))).alias("id"))
     texts = staged(source.join(filed.select("id").distinct(), "id", "left_semi"))
-    links = staged(confirmed(first, needed, texts, shingle, percent).union(_repeats(known, classes)), even=True)
+    links = staged(confirmed(first, needed, texts, shingle, percent).union(_repeats(known, classes)))
     labels = components(links)
 
     # 3. links that buckets with several components may still hide
@@ -329,20 +353,22 @@ def near_groups(
     judged = staged(judged.select("key", "id", F.coalesce("label", "id").alias("label")), even=True)
     ajar = _ajar(judged, ["key"])
     full = ajar.where(F.col("n") >= CROWD).select("key")
-    crowd = staged(judged.join(full, "key", "left_semi").select("id", "label").distinct(), even=True)
+    crowd = staged(judged.join(full, "key", "left_semi").select("id", "label").distinct())
     close = judged.join(ajar.where(F.col("n") < CROWD), "key").select("key", "id", "label", F.lit(None).cast("long").alias("cluster"))
     if not crowd.isEmpty():
         clusters = prefix_clusters(crowd, texts, shingle, percent).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
         close = close.union(judged.join(full, "key", "left_semi").join(clusters, "id").select("key", "id", "label", "cluster"))
     close = staged(close.withColumn("cluster", F.coalesce("cluster", F.lit(_NONE))), even=True)
     held = close.join(_ajar(close, ["key", "cluster"]), ["key", "cluster"]).join(reps, "id").withColumn("outside", F.col("label") != F.col("main"))
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    rest = ["id", "label", "outside", "signature", "keys"]
-    members = held.select("key", "cluster", F.pmod(F.xxhash64("id"), "blocks").alias("block"), upto("rounds").alias("round"), F.lit(False).alias("asks"), *rest)
-    askers = held.where("outside").select("key", "cluster", upto("blocks").alias("block"), F.pmod(F.xxhash64(F.lit(1), "id"), "rounds").alias("round"), F.lit(True).alias("asks"), *rest)
-    hidden = staged(members.union(askers).groupBy("key", "cluster", "block", "round").applyInArrow(_across(least), PROPOSAL), even=True)
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    place = lambda block, round_, asks: F.struct(block.alias("block"), round_.alias("round"), F.lit(asks).alias("asks"))
+    answers = F.transform(upto("rounds"), lambda r: place(F.pmod(F.xxhash64("id"), "blocks"), r, False))
+    asking = F.transform(upto("blocks"), lambda b: place(b, F.pmod(F.xxhash64(F.lit(1), "id"), "rounds"), True))
+    dealt = held.withColumn("at", F.explode(F.when(F.col("outside"), F.concat(answers, asking)).otherwise(answers)))
+    dealt = dealt.select("key", "cluster", "at.block", "at.round", "at.asks", "id", "label", "outside", "signature", "keys")
+    hidden = staged(dealt.groupBy("key", "cluster", "block", "round").applyInArrow(_across(least), PROPOSAL))
     needed = hidden.where("x is null").select(F.col("task").alias("of"), F.explode("others").alias("id"))
-    more = staged(confirmed(hidden.where("x is not null"), needed, texts, shingle, percent), even=True)
+    more = staged(confirmed(hidden.where("x is not null"), needed, texts, shingle, percent))
     if not more.isEmpty():
         labels = components(links.union(more))
 
@@ -360,7 +386,7 @@ def _ajar(members: DataFrame, keys: list[str]) -> DataFrame:
     """Groups whose members lie in several components: the largest one, members, blocks and rounds of askers."""
     n = members.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
     shares = n.groupBy(*keys).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    return staged(shares.where("n > most").select(*keys, "main", "n", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / ASKERS).alias("rounds")), even=True)
+    return staged(shares.where("n > most").select(*keys, "main", "n", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / ASKERS).alias("rounds")))
 
 
 def _supported(least: int):

@@ -187,6 +187,26 @@ def test_components_of_chains_and_hubs(spark):
     assert all(found[i] == 100 for i in [*range(100, 130), 200, 201])
 
 
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, few):
+    """Either way gives every node the smallest one of its component; few edges take a few jobs, not rounds of them."""
+    monkeypatch.setattr(near_module, "FEW_EDGES", few)
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
+    label = {i: i for e in edges if e[0] != e[1] for i in e}
+    for _ in label:
+        for x, y in edges:
+            if x != y:
+                label[x] = label[y] = min(label[x], label[y])
+    made = []
+    real = near_module.staged
+    monkeypatch.setattr(near_module, "staged", lambda df, **how: made.append(1) or real(df, **how))
+    found = components(spark.createDataFrame(edges, "x long, y long")).collect()
+    assert {r["node"]: r["label"] for r in found} == label and len(found) == len(label)
+    assert len(made) == 2 if few else len(made) > 3
+    assert components(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
 @pytest.mark.parametrize(("large", "bucket", "per_share", "cell"), [(1 << 20, 1 << 18, 4, 6 << 20), (50, 40, 4, 4000), (20, 2, 1, 2000)])
 def test_substring_dedup_matches_brute_force(spark, corpus, large, bucket, per_share, cell):
     # small limits: large buckets are dealt to parts, parts to shares that meet again
