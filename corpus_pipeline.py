@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.llm.common import release, settled, table
+from scanloom.llm.common import ARROW_BYTES, release, settled, small_batches, table
 from scanloom.llm.decontaminate import decontaminate
 from scanloom.llm.exact_dedup import exact_dedup
 from scanloom.llm.near_dedup import near_dedup
@@ -21,7 +21,11 @@ from scanloom.llm.quality import fit_quality, keep_good
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier, fitted on the labelled rows, doesn't reject."""
+    """Rows that the classifier, fitted on the labelled rows, doesn't reject.
+
+    Whole rows pass through Python here, so the session's batches are made small.
+    """
+    small_batches(spark)
     return keep_good(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
@@ -60,9 +64,13 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``, each written before the next reads it."""
     docs, folder = table(spark, sf_dir, "documents"), None
-    for _, stage in STAGES[:-1]:
-        before = folder
-        docs, folder = settled(spark, lambda: stage(spark, docs, sf_dir))  # noqa: B023
-        if before:
-            release(spark, before)
+    batches = spark.conf.get(ARROW_BYTES)
+    try:
+        for _, stage in STAGES[:-1]:
+            before = folder
+            docs, folder = settled(spark, lambda: stage(spark, docs, sf_dir))  # noqa: B023
+            if before:
+                release(spark, before)
+    finally:
+        spark.conf.set(ARROW_BYTES, batches)
     return STAGES[-1][1](spark, docs, sf_dir)

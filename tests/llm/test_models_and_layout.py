@@ -549,3 +549,35 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r["doc_id"] or 0, r["text"] or "") for r in out)
     rows.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_rows_reach_the_classifier_in_small_batches(spark, tmp_path):
+    """Rows of 100 kB, 20 MB in one task: the worker gets some 2 MB of them at once, and the same rows stay."""
+    from scanloom.llm.common import ARROW_BYTES, ROWS_AT_ONCE
+
+    rows = [(i, f"row {i} of plain words. " * 5000) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    spark.conf.unset(ARROW_BYTES)  # stages that other tests call alone leave it small
+    before = spark.conf.get(ARROW_BYTES)
+    try:
+        wide = docs.coalesce(1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+        kept = corpus_pipeline.quality_classifier(spark, docs, str(tmp_path))
+        narrow = docs.coalesce(1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+        got = sorted(r["doc_id"] for r in kept.collect())
+        spark.conf.set(ARROW_BYTES, before)
+        assert got == sorted(r["doc_id"] for r in kept.select("*").collect())
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
+    longest = max(len(t) for _, t in rows)
+    assert wide > 8 * ROWS_AT_ONCE and longest < narrow < ROWS_AT_ONCE + 2 * longest
+    corpus_pipeline.run(spark, SF)
+    assert spark.conf.get(ARROW_BYTES) == before
