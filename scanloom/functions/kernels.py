@@ -8,7 +8,7 @@ scores -d1 E.  All matrices are stacks over pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 
 import numpy as np
 
@@ -211,9 +211,28 @@ def strong_wolfe(phi0: float, slope0: float, phi: float, slope: float, step: flo
     return armijo(phi0, phi, slope0, step, mu) and curvature(slope0, slope, nu)
 
 
+#: A search that asks for several values at once, is sent them as a list, and returns its result.
+Steps = Generator[list, list, object]
+
+
+def drive(steps: Steps, f: Callable[[object], object]) -> object:
+    """The result of a search whose values ``f`` gives."""
+    try:
+        asked = next(steps)
+        while True:
+            asked = steps.send([f(x) for x in asked])
+    except StopIteration as end:
+        return end.value
+
+
 def backtrack(f: Callable[[float], float], phi0: float, slope: float, step: float, mu: float = 1e-4, halvings: int = 20) -> float:
+    return drive(backtrack_steps(phi0, slope, step, mu, halvings), lambda a: (f(a), 0.0))
+
+
+def backtrack_steps(phi0: float, slope: float, step: float, mu: float = 1e-4, halvings: int = 20) -> Steps:
     for _ in range(halvings):
-        if armijo(phi0, f(step), slope, step, mu):
+        ((phi, _),) = yield [step]
+        if armijo(phi0, phi, slope, step, mu):
             return step
         step /= 2
     return step
@@ -242,16 +261,20 @@ def more_thuente(f: Callable[[float], tuple[float, float]], phi0: float, slope0:
     auxiliary function switches to the function itself once a step has enough
     decrease and a rising slope (More and Thuente 1994).
     """
+    return drive(more_thuente_steps(phi0, slope0, first, config), f)
+
+
+def more_thuente_steps(phi0: float, slope0: float, first: float, config: LineSearchConfig = LineSearchConfig()) -> Steps:
     mu, nu = config.mu, config.nu
     slope0 = -slope0
-    value = lambda a: tuple(-v for v in f(a))
     aux = lambda a, v, s: (v + phi0 - mu * a * slope0, s - mu * slope0)
     step = min(max(first, config.step_min), config.step_max)
     low, low_v, low_s = 0.0, 0.0, slope0 - mu * slope0
     high, high_v, high_s = 0.0, 0.0, low_s
     bracketed, plain = False, False
     for _ in range(config.max_iterations):
-        v, s = value(step)
+        ((v, s),) = yield [step]
+        v, s = -v, -s
         psi, dpsi = aux(step, v, s)
         if psi <= 0 and abs(s) <= nu * abs(slope0):
             return step
@@ -377,6 +400,26 @@ class VoxelIndex:
         return point, voxel
 
 
+    def within(self, points: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, voxel) of voxels whose mean is within each point's own radius; sorted by point."""
+        if not len(points) or not len(self.keys):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        radius = radius * (1 + 1e-9) + 1e-9
+        k = max(1, math.ceil(float(radius.max()) / self.resolution))
+        around = np.stack(np.meshgrid(*[np.arange(-k, k + 1)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
+        cells = np.floor(np.clip(points / self.resolution, -(2.0**19), 2.0**19)).astype(np.int64)
+        found = []
+        for a in range(0, len(points), 1 << 14):
+            keys = self.key(cells[a : a + (1 << 14), None, :] + around[None])
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            point, slot = np.nonzero(self.keys[at] == keys)
+            voxel, point = at[point, slot], point + a
+            d = points[point] - self.means[voxel]
+            near = (d * d).sum(axis=1) <= radius[point] ** 2
+            found.append((point[near], voxel[near]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def derivatives(points: np.ndarray, index: VoxelIndex, pose: np.ndarray, d1: float, d2: float, metric: str = "distribution") -> tuple[float, np.ndarray, np.ndarray, int]:
     point, voxel = index.pairs(transform(points, pose))
     return pair_derivatives(points[point], index.means[voxel], index.inverse[voxel], pose, d1, d2, index.axes[voxel] if metric == "plane" else None)
@@ -398,15 +441,15 @@ def scores(points: np.ndarray, index: VoxelIndex, pose: np.ndarray, d1: float, d
     }
 
 
-def step_along(f: Callable[[float], tuple[float, float]], phi0: float, slope0: float, first: float, kind: str, config: LineSearchConfig) -> float:
-    """A step by the line search of a name; ``f`` gives value and slope."""
+def steps_along(phi0: float, slope0: float, first: float, kind: str, config: LineSearchConfig) -> Steps:
+    """A step by the line search of a name; asks for value and slope at steps."""
     if kind == "more_thuente":
-        return more_thuente(f, phi0, slope0, first, config)
+        return (yield from more_thuente_steps(phi0, slope0, first, config))
     if kind == "backtracking":
-        return backtrack(lambda a: f(a)[0], phi0, slope0, first, config.mu)
+        return (yield from backtrack_steps(phi0, slope0, first, config.mu))
     if kind == "candidates":
         steps = golden_candidates(first)
-        values = np.array([f(a) for a in steps])
+        values = np.array((yield list(steps)))
         return choose_candidate(steps, values[:, 0], values[:, 1], phi0, slope0, config.mu, config.nu)
     raise ValueError(f"no line search {kind!r}")
 
@@ -414,23 +457,29 @@ def step_along(f: Callable[[float], tuple[float, float]], phi0: float, slope0: f
 def align(
     points: np.ndarray, index: VoxelIndex, initial: np.ndarray, config: MatchConfig = MatchConfig(),
     line_search: LineSearchConfig = LineSearchConfig(), gnss: tuple[float, float] | None = None,
-    evaluate: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray, int]] | None = None,
+    evaluate: Callable[[np.ndarray, int], tuple[float, np.ndarray, np.ndarray, int]] | None = None,
 ) -> dict:
-    """Newton ascent of the score.  ``evaluate`` replaces the local derivatives, e.g. by a distributed sum."""
+    """Newton ascent of the score.  ``evaluate`` replaces the local derivatives of a pose up to an order, e.g. by a distributed sum."""
     d1, d2 = gaussian_constants(config.resolution, config.outlier_ratio)
+    own = evaluate or (lambda pose, _: derivatives(points, index, pose, d1, d2, config.metric))
+    return drive(align_steps(initial, config, line_search, gnss), lambda asked: own(*asked))
+
 
-    def at(pose: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, int]:
-        s, g, h, n = evaluate(pose) if evaluate else derivatives(points, index, pose, d1, d2, config.metric)
+def align_steps(initial: np.ndarray, config: MatchConfig = MatchConfig(), line_search: LineSearchConfig = LineSearchConfig(), gnss: tuple[float, float] | None = None) -> Steps:
+    """The ascent as a search that asks for (pose, order): score, gradient, Hessian and pairs; order 1 does without the Hessian."""
+
+    def at(poses: list[np.ndarray], order: int) -> Steps:
+        found = yield [(pose, order) for pose in poses]
         if gnss is not None and config.regularization_weight > 0:
-            more = gnss_term(pose, gnss, config.regularization_weight, n)
-            s, g, h = s + more[0], g + more[1], h + more[2]
-        return s, g, h, n
+            more = [gnss_term(pose, gnss, config.regularization_weight, f[3]) for pose, f in zip(poses, found, strict=True)]
+            found = [(s + m[0], g + m[1], h + m[2], n) for (s, g, h, n), m in zip(found, more, strict=True)]
+        return found
 
     pose = np.asarray(initial, dtype=float).copy()
     best, log, status = None, [], "max_iterations"
     hessian, pairs, iteration = np.zeros((6, 6)), 0, 0
     for iteration in range(config.max_iterations + 1):
-        score, gradient, hessian, pairs = at(pose)
+        ((score, gradient, hessian, pairs),) = yield from at([pose], 2)
         entry = {"iteration": iteration, "pose": pose.tolist(), "score": score, "gradient": gradient.tolist(), "num_correspondences": pairs, "step_length": 0.0, "newton_step_norm": 0.0, "direction_reversed": False}
         log.append(entry)
         if pairs < config.min_correspondences:
@@ -455,11 +504,14 @@ def align(
             entry["direction_reversed"] = True
         length = min(norm, config.step_size)
         if config.use_line_search:
-            def along(a: float, p=pose, v=direction) -> tuple[float, float]:
-                s, g, _, _ = at(p + a * v)
-                return s, float(g @ v)
-
-            length = step_along(along, score, float(gradient @ direction), length, config.search, line_search)
+            search, values = steps_along(score, float(gradient @ direction), length, config.search, line_search), None
+            try:
+                while True:
+                    steps = search.send(values)
+                    found = yield from at([pose + a * direction for a in steps], 1)
+                    values = [(s, float(g @ direction)) for s, g, _, _ in found]
+            except StopIteration as end:
+                length = end.value
         entry["step_length"] = length
         pose = pose + length * direction
     if status == "max_iterations" and best is not None:
