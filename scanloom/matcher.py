@@ -11,10 +11,16 @@ from scanloom.config import EngineConfig, VoxelConfig
 from scanloom.operators import initial_pose, registration, voxels
 from scanloom.operators.estimation import with_covariance
 from scanloom.operators.filters import drop_non_finite, filter_points
+from scanloom.operators.packed import PackedScans
 
 POSE = registration.POSE
 
 
+def _finite(scans: DataFrame | PackedScans) -> DataFrame | PackedScans:
+    """Points whose coordinates are numbers; what is packed holds no others."""
+    return scans if isinstance(scans, PackedScans) else drop_non_finite(scans)
+
+
 class Matcher:
     """Scans against one voxel map.
 
@@ -46,34 +52,38 @@ class Matcher:
             raise ValueError("no target is set")
         return self.voxels
 
+    def pack(self, scans: DataFrame, scan: str = "scan_id") -> PackedScans:
+        """Scans for several calls, of which large ones are packed once; to be closed after the last."""
+        return PackedScans(drop_non_finite(scans), scan, self.config.match.resolution)
+
     def align(self, points: DataFrame, initial: tuple[float, ...] = (0.0,) * 6, gnss: tuple[float, float] | None = None) -> dict:
         """One cloud of any size, whose points stay distributed."""
         cloud = drop_non_finite(points)
         if cloud.isEmpty():
             raise ValueError("the source has no points")
-        return registration.align_cloud(cloud.persist(), self._target(), initial, self.config.match, gnss)
+        return registration.align_cloud(cloud, self._target(), initial, self.config.match, gnss)
 
-    def align_scans(self, scans: DataFrame, poses: DataFrame, scan: str = "scan_id", debug: bool = False, filtered: bool = False) -> DataFrame:
+    def align_scans(self, scans: DataFrame | PackedScans, poses: DataFrame, scan: str = "scan_id", debug: bool = False, filtered: bool = False) -> DataFrame:
         """Every pose of every scan; ``filtered`` applies the point filter first."""
-        cloud = filter_points(drop_non_finite(scans), self.config.filter) if filtered else drop_non_finite(scans)
+        cloud = filter_points(drop_non_finite(scans), self.config.filter) if filtered else _finite(scans)
         return registration.align_batch(cloud, poses, self._target(), scan, self.config.match, self.config.line_search, debug)
 
-    def score_scans(self, scans: DataFrame, poses: DataFrame, scan: str = "scan_id") -> DataFrame:
-        return registration.score_batch(drop_non_finite(scans), poses, self._target(), scan, self.config.match.resolution, self.config.match.outlier_ratio)
+    def score_scans(self, scans: DataFrame | PackedScans, poses: DataFrame, scan: str = "scan_id") -> DataFrame:
+        return registration.score_batch(_finite(scans), poses, self._target(), scan, self.config.match.resolution, self.config.match.outlier_ratio)
 
-    def evaluate(self, points: DataFrame, pose: tuple[float, ...]) -> dict:
-        """Scores of one cloud under one pose: tp_pairs, tp_points, nvtl and others."""
-        spark = points.sparkSession
-        one = points.withColumn("scan_id", F.lit(0))
+    def evaluate(self, points: DataFrame | PackedScans, pose: tuple[float, ...]) -> dict:
+        """Scores of one cloud, or of the one packed scan 0, under one pose: tp_pairs, tp_points, nvtl and others."""
+        one = points if isinstance(points, PackedScans) else points.withColumn("scan_id", F.lit(0))
+        spark = one.points.sparkSession if isinstance(points, PackedScans) else points.sparkSession
         at = spark.range(1).select(F.lit(0).alias("scan_id"), F.lit(0).cast("long").alias("pose_id"), *(F.lit(float(v)).alias(c) for c, v in zip(POSE, pose, strict=True)))
         found = self.score_scans(one, at).first()
         if found is None:
             raise ValueError("the source has no points")
         return found.asDict()
 
-    def covariances(self, alignments: DataFrame, scans: DataFrame, scan: str = "scan_id") -> DataFrame:
+    def covariances(self, alignments: DataFrame, scans: DataFrame | PackedScans, scan: str = "scan_id") -> DataFrame:
         """Alignments with the covariance that the configuration names."""
-        return with_covariance(alignments, drop_non_finite(scans), self._target(), self.config, scan)
+        return with_covariance(alignments, _finite(scans), self._target(), self.config, scan)
 
     def search(self, scans: DataFrame, mean: tuple[float, ...], deviation: tuple[float, ...], scan: str = "scan_id", seed: int = 0) -> tuple[DataFrame, dict]:
         """Initial poses: all particles of every scan, and each scan's best."""
@@ -98,10 +108,13 @@ class MultiGridMatcher:
         for matcher in self.grids.values():
             matcher.close()
 
-    def align_scans(self, scans: DataFrame, poses: DataFrame, scan: str = "scan_id") -> DataFrame:
+    def align_scans(self, scans: DataFrame | PackedScans, poses: DataFrame, scan: str = "scan_id") -> DataFrame:
         grids = {r: m._target() for r, m in self.grids.items()}
-        return registration.align_multigrid(drop_non_finite(scans), poses, grids, scan, self.iterations, self.config.match, self.adaptive_nvtl)
+        return registration.align_multigrid(_finite(scans), poses, grids, scan, self.iterations, self.config.match, self.adaptive_nvtl)
 
     def evaluate(self, points: DataFrame, pose: tuple[float, ...]) -> dict[float, dict]:
         """Scores of a cloud under a pose in every resolution."""
-        return {r: m.evaluate(points, pose) for r, m in self.grids.items()}
+        one = PackedScans(drop_non_finite(points).withColumn("scan_id", F.lit(0)), "scan_id", min(self.grids))
+        found = {r: m.evaluate(one, pose) for r, m in self.grids.items()}
+        one.close()
+        return found

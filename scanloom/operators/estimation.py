@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from scanloom.config import EngineConfig, covariance_kind
 from scanloom.operators import covariance as C
+from scanloom.operators.packed import PackedScans
 from scanloom.operators.registration import POSE, align_batch, score_batch
 
 
-def with_covariance(found: DataFrame, points: DataFrame, voxels: DataFrame, config: EngineConfig, scan: str = "scan_id") -> DataFrame:
+def with_covariance(found: DataFrame, points: DataFrame | PackedScans, voxels: DataFrame, config: EngineConfig, scan: str = "scan_id") -> DataFrame:
     """``found`` (alignments of ``points``, one for each scan) with ``covariance``, 36 values.
 
     ``laplace``: minus the inverse Hessian of the position; ``multi_ndt``: the

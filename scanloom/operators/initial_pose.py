@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from scanloom.config import InitialPoseConfig, MatchConfig
 from scanloom.functions.geometry import wrap_angle
+from scanloom.operators.packed import PackedScans
 from scanloom.operators.registration import POSE, align_batch
 
 #: Kernel widths of x, y and yaw, and the weight of the lower set.
@@ -97,6 +98,7 @@ def search_scans(points: DataFrame, voxels: DataFrame, mean: tuple[float, ...],
     ids = sorted(r[0] for r in cloud.select(scan).distinct().collect())
     rngs = {k: np.random.default_rng([seed, i]) for i, k in enumerate(ids)}
     done, results = 0, {k: [] for k in ids}
+    packed = PackedScans(cloud, scan, match.resolution)
     batches = [config.startup, *np.diff(np.linspace(config.startup, config.particles, rounds + 1).astype(int)).tolist()]
     for n in batches:
         if n <= 0 or not ids:
@@ -110,9 +112,10 @@ def search_scans(points: DataFrame, voxels: DataFrame, mean: tuple[float, ...],
             proposed += [(k, done + i, *map(float, p)) for i, p in enumerate(poses)]
         frame = spark.createDataFrame(proposed, f"{scan} {kind}, pose_id long, " + ", ".join(f"{c} double" for c in POSE))
         each = max(1, len(proposed) // (2 * spark.sparkContext.defaultParallelism))
-        for r in align_batch(cloud, frame, voxels, scan, match, poses_per_task=min(8, each)).collect():  # a few hundred particles a scan
+        for r in align_batch(packed, frame, voxels, scan, match, poses_per_task=min(8, each)).collect():  # a few hundred particles a scan
             results[r[scan]].append(r.asDict())
         done += n
+    packed.close()
     rows = [(k, r["pose_id"], *(r[c] for c in POSE), r["nvtl"] if r["nvtl"] else 5 * r["tp_pairs"], r["nvtl"], r["iterations"], r["status"]) for k in ids for r in results[k]]
     out = spark.createDataFrame(rows, f"{scan} {kind}, particle_id long, " + ", ".join(f"{c} double" for c in POSE) + ", score double, nvtl double, iterations int, status string")
     best = {k: max(results[k], key=lambda r: (r["nvtl"] or 5 * r["tp_pairs"], -r["pose_id"])) for k in ids}

@@ -97,7 +97,7 @@ def test_dealt_scans_align_as_whole_ones(spark, grid, monkeypatch, more):
 
 
 #: Queries whose scans are dealt here, against the same results.
-DEALT = ["q_align_batch", "q_align_plane", "q_align_debug", "q_history_markers"]
+DEALT = ["q_align_batch", "q_align_plane", "q_align_debug", "q_history_markers", "q_line_searches"]
 
 
 @pytest.mark.parametrize("name", DEALT)
