@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Messages that are Python objects at once.
+AT_ONCE = 1024
+
 
 class RecordingReader(DataSourceReader):
     def __init__(self, path: str) -> None:
@@ -100,7 +103,7 @@ def poses(messages: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
             out = []
             for topic, stamp, data in zip(batch.column("topic").to_pylist(), batch.column("stamp_ns").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 if data is None or len(data) < 16:
