@@ -38,37 +38,38 @@ def transform(points: np.ndarray, pose: np.ndarray) -> np.ndarray:
 _ORDERS = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
 
 
-def _axis(axis: int, angle: float, order: int) -> np.ndarray:
-    """The order-th derivative of a rotation about one axis by its angle."""
-    s, c = math.sin(angle + order * math.pi / 2), math.cos(angle + order * math.pi / 2)
+def _axis(axis: int, angle: np.ndarray | float, order: int) -> np.ndarray:
+    """The order-th derivative of a rotation about one axis by its angle, or of a stack of them."""
+    s, c = np.sin(angle + order * math.pi / 2), np.cos(angle + order * math.pi / 2)
     i, j = (axis + 1) % 3, (axis + 2) % 3
-    out = np.zeros((3, 3))
-    out[i, i] = out[j, j] = c
-    out[j, i], out[i, j] = s, -s
+    out = np.zeros((*np.shape(angle), 3, 3))
+    out[..., i, i] = out[..., j, j] = c
+    out[..., j, i], out[..., i, j] = s, -s
     if order == 0:
-        out[axis, axis] = 1.0
+        out[..., axis, axis] = 1.0
     return out
 
 
 def rotation_derivative(pose: np.ndarray, orders: tuple[int, int, int]) -> np.ndarray:
-    """The mixed derivative of R by roll, pitch and yaw of the given orders."""
-    return _axis(0, pose[3], orders[0]) @ _axis(1, pose[4], orders[1]) @ _axis(2, pose[5], orders[2])
+    """The mixed derivative of R by roll, pitch and yaw of the given orders; of a stack of poses a stack."""
+    return _axis(0, pose[..., 3], orders[0]) @ _axis(1, pose[..., 4], orders[1]) @ _axis(2, pose[..., 5], orders[2])
 
 
 def point_derivatives(points: np.ndarray, pose: np.ndarray, second: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-    """(n, 3, 6) Jacobian of T(p) by the pose, and the (n, 3, 3, 3) second derivatives by the angles."""
+    """(n, 3, 6) Jacobian of T(p) by the pose, and the (n, 3, 3, 3) second derivatives by the angles; ``pose`` is one, or one for each point."""
     n = len(points)
+    turned = lambda order: np.matmul(rotation_derivative(pose, order), points[:, :, None])[:, :, 0]
     jacobian = np.zeros((n, 3, 6))
     jacobian[:, :, :3] = np.eye(3)
     for a, order in enumerate(_ORDERS):
-        jacobian[:, :, 3 + a] = points @ rotation_derivative(pose, order).T
+        jacobian[:, :, 3 + a] = turned(order)
     if not second:
         return jacobian, None
     curve = np.empty((n, 3, 3, 3))
     for a in range(3):
         for b in range(a, 3):
             order = tuple(x + y for x, y in zip(_ORDERS[a], _ORDERS[b], strict=True))
-            curve[:, :, a, b] = curve[:, :, b, a] = points @ rotation_derivative(pose, order).T
+            curve[:, :, a, b] = curve[:, :, b, a] = turned(order)
     return jacobian, curve
 
 
@@ -138,12 +139,14 @@ def clamp_covariance(cov: np.ndarray, ratio: float = 0.01) -> tuple[np.ndarray,
 
 
 def pseudo_solve(hessian: np.ndarray, rhs: np.ndarray, tolerance: float = 1e-10) -> np.ndarray | None:
-    """Least-squares solution by singular values; None if all are below the tolerance."""
+    """Least-squares solution by singular values; None if all are below the tolerance (of a stack: a row without numbers)."""
+    if hessian.ndim == 2:
+        found = pseudo_solve(hessian[None], rhs[None], tolerance)[0]
+        return None if np.isnan(found).all() else found
     u, s, vt = np.linalg.svd(hessian)
-    if s[0] < tolerance:
-        return None
     kept = np.where(s > tolerance, 1.0 / np.where(s > tolerance, s, 1.0), 0.0)
-    return vt.T @ (kept * (u.T @ rhs))
+    inner = kept * np.matmul(u.transpose(0, 2, 1), rhs[:, :, None])[:, :, 0]
+    return np.where(s[:, :1] < tolerance, np.nan, np.matmul(vt.transpose(0, 2, 1), inner[:, :, None])[:, :, 0])
 
 
 def newton_step(gradient: np.ndarray, hessian: np.ndarray, tolerance: float = 1e-10) -> np.ndarray | None:
@@ -151,40 +154,47 @@ def newton_step(gradient: np.ndarray, hessian: np.ndarray, tolerance: float = 1e
 
 
 def newton_step_regularized(gradient: np.ndarray, hessian: np.ndarray, weight: float, tolerance: float = 1e-10) -> np.ndarray | None:
-    return pseudo_solve(hessian + weight * np.eye(len(hessian)), -gradient, tolerance)
+    return pseudo_solve(hessian + weight * np.eye(hessian.shape[-1]), -gradient, tolerance)
 
 
 def newton_step_cholesky(gradient: np.ndarray, hessian: np.ndarray) -> np.ndarray | None:
-    """By a Cholesky factor where the matrix is positive definite, else by singular values."""
+    """By a Cholesky factor where the matrix is positive definite, else by singular values; of a stack, too."""
     try:
         lower = np.linalg.cholesky(hessian)
     except np.linalg.LinAlgError:
-        return newton_step(gradient, hessian)
-    return -np.linalg.solve(lower.T, np.linalg.solve(lower, gradient))
+        if hessian.ndim == 2:
+            return newton_step(gradient, hessian)
+        found = [newton_step_cholesky(g, h) for g, h in zip(gradient, hessian, strict=True)]
+        return np.array([np.full(len(g), np.nan) if f is None else f for f, g in zip(found, gradient, strict=True)])
+    return -np.linalg.solve(np.swapaxes(lower, -1, -2), np.linalg.solve(lower, gradient[..., None]))[..., 0]
 
 
-def is_negative_definite(matrix: np.ndarray) -> bool:
-    return bool((np.linalg.eigvalsh(matrix) < 0).all())
+def is_negative_definite(matrix: np.ndarray) -> bool | np.ndarray:
+    found = (np.linalg.eigvalsh(matrix) < 0).all(axis=-1)
+    return found if matrix.ndim > 2 else bool(found)
 
 
-def is_positive_definite(matrix: np.ndarray) -> bool:
-    return bool((np.linalg.eigvalsh(matrix) > 0).all())
+def is_positive_definite(matrix: np.ndarray) -> bool | np.ndarray:
+    found = (np.linalg.eigvalsh(matrix) > 0).all(axis=-1)
+    return found if matrix.ndim > 2 else bool(found)
 
 
 def make_negative_definite(hessian: np.ndarray, limit: float = -1e-3) -> np.ndarray:
     values, vectors = np.linalg.eigh(hessian)
-    return (vectors * np.minimum(values, limit)) @ vectors.T
+    return (vectors * np.minimum(values, limit)[..., None, :]) @ np.swapaxes(vectors, -1, -2)
 
 
 def newton_step_ascent(gradient: np.ndarray, hessian: np.ndarray, limit: float = -1e-3, tolerance: float = 1e-10) -> np.ndarray | None:
-    """A Newton step towards a maximum."""
-    hessian = 0.5 * (hessian + hessian.T)
-    return newton_step(gradient, hessian if is_negative_definite(hessian) else make_negative_definite(hessian, limit), tolerance)
+    """A Newton step towards a maximum, or a stack of them."""
+    hessian = 0.5 * (hessian + np.swapaxes(hessian, -1, -2))
+    fine = np.asarray(is_negative_definite(hessian))[..., None, None]
+    return newton_step(gradient, hessian if fine.all() else np.where(fine, hessian, make_negative_definite(hessian, limit)), tolerance)
 
 
-def condition_number(matrix: np.ndarray) -> float:
+def condition_number(matrix: np.ndarray) -> float | np.ndarray:
     s = np.linalg.svd(matrix, compute_uv=False)
-    return math.inf if s[-1] < 1e-15 else float(s[0] / s[-1])
+    found = np.where(s[..., -1] < 1e-15, math.inf, s[..., 0] / np.where(s[..., -1] < 1e-15, 1.0, s[..., -1]))
+    return found if matrix.ndim > 2 else float(found)
 
 
 def gnss_term(pose: np.ndarray, reference: tuple[float, float], weight: float, pairs: int) -> tuple[float, np.ndarray, np.ndarray]:

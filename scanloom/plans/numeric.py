@@ -28,18 +28,31 @@ def numbers(spark, d) -> DataFrame:
 
 
 def per_row(rows: DataFrame, f: Callable[..., tuple], names: str, kinds: str = "") -> DataFrame:
-    """id and the values of a kernel of a, b, c, d, in Arrow batches; rounded to six digits."""
+    """id and the values of a kernel of a, b, c, d, a row at a time; rounded to six digits."""
+
+    def rowwise(*columns: np.ndarray) -> tuple:
+        return tuple(zip(*(f(*v) for v in zip(*(c.tolist() for c in columns), strict=True)), strict=True))
+
+    return per_batch(rows, rowwise, names, kinds)
+
+
+def per_batch(rows: DataFrame, f: Callable[..., tuple], names: str, kinds: str = "") -> DataFrame:
+    """id and the values of a kernel of columns a, b, c, d, in Arrow batches; rounded to six digits.
+
+    The rows are dealt anew: a small file would be a single task.
+    """
     out = names.split()
     kinds_ = (kinds or "double " * len(out)).split()
     types = {"double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
 
     def run(batches):
         for batch in batches:
-            found = [f(*v) for v in zip(*(batch.column(c).to_pylist() for c in "abcd"), strict=True)]
-            columns = list(zip(*found, strict=True)) or [[]] * len(out)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([x.item() if hasattr(x, "item") else x for x in c], types[k]) for c, k in zip(columns, kinds_, strict=True))], names=["id", *out])
+            if not batch.num_rows:
+                continue
+            columns = f(*(np.asarray(batch.column(c), dtype=float) for c in "abcd"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(np.asarray(c), types[k]) for c, k in zip(columns, kinds_, strict=True))], names=["id", *out])
 
-    made = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} {k}" for n, k in zip(out, kinds_, strict=True)))
+    made = rows.repartition("id").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} {k}" for n, k in zip(out, kinds_, strict=True)))
     return made.select("id", *((F.round(n, 6) + 0.0).alias(n) if k == "double" else F.col(n) for n, k in zip(out, kinds_, strict=True)))
 
 
@@ -72,10 +85,12 @@ def q_gnss_term(spark, d):
     return per_row(numbers(spark, d), term, "score gx gy hxx hxy")
 
 
-def _block(a: float, b: float, d: float) -> np.ndarray:
-    """A 6x6 matrix: a block of x and y, and a diagonal."""
-    out = np.diag([-(a + d + 2.1), -(d + 2.3), -1.1 * d, -2 * d, -3.0, -1.0])
-    out[0, 1] = out[1, 0] = b
+def _block(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """A stack of 6x6 matrices: a block of x and y, and a diagonal."""
+    out = np.zeros((len(a), 6, 6))
+    for i, v in enumerate((-(a + d + 2.1), -(d + 2.3), -1.1 * d, -2 * d, -3.0, -1.0)):
+        out[:, i, i] = v
+    out[:, 0, 1] = out[:, 1, 0] = b
     return out
 
 
@@ -86,12 +101,13 @@ def q_newton_step(spark, d):
     """Steps towards a maximum, by singular values; of minus the matrix by a Cholesky factor; definiteness and condition."""
 
     def step(a, b, c, d_):
-        hessian, gradient = _block(a, b, d_), np.array([c, 1.0, b, a, 1.0, d_])
+        one = np.ones(len(a))
+        hessian, gradient = _block(a, b, d_), np.stack([c, one, b, a, one, d_], axis=1)
         up = K.newton_step_ascent(gradient, hessian)
         same = K.newton_step_cholesky(-gradient, -hessian)
-        return (*up, K.is_negative_definite(hessian) and K.is_positive_definite(-hessian), K.condition_number(hessian), same[0])
+        return (*up.T, K.is_negative_definite(hessian) & K.is_positive_definite(-hessian), K.condition_number(hessian), same[:, 0])
 
-    return per_row(numbers(spark, d), step, "s0 s1 s2 s3 s4 s5 negative condition c0", "double double double double double double boolean double double")
+    return per_batch(numbers(spark, d), step, "s0 s1 s2 s3 s4 s5 negative condition c0", "double double double double double double boolean double double")
 
 
 @query(f"""WITH {_NUM}, f AS (SELECT id, d AS slope, a / 4 AS step, a * b / 4 AS phi, c AS now FROM num)
@@ -153,11 +169,12 @@ def q_point_derivatives(spark, d):
     """First and second derivatives of a moved point by the angles, against the turns derived one after the other."""
 
     def slopes(a, b, c, d_):
-        jacobian, curve = K.point_derivatives(np.array([[1 + a, b, c]]), np.array([0, 0, 0, a / 9, b / 5, d_ / 3]))
-        first = [jacobian[0, :, 3 + k] for k in range(3)]
-        return tuple(v for column in (*first, *(curve[0, :, i, j] for i in range(3) for j in range(i, 3))) for v in column)
+        none = np.zeros(len(a))
+        jacobian, curve = K.point_derivatives(np.stack([1 + a, b, c], axis=1), np.stack([none, none, none, a / 9, b / 5, d_ / 3], axis=1))
+        first = [jacobian[:, :, 3 + k] for k in range(3)]
+        return tuple(v for column in (*first, *(curve[:, :, i, j] for i in range(3) for j in range(i, 3))) for v in column.T)
 
-    return per_row(numbers(spark, d), slopes, " ".join(f"{c}_{n}" for n in _ORDERS for c in "xyz"))
+    return per_batch(numbers(spark, d), slopes, " ".join(f"{c}_{n}" for n in _ORDERS for c in "xyz"))
 
 
 @query(f"""WITH {_NUM} SELECT id, {_r('greatest(3 * (a * cos(c) * cos(c) - 2 * cos(c) * sin(c) * b + d * sin(c) * sin(c)), 0.5)', 'cxx', 5)},
@@ -184,7 +201,7 @@ def q_pose_messages(spark, d):
     """Every event as a stamped pose message, half of them with covariance, stamped anew and read back."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, bag.AT_ONCE) for b in batches for at in range(0, b.num_rows, bag.AT_ONCE)):
             rows = batch.to_pylist()
             data = [bag.encode_pose(r["stamp_ns"], f"map{r['event_id'] % 12}", (r["x"], r["y"], r["z"], 0.0, 0.0, 0.0, 1.0), [float(i) for i in range(36)] if r["event_id"] % 2 == 0 else None) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([str(r["event_id"]) for r in rows], pa.string()), batch.column("stamp_ns"), pa.array(data, pa.binary())], names=["topic", "stamp_ns", "data"])

@@ -232,3 +232,40 @@ def test_positions_of_clustered_codes(spark):
     got = {r["id"]: r["position"] for r in sorted_positions(spark.createDataFrame(rows, "id long, code long"), "code", "id").collect()}
     assert got == {k: p for p, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
     assert sorted_positions(spark.createDataFrame(rows, "id long, code long").limit(0), "code", "id").count() == 0
+
+
+def test_kernels_of_stacks_are_those_of_single_matrices():
+    rng = np.random.default_rng(5)
+    h, g = rng.normal(size=(40, 6, 6)), rng.normal(size=(40, 6))
+    h = h + h.transpose(0, 2, 1)
+    h[:20] = -np.einsum("nij,nkj->nik", h[:20], h[:20])
+    h[7] = 0
+    for f in (K.newton_step, K.newton_step_ascent, lambda a, b: K.newton_step_cholesky(-a, -b)):
+        for found, a, b in zip(f(g, h), g, h, strict=True):
+            one = f(a, b)
+            assert np.isnan(found).all() if one is None else np.allclose(found, one, rtol=1e-9)
+    assert K.is_negative_definite(h).tolist() == [K.is_negative_definite(m) for m in h]
+    assert K.condition_number(h).tolist() == [K.condition_number(m) for m in h]
+    points, poses = rng.normal(size=(9, 3)), rng.normal(size=(9, 6))
+    first, second = K.point_derivatives(points, poses)
+    for k in range(9):
+        a, b = K.point_derivatives(points[k : k + 1], poses[k])
+        assert np.allclose(first[k], a[0]) and np.allclose(second[k], b[0])
+
+
+def test_rows_of_a_small_file_are_dealt_to_tasks(spark):
+    """A file of one row group is read by one task; the kernels' rows are dealt anew."""
+    from scanloom.plans import numeric
+
+    rows = numeric.numbers(spark, "/root/testdata/sf0.001").coalesce(1)
+    made = numeric.per_row(rows, lambda a, b, c, d: (a + d,), "sum")
+    assert made.count() == rows.count() and "REPARTITION_BY_COL" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_messages_are_decoded_a_few_at_a_time(spark, monkeypatch):
+    from scanloom.plans import numeric
+    from scanloom.sources import bag
+
+    whole = numeric.q_pose_messages(spark, "/root/testdata/sf0.001").orderBy("topic").collect()
+    monkeypatch.setattr(bag, "AT_ONCE", 3)
+    assert numeric.q_pose_messages(spark, "/root/testdata/sf0.001").orderBy("topic").collect() == whole and len(whole) > 3
